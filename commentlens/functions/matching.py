@@ -38,8 +38,18 @@ def contains_any(text: Column, phrases) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(p) for p in phrases), F.lit(False))
 
 
+def _beyond_ascii(glyphs: str) -> str:
+    # ASCII characters fail the first set at once instead of being tried against every glyph
+    return rf"[[^\x00-\x7F]&&[{glyphs}]]"
+
+
+_DIGIT = _beyond_ascii(rulebook.STYLED_DIGITS)
+_PLUS, _ONE = _beyond_ascii(rulebook.STYLED_PLUS), _beyond_ascii(rulebook.STYLED_ONE)
+_PHONE = f"{_PLUS} ? ?(?:1|{_ONE})|[+] ? ?{_ONE}"
+
+
 def styled_digit_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{rulebook.STYLED_DIGITS}]"))
+    return F.regexp_count(text, F.lit(_DIGIT))
 
 
 def has_styled_digits(text: Column, minimum: int = rulebook.STYLED_DIGIT_MINIMUM) -> Column:
@@ -47,4 +57,4 @@ def has_styled_digits(text: Column, minimum: int = rulebook.STYLED_DIGIT_MINIMUM
 
 
 def has_disguised_phone(text: Column) -> Column:
-    return text.rlike(rulebook.PHONE_PREFIX)
+    return text.rlike(_PHONE)

@@ -56,13 +56,13 @@ def tiled(centres: DataFrame, members: DataFrame, n_tiles: int, reduce: Reduce,
     centre rows, best priority first. ``output`` names its columns; type ``id`` is that of ids.
     """
     extra = [c for c in ("n0",) if c in centres.columns]
-    tiles = F.sequence(F.lit(0), F.lit(n_tiles - 1))
+    tiles = F.sequence(F.lit(0).cast("bigint"), F.lit(n_tiles - 1).cast("bigint"))
     left = centres.select(
-        "chunk", F.col("tile").alias("row_tile"), F.explode(tiles).cast("bigint").alias("col_tile"),
+        "chunk", F.col("tile").alias("row_tile"), F.explode(tiles).alias("col_tile"),
         F.lit(True).alias("is_centre"), "id", "embedding", *extra,
     )
     right = members.select(
-        "chunk", F.explode(tiles).cast("bigint").alias("row_tile"), F.col("tile").alias("col_tile"),
+        "chunk", F.explode(tiles).alias("row_tile"), F.col("tile").alias("col_tile"),
         F.lit(False).alias("is_centre"), "id", "embedding", *(F.lit(0).cast("bigint").alias(c) for c in extra),
     )
     id_type = centres.schema["id"].dataType.simpleString()
