@@ -1,14 +1,19 @@
 """Greedy communities of near-identical rows, their scores, and label propagation.
 
 A row with enough neighbours is a candidate centre. Taken from the largest neighbourhood down,
-a candidate claims its neighbours that are still free, if enough are left. The rounds below
-give that same result without a sequential loop: a candidate is accepted once it is the best
-remaining candidate for every free neighbour it has.
+a candidate claims its neighbours that are still free, if enough are left. Neighbours never
+span chunks, so chunks are independent. A chunk whose neighbour lists are few enough, by count,
+is settled by one walk over them. A chunk with more is worked on in rounds that never list the
+neighbours: a candidate is accepted once it is the best remaining candidate for every free
+neighbour it has, which gives the same result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +28,9 @@ THRESHOLD = 0.95
 MIN_SIZE = 25
 CONSENSUS = 0.5
 
+# neighbour-list entries of one chunk that one task may walk over
+WALK_ENTRIES = 5_000_000
+
 # marks a row of ``_round`` that is a member's claim rather than a centre's count
 CLAIM = -1
 
@@ -51,8 +59,45 @@ def _round(centres: DataFrame, members: DataFrame, n_tiles: int, threshold: floa
     )
 
 
+def _walk(centres: DataFrame, members: DataFrame, n_tiles: int, threshold: float) -> DataFrame:
+    """``chunk, seed, n0, id``: the greedy walk per chunk over listed neighbours."""
+
+    def entries(left, right, slabs):
+        rows, columns = [], []
+        for part, sims in slabs:
+            i, j = np.nonzero(sims >= threshold)
+            rows.append(part.start + i)
+            columns.append(right["id"][j])
+        at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        member = np.concatenate(columns) if columns else right["id"][:0]
+        return {"chunk": left["chunk"][at], "seed": left["id"][at], "n0": left["n0"][at],
+                "needed": left["needed"][at], "id": member}
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n0", "descending"), ("seed", "ascending"), ("id", "ascending")])
+        _, codes = np.unique(table["id"].to_numpy(), return_inverse=True)
+        seeds, needed = table["seed"].to_numpy(), table["needed"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]])
+        taken = np.zeros(codes.max() + 1, dtype=bool)
+        kept = []
+        for start, end in zip(starts, np.r_[starts[1:], len(codes)]):
+            free = start + np.flatnonzero(~taken[codes[start:end]])
+            if len(free) >= needed[start]:
+                taken[codes[free]] = True
+                kept.append(free)
+        rows = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
+        return table.select(["chunk", "seed", "n0", "id"]).take(rows)
+
+    listed = similarity.tiled(
+        centres, members, n_tiles, entries, chunk="bigint", seed="id", n0="bigint", needed="bigint", id="id"
+    )
+    id_type = centres.schema["id"].dataType.simpleString()
+    return listed.groupBy("chunk").applyInArrow(settle, f"chunk bigint, seed {id_type}, n0 bigint, id {id_type}")
+
+
 def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN_SIZE,
-           chunk_rows: int = similarity.CHUNK_ROWS, tile_rows: int = similarity.TILE_ROWS) -> DataFrame:
+           chunk_rows: int = similarity.CHUNK_ROWS, tile_rows: int = similarity.TILE_ROWS,
+           walk_entries: int = WALK_ENTRIES) -> DataFrame:
     """``chunk, seed, n0, id`` of every community member; ``vectors`` is ``id, embedding``."""
     placed, n_tiles = similarity.place(vectors, chunk_rows, tile_rows)
     placed = cut_lineage(placed)
@@ -64,18 +109,33 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
         .withColumn("needed", F.least(F.lit(min_size).cast("bigint"), F.col("rows")))
         .filter(F.col("n0") >= F.col("needed"))
         .drop("rows")
+        .withColumn("remaining", F.col("n0"))
     )
     members, found = placed, []
-    while centres.limit(1).count():
+    while True:
+        small = (
+            centres.groupBy("chunk").agg(F.sum("remaining").alias("entries"))
+            .filter(F.col("entries") <= walk_entries).select("chunk")
+        )
+        settled = _walk(
+            centres.join(small, "chunk", "left_semi"), members.join(small, "chunk", "left_semi"), n_tiles, threshold
+        )
+        found.append(cut_lineage(settled))
+        centres = centres.join(small, "chunk", "left_anti")
+        if centres.limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, found)
         seen = cut_lineage(_round(centres, members, n_tiles, threshold))
         best = (
             seen.filter(F.col("remaining") == CLAIM)
             .groupBy("member").agg(F.min(F.struct((-F.col("n0")).alias("by"), "centre"))["centre"].alias("seed"))
         )
         claims = best.groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("claims"))
-        left = seen.filter(F.col("remaining") != CLAIM).groupBy(F.col("centre").alias("id")).agg(F.sum("remaining").alias("remaining"))
+        left = (
+            seen.filter(F.col("remaining") != CLAIM)
+            .groupBy(F.col("centre").alias("id")).agg(F.sum("remaining").alias("remaining"))
+        )
         state = cut_lineage(
-            centres.select("id", "chunk", "n0", "needed").join(left, "id", "left").join(claims, "id", "left")
+            centres.drop("embedding", "remaining").join(left, "id", "left").join(claims, "id", "left")
             .withColumn("alive", F.coalesce(F.col("remaining") >= F.col("needed"), F.lit(False)))
             .withColumn("ready", F.col("alive") & F.coalesce(F.col("claims") == F.col("remaining"), F.lit(False)))
         )
@@ -84,19 +144,13 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
             .select("chunk", "seed", "n0", F.col("member").alias("id"))
         )
         found.append(accepted)
-        waiting = state.filter(F.col("alive") & ~F.col("ready")).select("id")
-        centres = cut_lineage(centres.join(waiting, "id", "left_semi"))
+        waiting = state.filter(F.col("alive") & ~F.col("ready")).select("id", "remaining")
+        centres = cut_lineage(centres.drop("remaining").join(waiting, "id"))
         # a member without a candidate now never gets one later
         members = cut_lineage(
             members.join(best.select(F.col("member").alias("id")), "id", "left_semi")
             .join(accepted.select("id"), "id", "left_anti")
         )
-    if not found:
-        return placed.limit(0).select("chunk", F.col("id").alias("seed"), F.lit(0).cast("bigint").alias("n0"), "id")
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return result
 
 
 def numbered(members: DataFrame) -> DataFrame:

@@ -51,11 +51,12 @@ Reduce = Callable[[dict, dict, Iterator[tuple[slice, np.ndarray]]], dict]
 def tiled(centres: DataFrame, members: DataFrame, n_tiles: int, reduce: Reduce, **output: str) -> DataFrame:
     """Run ``reduce`` on every (centre tile, member tile) of a chunk.
 
-    Both sides have ``id, chunk, tile, embedding``; centres may carry a priority ``n0``.
+    Both sides have ``id, chunk, tile, embedding``; centres may carry a priority ``n0``
+    and a minimum ``needed``.
     ``reduce`` gets both sides as column dictionaries and the similarity matrix in slabs of
     centre rows, best priority first. ``output`` names its columns; type ``id`` is that of ids.
     """
-    extra = [c for c in ("n0",) if c in centres.columns]
+    extra = [c for c in ("n0", "needed") if c in centres.columns]
     tiles = F.sequence(F.lit(0).cast("bigint"), F.lit(n_tiles - 1).cast("bigint"))
     left = centres.select(
         "chunk", F.col("tile").alias("row_tile"), F.explode(tiles).alias("col_tile"),
@@ -75,7 +76,7 @@ def tiled(centres: DataFrame, members: DataFrame, n_tiles: int, reduce: Reduce,
             order = np.argsort(rows["id"].to_numpy(), kind="stable")
             order = order[np.argsort(-rows["n0"].to_numpy()[order], kind="stable")]
             rows = rows.take(order)
-        left_side = {c: rows[c].to_numpy() for c in ["id", *extra]}
+        left_side = {c: rows[c].to_numpy() for c in ["id", "chunk", *extra]}
         right_side = {"id": columns["id"].to_numpy()}
         a, b = _unit_matrix(rows["embedding"]), _unit_matrix(columns["embedding"]).T
 
