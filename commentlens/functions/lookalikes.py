@@ -143,6 +143,7 @@ class LookalikeSpelling:
         swapped = F.translate(text, "".join(ordered), "".join(ordered.values()))
         return F.when(text.rlike(r"[^\x00-\xFF]"), swapped).otherwise(text)
 
+    @lru_cache(maxsize=None)
     def letter(self, letter: str, canonical: bool = True) -> str:
         """Regex for one letter in any of its guises."""
         glyphs = self.glyphs[letter]
@@ -154,7 +155,8 @@ class LookalikeSpelling:
             return single
         return "(?:" + "|".join([*("".join(map(_escape, s)) for s in sequences), single]) + ")"
 
-    def pattern(self, phrases, canonical: bool = True) -> str:
+    @lru_cache(maxsize=64)
+    def pattern(self, phrases: tuple, canonical: bool = True) -> str:
         """One pattern for any of ``phrases``; a phrase wrapped in ``\\b`` must stand alone."""
         spelled = []
         for phrase in phrases:

@@ -29,7 +29,7 @@ RULES = (
     (15, "none", "VALID"),
 )
 
-_A, _T, _NA, _NT, _CA, _CT = "__a", "__t", "__na", "__nt", "__ca", "__ct"
+_A, _T, _NA, _NT, _CA, _CT, _RULE = "__a", "__t", "__na", "__nt", "__ca", "__ct", "__rule"
 
 
 def _surface(df: DataFrame, author: str, text: str, live: bool, book: RuleBook) -> DataFrame:
@@ -89,17 +89,21 @@ def flag(
     """
     book = book or (RuleBook.live() if live else RuleBook())
     tests = _tests(book, live, html)
-    (first_id, first, _), *others, (default, _, _) = RULES
-    rule = F.when(tests[first], first_id)
-    for rule_id, name, _ in others:
-        rule = rule.when(tests[name], rule_id)
-    rule = rule.otherwise(default)
+    rows = _surface(df, author, text, live, book)
+    # three projections keep each generated method small; a later one looks at a row only
+    # where the earlier ones found nothing
+    decided = F.lit(None).cast("bigint")
+    for first, last in ((1, 4), (5, 9), (10, len(RULES) - 1)):
+        verdict = F.when(decided.isNotNull(), decided)
+        for rule_id, name, _ in RULES[first - 1:last]:
+            verdict = verdict.when(tests[name], F.lit(rule_id).cast("bigint"))
+        rows = rows.withColumn(_RULE, verdict)
+        decided = F.col(_RULE)
+    found = F.coalesce(decided, F.lit(RULES[-1][0]).cast("bigint")).alias("rule_id")
     # the one-row generator keeps later filters on the verdict from being pushed below the
     # cascade, where they would evaluate all of it a second time
-    verdict = F.inline(F.array(F.struct(rule.cast("bigint").alias("rule_id"))))
     return (
-        _surface(df, author, text, live, book)
-        .select(*df.columns, verdict)
+        rows.select(*df.columns, F.inline(F.array(F.struct(found))))
         .withColumn("rule_label", label_of_rule(F.col("rule_id")))
     )
 
