@@ -158,13 +158,22 @@ class LookalikeSpelling:
     @lru_cache(maxsize=64)
     def pattern(self, phrases: tuple, canonical: bool = True) -> str:
         """One pattern for any of ``phrases``; a phrase wrapped in ``\\b`` must stand alone."""
-        spelled = []
+        spelled, firsts = [], set()
         for phrase in phrases:
             whole = phrase.startswith(r"\b")
             letters = phrase.removeprefix(r"\b").removesuffix(r"\b")
             body = _JOINERS.join(self.letter(c, canonical) for c in letters)
             spelled.append(rf"\b{_JOINERS}{body}{_JOINERS}\b" if whole else body)
-        return "|".join(spelled)
+            firsts |= {
+                s[0] for s in (*self.glyphs[letters[0]], *SEQUENCES.get(letters[0], ()))
+            }
+        if canonical:
+            firsts = {self.mapping.get(c, c) for c in firsts}
+        lead = _class(firsts)
+        if any(p.startswith(r"\b") for p in phrases):
+            lead = f"[{lead}{_JOINERS.removesuffix('*')}]"
+        # one class test rules out most positions before any phrase is tried
+        return f"(?={lead})(?:{'|'.join(spelled)})"
 
 
 @lru_cache(maxsize=4)

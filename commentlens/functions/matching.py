@@ -39,17 +39,21 @@ def contains_any(text: Column, phrases) -> Column:
 
 
 def _beyond_ascii(glyphs: str) -> str:
-    # ASCII characters fail the first set at once instead of being tried against every glyph
-    return rf"[[^\x00-\x7F]&&[{glyphs}]]"
+    # ASCII and accented Latin fail the first set at once instead of being tried against every glyph
+    return rf"[[^\x00-\x7F\xC0-\xFF]&&[{glyphs}]]"
 
 
 _DIGIT = _beyond_ascii(rulebook.STYLED_DIGITS)
 _PLUS, _ONE = _beyond_ascii(rulebook.STYLED_PLUS), _beyond_ascii(rulebook.STYLED_ONE)
-_PHONE = f"{_PLUS} ? ?(?:1|{_ONE})|[+] ? ?{_ONE}"
+
+
+def _has_styled(text: Column) -> Column:
+    """Styled digits and signs lie beyond Latin-1, but for the plus-minus sign."""
+    return text.rlike(r"[^\x00-\xB0\xB2-\xFF]")
 
 
 def styled_digit_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(_DIGIT))
+    return F.when(_has_styled(text), F.regexp_count(text, F.lit(_DIGIT))).otherwise(0)
 
 
 def has_styled_digits(text: Column, minimum: int = rulebook.STYLED_DIGIT_MINIMUM) -> Column:
@@ -57,4 +61,11 @@ def has_styled_digits(text: Column, minimum: int = rulebook.STYLED_DIGIT_MINIMUM
 
 
 def has_disguised_phone(text: Column) -> Column:
-    return text.rlike(_PHONE)
+    """A plus and a one next to each other, at least one of them disguised."""
+    return _has_styled(text) & (text.rlike(rf"{_PLUS} ? ?(?:1|{_ONE})") | text.rlike(rf"[+] ? ?{_ONE}"))
+
+
+def filled_phrases(text: Column, phrases) -> Column:
+    """Any of the filler patterns; their first letters are tested before the patterns are tried."""
+    firsts = "".join(sorted({p[0] for p in phrases}))
+    return text.rlike(f"(?=[{firsts}])(?:{'|'.join(phrases)})")

@@ -26,7 +26,6 @@ BUFFER_CHARS = "*_~|`[]()'-.•,"
 # Fixed value: Unicode categories that are stripped.
 STRIPPED_CATEGORIES = ("Mn", "Cc", "Cf", "Cs", "Co", "Cn", "Sk")
 
-_STRIP_PATTERN = "[" + "".join(rf"\p{{{c}}}" for c in STRIPPED_CATEGORIES) + "]"
 _BUFFER_PATTERN = r"([*_~|`\[\]()'\-.•,])\1+"
 _NON_ASCII = r"[^\x00-\x7F]"
 
@@ -45,11 +44,18 @@ def regex_ranges(codes) -> str:
     return "".join(parts)
 
 
+def _latin1_first(low, high: str) -> str:
+    """Class of the Latin-1 codes ``low`` and of what ``high`` matches beyond Latin-1.
+
+    Single Latin-1 characters compile to a bit set, and other Latin-1 text never reaches ``high``.
+    """
+    return "[" + "".join(rf"\x{c:02X}" for c in low) + rf"[[^\x00-\xFF]&&[{high}]]]"
+
+
 def sparse_class(codes) -> str:
-    """Regex for one of ``codes`` that rejects Latin-1 text without walking the other ranges."""
-    low = [c for c in codes if c <= 0xFF]
-    high = rf"[[^\x00-\xFF]&&[{regex_ranges(c for c in codes if c > 0xFF)}]]"
-    return f"(?:[{regex_ranges(low)}]|{high})" if low else high
+    """Regex class for one of ``codes``."""
+    codes = sorted(codes)
+    return _latin1_first([c for c in codes if c <= 0xFF], regex_ranges(c for c in codes if c > 0xFF))
 
 
 @lru_cache(maxsize=1)
@@ -81,6 +87,12 @@ def _jvm_mapping() -> tuple[dict[str, str], str]:
     return mapping, sparse_class(sorted(needs_udf))
 
 
+_STRIP_PATTERN = _latin1_first(
+    [c for c in range(0x100) if unicodedata.category(chr(c)) in STRIPPED_CATEGORIES],
+    "".join(rf"\p{{{c}}}" for c in STRIPPED_CATEGORIES),
+)
+
+
 def _translate(text: Column, mapping: dict[str, str]) -> Column:
     return F.translate(text, "".join(mapping), "".join(mapping.values()))
 

@@ -72,12 +72,12 @@ URL_PATTERN = url_pattern()
 
 
 def first_url(text: Column) -> Column:
-    """The first URL, or the empty string."""
-    return F.regexp_extract(text, URL_PATTERN, 0)
+    """The first URL, or the empty string. Text without ``://`` skips the pattern."""
+    return F.when(text.contains("://"), F.regexp_extract(text, URL_PATTERN, 0)).otherwise("")
 
 
 def contains_url(text: Column) -> Column:
-    return text.rlike(URL_PATTERN)
+    return text.contains("://") & text.rlike(URL_PATTERN)
 
 
 def is_only_url(text: Column) -> Column:

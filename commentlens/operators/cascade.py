@@ -58,7 +58,7 @@ def _tests(book: RuleBook, live: bool, html: str | None) -> dict[str, Column]:
         "author_ad": ca.rlike(glyphs.pattern(book.author_ad)),
         "author_combo": matching.any_combo(na, book.author_combos),
         "text_scam": ct.rlike(glyphs.pattern(book.text_scam)),
-        "text_filled": nt.rlike("|".join(book.text_filled)),
+        "text_filled": matching.filled_phrases(nt, book.text_filled),
         "text_combo": matching.any_combo(nt, book.text_combos),
         "pair_combo": matching.any_pair_combo(na, nt, book.pair_combos),
         "known_spam": matching.any_combo(nt, book.known_spam),

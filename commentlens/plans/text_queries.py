@@ -105,7 +105,7 @@ def letter_phrases(spark, folder):
         F.col("a").rlike(glyphs.pattern(rulebook.AUTHOR_NO_VIDEO_PHRASES)).alias("no_video"),
         F.col("a").rlike(glyphs.pattern(rulebook.AUTHOR_AD_PHRASES)).alias("ad"),
         F.col("ct").rlike(glyphs.pattern(rulebook.TEXT_SCAM_PHRASES)).alias("text_scam"),
-        F.col("nt").rlike("|".join(rulebook.TEXT_FILLED_PHRASES)).alias("filled"),
+        matching.filled_phrases(F.col("nt"), rulebook.TEXT_FILLED_PHRASES).alias("filled"),
     )
 
 

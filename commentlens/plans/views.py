@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlens.operators.ranking import first_per_key
-from commentlens.plans.registry import table
+from commentlens.plans.registry import spread, table
 
 # Planted rows: (doc_id % 32, author or None, text before, text after). One per cascade rule
 # and per normalisation path, because natural rule hits are rare in the test prose.
@@ -92,7 +92,8 @@ _COLUMNS = {
 
 def comments(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as comments, labels attached."""
-    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    joined = documents.join(table(spark, folder, "labels"), "doc_id", "left")
     return joined.selectExpr(*(f"{e.format(string='string')} AS {n}" for n, e in _COLUMNS.items()))
 
 
