@@ -14,6 +14,7 @@ from commentlens.functions.text import pair_text
 from commentlens.operators import store
 
 N_FEATURES = 1 << 14
+EMBEDDING_SIZE = 384
 
 
 def feature_stages(n_features: int = N_FEATURES, text: str = "pair") -> list:
@@ -30,7 +31,7 @@ def with_pair(df: DataFrame) -> DataFrame:
     return df.withColumn("pair", pair_text(F.col("author_name"), F.col("text")))
 
 
-def embed(df: DataFrame, key: str = "comment_id", n_features: int = N_FEATURES) -> DataFrame:
+def embed(df: DataFrame, key: str = "comment_id", n_features: int = EMBEDDING_SIZE) -> DataFrame:
     """``id, embedding`` from author and text, for the similarity operators."""
     pairs = with_pair(df)
     fitted = Pipeline(stages=feature_stages(n_features)).fit(pairs)
@@ -51,17 +52,14 @@ def train(labelled: DataFrame, n_features: int = N_FEATURES, max_iter: int = 20,
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``prediction_label`` and the ``probability`` of that class."""
-    columns = df.columns
-    probabilities = vector_to_array("probability")
-    return (
-        model.transform(with_pair(df))
-        .withColumn("__p", probabilities)
-        .select(
-            *columns,
-            scores.label_of(scores.argmax(F.col("__p"))).alias("prediction_label"),
-            F.array_max("__p").alias("probability"),
-        )
+    p = vector_to_array("probability")
+    verdict = F.struct(
+        scores.label_of(scores.argmax(F.col("__p"))).alias("prediction_label"),
+        F.array_max("__p").alias("probability"),
     )
+    # the one-row generator keeps filters on the verdict from running the model a second time
+    scored = model.transform(with_pair(df)).select(*df.columns, p.alias("__p"))
+    return scored.select(*df.columns, F.inline(F.array(verdict)))
 
 
 def prediction_queue(model: PipelineModel, comments: DataFrame,

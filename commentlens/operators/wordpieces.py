@@ -10,6 +10,9 @@ from commentlens.session import broadcast_if_small
 
 BROADCAST_ROWS = 500_000
 
+# ids are below this
+_SIZE = 1 << 40
+
 
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of each token."""
@@ -57,6 +60,10 @@ def split_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     longest = vocabulary.agg(F.max(F.length(F.regexp_replace("piece", "^##", "")))).first()[0] or 1
     n_chars = F.length("token")
+    # one shuffle of the tokens serves both aggregates below; the partition count is fixed because
+    # each token grows by its length times the piece lengths
+    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = tokens.select("token").repartition(partitions, "token")
     starts = tokens.select("token", F.explode(F.sequence(F.lit(1), n_chars)).alias("start"))
     room = F.least(n_chars - F.col("start") + 1, F.lit(longest))
     candidates = starts.select(
@@ -68,22 +75,23 @@ def split_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     found = candidates.join(
         broadcast_if_small(vocabulary, BROADCAST_ROWS), F.col("candidate") == F.col("piece")
     )
-    best = found.groupBy("token", "start").agg(
-        F.max(F.struct("size", "piece", "id")).alias("best")
-    )
+    # size and id in one number, so that the aggregate keeps a fixed-width buffer
+    best = found.groupBy("token", "start").agg(F.max(F.col("size") * F.lit(_SIZE) + F.col("id")).alias("best"))
     # a token has as many entries as characters
     spans = best.groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("start", "best"))).alias("spans")
     )
-    walk = F.expr("""
+    walk = F.expr(f"""
         aggregate(
             sequence(1, length(token)),
             named_struct('next', 1, 'pieces', cast(array() as array<string>), 'ids', cast(array() as array<bigint>)),
             (acc, i) -> CASE
                 WHEN acc.next <> i OR spans[i] IS NULL THEN acc
-                ELSE named_struct('next', i + spans[i].size,
-                                  'pieces', concat(acc.pieces, array(spans[i].piece)),
-                                  'ids', concat(acc.ids, array(spans[i].id)))
+                ELSE named_struct(
+                    'next', i + cast(spans[i] div {_SIZE} as int),
+                    'pieces', concat(acc.pieces, array(concat(
+                        CASE WHEN i > 1 THEN '##' ELSE '' END, substring(token, i, cast(spans[i] div {_SIZE} as int))))),
+                    'ids', concat(acc.ids, array(spans[i] % {_SIZE})))
             END)
     """)
     walked = tokens.join(spans, "token", "left").withColumn("walk", F.when(F.col("spans").isNotNull(), walk))
