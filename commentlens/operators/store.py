@@ -30,9 +30,12 @@ def complete_rows(df: DataFrame, required=REQUIRED) -> DataFrame:
 
 
 def insertable(incoming: DataFrame, stored: DataFrame, order, key: str = "comment_id") -> DataFrame:
-    """What an insert-or-ignore adds: complete rows, first per key by ``order``, key not stored."""
-    fresh = new_rows(complete_rows(incoming), stored, key)
-    return first_per_key(fresh, [key], order)
+    """What an insert-or-ignore adds: complete rows, first per key by ``order``, key not stored.
+
+    Repeats go first, before the shuffle, so the join never sees a hot incoming key; it reuses
+    the partitioning by key.
+    """
+    return new_rows(first_per_key(complete_rows(incoming), [key], order), stored, key)
 
 
 def insert_or_ignore(stored: DataFrame, incoming: DataFrame, order, key: str = "comment_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentlens.functions import tokens as token_fn
-from commentlens.session import broadcast_if_small
+from commentlens.session import broadcast_if_small, written_table
 
 BROADCAST_ROWS = 500_000
 
@@ -111,12 +111,12 @@ def encode(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text",
     those are looked up.
     """
     head = df.select(key, F.slice(token_fn.pretokenise(F.col(text)), 1, length).alias("tokens"))
-    exploded = head.select(key, F.posexplode("tokens").alias("pos", "token"))
-    split = split_tokens(exploded.select("token").distinct(), vocabulary).select("token", "ids")
+    # read by the distinct tokens and by the join, and far smaller than the texts
+    head = written_table(head, "token-heads")
+    exploded = head.select(key, F.posexplode_outer("tokens").alias("pos", "token"))
+    distinct = exploded.select("token").filter(F.col("token").isNotNull()).distinct()
+    parts = F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))
     # at most ``length`` rows per key
-    ids = exploded.join(split, "token").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts")
-    )
-    flat = F.slice(F.flatten(F.transform("parts", lambda p: p["ids"])), 1, length)
-    empty = F.array().cast("array<bigint>")
-    return head.select(key).join(ids, key, "left").select(key, F.coalesce(flat, empty).alias("ids"))
+    joined = exploded.join(split_tokens(distinct, vocabulary).select("token", "ids"), "token", "left")
+    ids = joined.groupBy(key).agg(F.sort_array(F.collect_list(parts)).alias("parts"))
+    return ids.select(key, F.slice(F.flatten(F.transform("parts", lambda p: p["ids"])), 1, length).alias("ids"))
