@@ -48,8 +48,8 @@ def test_normalise_equals_character_walk(spark):
     pools = [
         [chr(c) for c in range(32, 127)], [chr(c) for c in range(0xA0, 0x250)], list(fold_map()),
         [chr(c) for c in range(0x370, 0x530)], list(text.BUFFER_CHARS), [chr(c) for c in range(0x1D400, 0x1D800)],
-        list("👈👉☝🎁▶⬆😀ﬁ½①カ漢한"), [chr(c) for c in range(0x2000, 0x2100)], [" ", "\t", "\n", "\u00a0"],
-    ]
+        list("👈👉☝🎁▶⬆😀ﬁ½①カ漢한"), [chr(c) for c in range(0x2000, 0x20C0)], [" ", "\t", "\n", "\u00a0"],
+    ]  # U+20C0 is newer than the Unicode tables of Java 17, which call it unassigned
     assigned = lambda c: unicodedata.category(c) != "Cn"
     values = []
     for _ in range(400):
