@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlens.functions.html import display_text, permalink
-from commentlens.operators.ranking import first_per_key
+from commentlens.operators.ranking import first_per_key, seeded_order
 from commentlens.schema import COMMENTS, DATASET_COLUMNS, REQUIRED
 
 REVIEW_SCORE = 0.95
@@ -133,8 +133,4 @@ def comments_sql(
     unknown = set(result.columns) - set(COMMENTS.names)
     if unknown:
         raise ValueError(f"not comment columns: {sorted(unknown)}")
-    return result.orderBy(random_order(seed)) if shuffle else result
-
-
-def random_order(seed: str = "0", key: str = "comment_id") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key)))
+    return result.orderBy(seeded_order(seed, "comment_id")) if shuffle else result

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commentlens.operators import store
-from commentlens.schema import COMMENTS, DATASET, LABELS
+from commentlens.schema import COMMENTS, DATASET
 
 
 class CommentTable:
@@ -57,8 +57,3 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     schema = "index bigint, text string, prediction string"
     return spark.read.schema(schema).options(sep="\t", header=True, escape='"', multiLine=True).csv(path)
-
-
-def known_labels(df: DataFrame) -> DataFrame:
-    """Rows whose label is NULL or one of the eleven names."""
-    return df.filter(F.col("label").isNull() | F.col("label").isin(*LABELS))

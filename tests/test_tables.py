@@ -161,3 +161,18 @@ def test_round_trips(spark, tmp_path):
 def test_label_counts_are_zero_filled(spark):
     counts = {r.label: r.n for r in dataset.label_counts(frame(spark, [comment("1", "SCAM")])).collect()}
     assert set(counts) == set(LABELS) and counts["SCAM"] == 1 and counts["SPONSOR"] == 0
+
+
+def test_rewrite_and_shared_folder(spark, tmp_path):
+    from commentlens.session import shared_dir, work_path, written_table
+
+    table = tables.CommentTable(spark, str(tmp_path / "v1"))
+    table.insert(frame(spark, [comment("1"), comment("2")]), [F.col("text")])
+    updated = store.update_by_key(table.read(), frame(spark, [comment("2", "SCAM", True)]))
+    newer = table.rewrite(updated, str(tmp_path / "v2"))
+    assert {(r.comment_id, r.label, r.moderated) for r in newer.read().collect()} == {("1", None, False), ("2", "SCAM", True)}
+    assert table.read().filter("moderated").count() == 0
+    assert work_path(spark, "x").startswith(shared_dir(spark))
+    assert written_table(table.read(), "copy").count() == 2
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert before is None or before.rstrip("/") == shared_dir(spark)
