@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commentlens.llm import bytecnn
 from commentlens.llm.blocknames import exact_duplicates
+from commentlens.llm.circulant import near_duplicates
+from commentlens.llm.superkmers import drop_repeats
 from commentlens.plans.registry import table
 
 QUERIES: dict = {}
@@ -30,3 +33,41 @@ g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY s
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, t.s AS text_sha256 FROM t JOIN g ON t.s = g.s""")
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h),
+f AS (SELECT DISTINCT v.doc_id, unnest(range(i, i + 50)) AS pos FROM v JOIN m USING (h) WHERE v.doc_id > least),
+x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w),
+k AS (SELECT x.doc_id, count(f.pos) AS n_removed, string_agg(word, ' ' ORDER BY x.pos) FILTER (f.pos IS NULL) AS kept
+      FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.pos = x.pos GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""")
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeats(table(spark, folder, "documents"))
+
+
+@query("op8_minhash_near_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS h FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(reach) AS component_id, d.doc_id = min(reach) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n""")
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), shingle=4).drop("class_size")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    network = bytecnn.train(docs, labels)
+    return bytecnn.scored(docs.select("doc_id", "text"), network).select(
+        "doc_id", bytecnn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
