@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from commentlens.llm import bytecnn
 from commentlens.llm.blocknames import exact_duplicates
 from commentlens.llm.circulant import near_duplicates
+from commentlens.llm.contain import contaminated
+from commentlens.llm.linetemplates import drop_recurring_lines
+from commentlens.llm.mixing import mixed
 from commentlens.llm.superkmers import drop_repeats
+from commentlens.llm.urlcascade import SITES, url_verdicts
 from commentlens.plans.registry import table
 
 QUERIES: dict = {}
@@ -71,3 +75,45 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     network = bytecnn.train(docs, labels)
     return bytecnn.scored(docs.select("doc_id", "text"), network).select(
         "doc_id", bytecnn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op2_source_mixing")
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return mixed(docs, labels, keep=["doc_id"])
+
+
+@query("op6_url_filter", rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+        WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+        WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule,
+        len(list_intersect(string_split(host, '.'), {list(SITES)})) > 0 AS listed FROM s)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block'
+    WHEN rule IS NULL AND listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r""")
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_verdicts(table(spark, folder, "pages"))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, folder, "documents"))
+
+
+@query("op9_benchmark_decontamination", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+q AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b WHERE len(ws) >= 5)),
+n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN q ON d.s = q.s GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE n_found * 100 >= n_item * 80""")
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
