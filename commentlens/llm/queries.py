@@ -11,8 +11,10 @@ from commentlens.llm.circulant import near_duplicates
 from commentlens.llm.contain import contaminated
 from commentlens.llm.linetemplates import drop_recurring_lines
 from commentlens.llm.mixing import mixed
+from commentlens.llm.secrets import find_secrets
 from commentlens.llm.superkmers import drop_repeats
 from commentlens.llm.urlcascade import SITES, url_verdicts
+from commentlens.llm.warc import archived
 from commentlens.plans.registry import table
 
 QUERIES: dict = {}
@@ -117,3 +119,19 @@ f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN q ON d.s = q.s GRO
 SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE n_found * 100 >= n_item * 80""")
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_warc", r"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT body, max(page_id) AS last FROM t GROUP BY body),
+b AS (SELECT page_id, strlen(t.body) AS payload_bytes, sha1(t.body) AS hex, last FROM t JOIN g ON t.body = g.body)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b""")
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(table(spark, folder, "pages"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(table(spark, folder, "documents")).drop("base")
