@@ -9,8 +9,9 @@ with a probability of 5e-7.
 Copies (equal shingle sets) form one class, and classes are compared. A bucket of m classes isn't
 expanded into m^2 pairs. Its members are compared with its smallest member, first one pair per
 member, then the rest of those pairs; each time, what is already connected is left out. Only members
-of one bucket that are still in different components after that are compared pair by pair. No pair
-that shares a band is left untested unless its two ends are known to be connected.
+of one bucket that are still in different components after that are compared all with all, in tiles
+whose pairs never become rows. No pair that shares a band is left untested unless its two ends are
+known to be connected.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS = 48
 ROWS = 6
 #: Members of one hub that a task compares.
 HUB_MEMBERS = 500
+#: Members of one block of a bucket, and columns of the incidence table that are multiplied at once.
+TILE, COLUMNS = 512, 2048
 _RUN = 1 << 15
 
 
@@ -195,17 +198,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         roots = components(links)
 
     # what is left: members of one bucket in different components, none of which is its hub's
-    rooted = shared.join(roots.select("node", "root"), "node", "left").select("key", "node", "n_shingles", "hub", F.coalesce("root", "node").alias("root"))
-    rooted = written_table(rooted, "circulant-rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    mixed = written_table(rooted.where("node <> hub").join(written_table(mixed, "circulant-mixed"), "key", "left_semi"), "circulant-open")
-    left = mixed.select("key", F.col("node").alias("hub"), F.col("n_shingles").alias("n_hub"), F.col("root").alias("root_hub"))
-    pairs = mixed.select("key", "node", "n_shingles", "root").join(left, "key").where(
-        (F.col("hub") < F.col("node")) & (F.col("root") != F.col("root_hub"))
-        & (100 * F.least("n_shingles", "n_hub") >= percent * F.greatest("n_shingles", "n_hub")))
-    pairs = written_table(pairs.select("node", "hub").distinct().join(tested, ["node", "hub"], "left_anti"), "circulant-rest")
-    if not pairs.isEmpty():
-        links = links.unionByName(_confirmed(pairs, texts, shingle, percent))
+    rooted = shared.where("node <> hub").join(roots.select("node", "root"), "node", "left")
+    rooted = written_table(rooted.select("key", "node", F.coalesce("root", "node").alias("root")), "circulant-rooted")
+    mixed = rooted.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("members"))
+    # buckets with the same members are compared once
+    mixed = mixed.where("low < high").groupBy("low", "high", "size", "members").agg(F.min("key").alias("key"))
+    mixed = written_table(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "circulant-mixed")
+    if not mixed.isEmpty():
+        links = links.unionByName(_tiled(rooted.join(mixed, "key").select("key", "node", "blocks"), texts, shingle, percent))
         roots = components(links)
 
     named = written_table(
@@ -220,6 +221,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     )
 
 
+def _joined(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The smallest position that each set reaches over links, by tiles of a product of incidence columns."""
+    sizes = np.array([len(x) for x in sets])
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.full(len(values), -1)
+    number[count > 1] = np.arange((count > 1).sum())
+    column = number[column]
+    order = np.argsort(column, kind="stable")
+    column, owners = column[order], owners[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owners[a:b], column[a:b] - low] = 1
+        shared += part @ part.T
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        lower = np.where(linked, label[None, :], len(sets)).min(axis=1)
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _tile(shingle: int, percent: int):
+    """Rows sorted by tile; a tile's members are compared with each other, all at once."""
+
+    def links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(nodes[i], nodes[r]) for i, r in enumerate(_joined(sets, percent)) if nodes[i] != nodes[r]] if len(sets) > 1 else []
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, nodes, sets = None, [], []
+        for frame in frames:
+            out: list = []
+            row = 0
+            for part in slices(pa.array(frame["text"], pa.large_string()), lower=True):
+                for a, b in zip(part.first[:-1], part.first[1:], strict=True):
+                    here = (frame["key"].iat[row], frame["low"].iat[row], frame["high"].iat[row])
+                    if here != tile:
+                        out.extend(links(nodes, sets))
+                        tile, nodes, sets = here, [], []
+                    nodes.append(frame["node"].iat[row])
+                    sets.append(shingle_set(part.hashes[a:b], shingle))
+                    row += 1
+            yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(links(nodes, sets), columns=["a", "b"])
+
+    return run
+
+
+def _tiled(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among the members of each bucket. Blocks of about ``TILE`` members meet each other in tiles."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = written_table(met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node"), "circulant-tiles")
+    rows = met.join(texts, "node").select("key", "low", "high", "node", "text")
+    spread = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return written_table(spread.mapInPandas(_tile(shingle, percent), "a long, b long"), "circulant-links")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame, one: str, other: str) -> DataFrame:
     """The pairs whose ends have different roots; a node without root is its own."""
     left = roots.select(F.col("node").alias(one), F.col("root").alias("r1"))
