@@ -116,10 +116,11 @@ class ByteNetwork:
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 11) -> ByteNetwork:
         """Adam on batches of whole texts; both labels weigh the same in sum."""
         rng = np.random.default_rng(seed)
-        share = labels.mean() if len(labels) else 0.5
+        share = labels.mean() if len(labels) else 0.0
         if not 0 < share < 1:
+            # nothing to tell apart: a constant on the side of the only label
             self.weights[:] = 0
-            self.bias[0] = {0: -4.0, 1: 4.0}.get(float(share), 0.0)
+            self.bias[0] = (8.0 * share - 4.0) if len(labels) else 0.0
             return self
         importance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]

@@ -73,7 +73,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key per band, different bands having different keys."""
-    parts = rows.reshape(len(rows), bands, -1)
+    parts = rows.reshape(len(rows), bands, rows.shape[1] // bands)
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2]).copy()
     for k in range(parts.shape[2]):
         out = (out ^ parts[:, :, k]) * np.uint64(0x9FB21C651E98DF25)
