@@ -20,7 +20,7 @@ EMBEDDING_SIZE = 384
 def feature_stages(n_features: int = N_FEATURES, text: str = "pair") -> list:
     """Token counts hashed to a unit TF-IDF vector."""
     return [
-        RegexTokenizer(inputCol=text, outputCol="tokens", pattern=r"\w+", gaps=False),
+        RegexTokenizer(inputCol=text, outputCol="tokens", pattern=r"(?U)\w+", gaps=False),
         HashingTF(inputCol="tokens", outputCol="counts", numFeatures=n_features),
         IDF(inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features"),
