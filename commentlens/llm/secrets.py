@@ -32,8 +32,9 @@ PATTERNS = (
 KINDS = ("assign", "access", "hex", "format")
 #: A token that may be a credential.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Labelled credentials and ordinary tokens that the automata learn from at most, of each kind.
-FIT_VALUES = 800
+#: Labelled credentials and ordinary tokens that the automata learn from at most, of each kind, and the
+#: characters that one of these may have. Every token is scored, whatever its length.
+FIT_VALUES, FIT_LENGTH = 800, 256
 #: Confidence of a merge, and the advantage per character from which a token counts as a credential.
 ALPHA, ADVANTAGE = 0.05, 1.6
 
@@ -240,24 +241,26 @@ def _extended(formats, threshold: float):
     return run
 
 
-def find_secrets(docs: DataFrame, fit_values: int = FIT_VALUES, threshold: float = ADVANTAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, fit_values: int = FIT_VALUES, fit_length: int = FIT_LENGTH, threshold: float = ADVANTAGE,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``base``, ``spans``, ``n_format``.
 
     Spans are ``kind:start:end`` in code points, by start, comma-joined. The automata learn from at most
-    ``fit_values`` different credentials of each kind and as many ordinary tokens, those with the smallest
-    hashes; every token is scored. A null text is empty and has no spans. Ids may be null or repeat.
+    ``fit_values`` different credentials of each kind and as many ordinary tokens, of those of up to
+    ``fit_length`` characters the ones with the smallest hashes; every token is scored. A null text is empty and has no spans. Ids may be null or repeat.
     An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     found = written_table(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_scanned, _FOUND), "secrets-found")
     both = F.explode(F.arrays_zip("kinds", "secrets")).alias("s")
-    labels = found.select(both).select(F.col("s.kinds").alias("kind"), F.col("s.secrets").alias("value")).distinct()
+    labels = found.select(both).select(F.col("s.kinds").alias("kind"), F.col("s.secrets").alias("value")).where(F.length("value") <= fit_length).distinct()
     labelled: dict[str, list[str]] = {}
     for kind in KINDS[:3]:
         rows = labels.where(F.col("kind") == kind).select("value").orderBy(F.xxhash64("value"), "value").limit(fit_values)
-        labelled[kind] = [r[0][:256] for r in rows.collect()]
-    tokens = found.select(F.explode("tokens").alias("value")).distinct().orderBy(F.xxhash64("value"), "value").limit(fit_values)
-    formats = spark.sparkContext.broadcast(Formats(labelled, [r[0][:256] for r in tokens.collect()]))
+        labelled[kind] = [r[0] for r in rows.collect()]
+    tokens = found.select(F.explode("tokens").alias("value")).where(F.length("value") <= fit_length).distinct()
+    tokens = tokens.orderBy(F.xxhash64("value"), "value").limit(fit_values)
+    formats = spark.sparkContext.broadcast(Formats(labelled, [r[0] for r in tokens.collect()]))
     spans = found.select("doc_id", "base", "starts", "ends", "tokens").mapInArrow(_extended(formats, threshold), "doc_id long, base string, spans string")
     count = lambda kind, c: (F.size(F.split(c, f"{kind}:")) - 1).cast("long")
     return spans.select(
