@@ -25,5 +25,10 @@ def with_markers(ids: Column) -> Column:
     return F.concat(F.array(F.lit(START_ID).cast("bigint")), ids, F.array(F.lit(END_ID).cast("bigint")))
 
 
+def fixed_length(ids: Column, length: int = SEQUENCE_LENGTH) -> Column:
+    """Markers around as many ids as fit, then padding; the markers count."""
+    return pad_or_truncate(with_markers(F.slice(ids, 1, length - 2)), length)
+
+
 def attention_mask(ids: Column) -> Column:
     return F.transform(ids, lambda _: F.lit(1).cast("bigint"))

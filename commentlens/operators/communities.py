@@ -1,8 +1,8 @@
 """Greedy communities of near-identical rows, their scores, and label propagation.
 
 A row with enough neighbours is a candidate centre. Taken from the largest neighbourhood down,
-a candidate claims its neighbours that are still free, if enough are left. Neighbours never
-span chunks, so chunks are independent. A chunk whose neighbour lists are few enough, by count,
+a candidate claims its neighbours that are still free, if enough are left. The whole table is one
+chunk unless the caller asks for more; neighbours never span chunks. A chunk whose neighbour lists are few enough, by count,
 is settled by one walk over them. A chunk with more is worked on in rounds that never list the
 neighbours: a candidate is accepted once it is the best remaining candidate for every free
 neighbour it has, which gives the same result.
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentlens.operators import similarity
@@ -96,7 +96,7 @@ def _walk(centres: DataFrame, members: DataFrame, n_tiles: int, threshold: float
 
 
 def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN_SIZE,
-           chunk_rows: int = similarity.CHUNK_ROWS, tile_rows: int = similarity.TILE_ROWS,
+           chunk_rows: int | None = None, tile_rows: int = similarity.TILE_ROWS,
            walk_entries: int = WALK_ENTRIES) -> DataFrame:
     """``chunk, seed, n0, id`` of every community member; ``vectors`` is ``id, embedding``."""
     placed, n_tiles = similarity.place(vectors, chunk_rows, tile_rows)
@@ -154,13 +154,10 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
 
 
 def numbered(members: DataFrame) -> DataFrame:
-    """Add ``community_id``: 1-based position in its chunk by size, then original size, then seed.
-
-    A chunk has a bounded number of rows, so its list of communities is bounded too.
-    """
+    """Add ``community_id``: 1-based position by size, then original size, then seed, over all chunks."""
     sizes = members.groupBy("chunk", "seed", "n0").agg(F.count(F.lit(1)).alias("size"))
-    window = Window.partitionBy("chunk").orderBy(F.desc("size"), F.desc("n0"), "seed")
-    ids = sizes.withColumn("community_id", F.row_number().over(window).cast("bigint"))
+    order = [F.desc("size"), F.desc("n0"), F.col("seed")]
+    ids = rank_within(sizes.withColumn("__all", F.lit(0)), ["__all"], order, "community_id")
     return members.join(ids.select("chunk", "seed", "size", "community_id"), ["chunk", "seed"])
 
 

@@ -47,6 +47,12 @@ def settings_table(spark: SparkSession, changes: dict[str, str] | None = None) -
     return spark.createDataFrame(list(rows.items()), "setting string, value string")
 
 
+def uses_rules(settings: DataFrame) -> bool:
+    """Whether rules may decide at all; on unless switched off."""
+    row = settings.filter(F.col("setting") == "use-rules").agg(F.max("value")).first()
+    return row[0] is None or row[0] == "true"
+
+
 def label_policy(settings: DataFrame) -> DataFrame:
     """``label, enabled, action`` for every label that has a setting."""
     wanted = [*LABEL_SETTINGS, *((label, "action") for label in dict(LABEL_SETTINGS))]

@@ -65,12 +65,14 @@ def reviewed_histogram(members: DataFrame) -> DataFrame:
 def apply_community_decisions(stored: DataFrame, members: DataFrame, decisions: DataFrame) -> DataFrame:
     """``X`` resets every member; a label goes to the unreviewed members only, score untouched.
 
+    A community without unreviewed members is not open to a decision and stays as it is.
     ``members`` holds ``community_id, comment_id``; ``decisions`` one ``response`` per community.
     """
     answered = decisions.filter(F.col("response").isNotNull() & (F.col("response") != ""))
+    found = stored.join(members.select("community_id", "comment_id"), "comment_id")
+    undecided = found.filter(~F.col("moderated")).select("community_id").distinct()
     touched = (
-        stored.join(members.select("community_id", "comment_id"), "comment_id")
-        .join(answered, "community_id")
+        found.join(answered.join(undecided, "community_id"), "community_id")
         .filter((F.col("response") == RESET) | ~F.col("moderated"))
     )
     reset = F.col("response") == RESET

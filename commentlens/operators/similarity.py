@@ -1,10 +1,10 @@
 """Cosine similarity over tiles of vectors.
 
-Rows are hashed into chunks of bounded size (neighbours never span chunks) and each chunk into
-tiles. One task multiplies one tile of centres with one tile of members and emits per-row
-reductions (counts, best centre, top k), never the pairs inside a group. Work per row is
-bounded by the chunk size, so it grows linearly with the table, and a cluster that holds a
-third of all rows costs no more than any other.
+Rows are hashed into tiles. One task multiplies one tile of centres with one tile of members and
+emits per-row reductions (counts, best centre, top k), never the pairs inside a group. Every row
+meets every other one, whatever the size of the table, so the result is exact and the work grows
+with its square. A caller who prefers linear work asks for chunks of ``chunk_rows`` rows, which
+neighbours then do not span.
 """
 
 from __future__ import annotations
@@ -17,19 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 500_000
 TILE_ROWS = 32_768
 _SLAB = 2_048
 
 
-def place(vectors: DataFrame, chunk_rows: int = CHUNK_ROWS, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, int]:
+def place(vectors: DataFrame, chunk_rows: int | None = None, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, int]:
     """Add ``chunk`` and ``tile`` to ``id, embedding``; also return the tiles per chunk."""
     total = vectors.count()
-    n_chunks = max(1, math.ceil(total / chunk_rows))
+    n_chunks = max(1, math.ceil(total / chunk_rows)) if chunk_rows else 1
     n_tiles = max(1, math.ceil(math.ceil(total / n_chunks) / tile_rows))
     return (
         vectors.withColumns({
-            "chunk": F.pmod(F.xxhash64("id"), F.lit(n_chunks)),
+            "chunk": F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint") % n_chunks,
             "tile": F.pmod(F.xxhash64(F.lit("tile"), "id"), F.lit(n_tiles)),
         }),
         n_tiles,
@@ -100,6 +99,18 @@ def _concat(parts: list[np.ndarray], like: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else like[:0]
 
 
+def _first(values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest values of each row, in order; of equal ones the first."""
+    out = np.empty((len(values), k), np.int64)
+    if not k:
+        return out
+    cut = np.partition(values, k - 1, axis=1)[:, k - 1]
+    for i, row in enumerate(values):
+        open_places = np.flatnonzero(row <= cut[i])
+        out[i] = open_places[np.argsort(row[open_places], kind="stable")[:k]]
+    return out
+
+
 def neighbour_counts(placed: DataFrame, n_tiles: int, threshold: float) -> DataFrame:
     """``id, n``: rows of the same chunk with cosine at least ``threshold``, itself included."""
 
@@ -126,7 +137,7 @@ def top_k(placed: DataFrame, n_tiles: int, k: int) -> DataFrame:
         for part, sims in slabs:
             sims = np.round(sims, 9)[:, order]
             keep = min(k, sims.shape[1])
-            picked = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
+            picked = _first(-sims, keep)
             ids.append(np.repeat(left["id"][part], keep))
             neighbours.append(right["id"][order][picked].ravel())
             found.append(np.take_along_axis(sims, picked, axis=1).ravel())
@@ -148,7 +159,7 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, chunk_rows: int = CHUNK_ROWS,
+def similar_pairs(vectors: DataFrame, threshold: float, chunk_rows: int | None = None,
                   tile_rows: int = TILE_ROWS) -> DataFrame:
     """``left_id, right_id, sim, left_copies, right_copies`` with cosine at least ``threshold``.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentlens.functions import tokens as token_fn
+from commentlens.operators.ranking import rank_within
 from commentlens.session import broadcast_if_small, written_table
 
 BROADCAST_ROWS = 500_000
@@ -20,28 +21,11 @@ def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequent_vocabulary(counts: DataFrame, size: int = 30_000) -> DataFrame:
-    """A vocabulary of the ``size`` most frequent pieces: ``piece, id``.
-
-    Pieces are whole tokens, three-letter starts, and two-letter and one-letter continuations.
-    The numbering window covers ``size`` rows, whatever the corpus.
-    """
-    token = F.col("token")
-    n_chars = F.length(token)
-    pieces = F.array_distinct(F.array(
-        token,
-        F.substring(token, 1, 3),
-        F.concat(F.lit("##"), F.right(token, F.lit(2))),
-        F.concat(F.lit("##"), F.right(token, F.lit(1))),
-    ))
-    ranked = (
-        counts.select(F.explode(F.when(n_chars >= 4, pieces).otherwise(F.array(token))).alias("piece"), "n")
-        .groupBy("piece").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece").limit(size)
-    )
-    return ranked.select(
-        "piece", (F.row_number().over(Window.orderBy(F.desc("n"), "piece")) + 999).cast("bigint").alias("id")
-    )
+def numbered_pieces(pieces: DataFrame, first_id: int = 1000) -> DataFrame:
+    """``piece, id`` from a column ``piece``: distinct pieces, numbered in their order."""
+    distinct = pieces.select("piece").distinct().withColumn("__all", F.lit(0))
+    ranked = rank_within(distinct, ["__all"], [F.col("piece")], "id")
+    return ranked.select("piece", (F.col("id") + (first_id - 1)).alias("id"))
 
 
 def lookup_ids(tokens: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:
@@ -103,20 +87,19 @@ def split_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def encode(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text",
-           length: int = token_fn.SEQUENCE_LENGTH) -> DataFrame:
-    """``key, ids``: at most ``length`` subword ids per text.
+def encode(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", length: int | None = None) -> DataFrame:
+    """``key, ids``: the subword ids of each text, or its first ``length`` ones.
 
-    A token gives at least one id, so the first ``length`` tokens decide the result; only
-    those are looked up.
+    A token gives at least one id, so with a ``length`` only that many tokens are looked up.
     """
-    head = df.select(key, F.slice(token_fn.pretokenise(F.col(text)), 1, length).alias("tokens"))
-    # read by the distinct tokens and by the join, and far smaller than the texts
-    head = written_table(head, "token-heads")
+    tokens = token_fn.pretokenise(F.col(text))
+    # read by the distinct tokens and by the join
+    head = written_table(df.select(key, (tokens if length is None else F.slice(tokens, 1, length)).alias("tokens")), "token-heads")
     exploded = head.select(key, F.posexplode_outer("tokens").alias("pos", "token"))
     distinct = exploded.select("token").filter(F.col("token").isNotNull()).distinct()
     parts = F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))
-    # at most ``length`` rows per key
+    # as many rows per key as its text has tokens
     joined = exploded.join(split_tokens(distinct, vocabulary).select("token", "ids"), "token", "left")
     ids = joined.groupBy(key).agg(F.sort_array(F.collect_list(parts)).alias("parts"))
-    return ids.select(key, F.slice(F.flatten(F.transform("parts", lambda p: p["ids"])), 1, length).alias("ids"))
+    ids = ids.select(key, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    return ids if length is None else ids.withColumn("ids", F.slice("ids", 1, length))

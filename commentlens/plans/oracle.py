@@ -170,16 +170,16 @@ def tokens_of(x: str) -> str:
     return rf"regexp_extract_all({x}, '\b\w+\b|[^\s\w]')"
 
 
-# comment tokens, their counts, a vocabulary of the most frequent pieces, greedy subwords
+# comment tokens, their counts, a vocabulary of the benchmark's pieces, greedy subwords
 TOKENS_SQL = SEEDED_SQL + f"""
 , plain AS (SELECT comment_id, {normal('text')} AS text FROM seeded)
 , occurrences AS (SELECT comment_id, {tokens_of('text')} AS toks FROM plain)
 , counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM occurrences) GROUP BY token)
 , pieces AS (
-    SELECT unnest(CASE WHEN length(token) >= 4 THEN list_distinct([token, substr(token, 1, 3),
-        '##' || right(token, 2), '##' || right(token, 1)]) ELSE [token] END) AS piece, n FROM counts)
-, ranked AS (SELECT piece, sum(n) AS n FROM pieces GROUP BY piece ORDER BY n DESC, piece LIMIT 3000)
-, vocabulary AS (SELECT piece, 999 + row_number() OVER (ORDER BY n DESC, piece) AS id FROM ranked)
+    SELECT DISTINCT unnest(CASE WHEN length(token) >= 4 THEN [token, substr(token, 1, 3),
+        '##' || right(token, 2), '##' || right(token, 1)] ELSE [token] END) AS piece
+    FROM (SELECT DISTINCT unnest({tokens_of(normal('text'))}) AS token FROM benchmark))
+, vocabulary AS (SELECT piece, 999 + row_number() OVER (ORDER BY piece) AS id FROM pieces)
 """
 
 SUBWORDS_SQL = TOKENS_SQL.replace("WITH ", "") + f"""

@@ -154,7 +154,14 @@ def community_scores(spark, folder):
     return _scored(spark, folder).select("community_id", "comment_id", "score", "rank")
 
 
-@query("chunked_communities")
+_CHUNK_SQL = "cast('0x' || substr(md5(cast({} AS varchar)), 1, 8) AS bigint) % (SELECT ceil(count(*) / 250)::bigint FROM embeddings)"
+_CHUNKED_SQL = _COMMUNITIES_SQL.replace(
+    f"FROM near WHERE sim >= {THRESHOLD}", f"FROM near WHERE sim >= {THRESHOLD} AND {_CHUNK_SQL.format('i')} = {_CHUNK_SQL.format('j')}"
+).replace(f">= {MIN_SIZE}", ">= 3")
+
+
+@query("chunked_communities", f"""
+    WITH RECURSIVE {_CHUNKED_SQL} SELECT {_CHUNK_SQL.format('seed')} AS chunk, community_id, seed, size, id FROM numbered""")
 def chunked_communities(spark, folder):
     """Chunks of bounded size: neighbours never span chunks."""
     found = communities.detect(views.vectors(spark, folder), THRESHOLD, 3, chunk_rows=250, tile_rows=64)
@@ -216,7 +223,8 @@ def reviewed_histogram(spark, folder):
     , answers AS (SELECT DISTINCT community_id, CASE community_id % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'SPONSOR' END AS response
                   FROM numbered)
     , changed AS (SELECT id, response FROM state JOIN answers USING (community_id)
-                  WHERE response = 'X' OR (response IS NOT NULL AND NOT moderated))
+                  WHERE (response = 'X' OR (response IS NOT NULL AND NOT moderated))
+                  AND community_id IN (SELECT community_id FROM state WHERE NOT moderated))
     SELECT c.comment_id, CASE WHEN u.id IS NULL THEN c.label WHEN response <> 'X' THEN response END AS label,
            CASE WHEN u.id IS NULL THEN c.moderated ELSE response <> 'X' END AS moderated
     FROM stored c LEFT JOIN changed u ON u.id = c.comment_id""")
@@ -234,7 +242,10 @@ def community_decisions(spark, folder):
 
 # --- scores and metrics ----------------------------------------------------------------------
 
-_LOGITS_SQL = "logits AS (SELECT vec_id, list_transform(embedding[1:11], lambda x: x::double * 40) AS z FROM embeddings)"
+# eleven classes: element i of the vector counts for class i % 11
+_LOGITS_SQL = """logits AS (
+    SELECT vec_id, list_transform(range(1, 12), lambda k: 20 * list_sum(list_transform(embedding[k:len(embedding):11],
+        lambda x: x::double))) AS z FROM embeddings)"""
 
 
 @query("class_scores", f"""
@@ -244,9 +255,11 @@ _LOGITS_SQL = "logits AS (SELECT vec_id, list_transform(embedding[1:11], lambda
     SELECT vec_id, CAST(top AS bigint) AS model_id, round(list_max(w) / list_sum(w), 5) AS probability,
            top <> 0 AND list_max(w) / list_sum(w) >= 0.9 AS ask FROM p""")
 def class_scores(spark, folder):
-    logits = table(spark, folder, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 11), lambda x: x.cast("double") * 40).alias("z")
-    )
+    def total(k):
+        own = F.filter("embedding", lambda x, i: i % 11 == k)
+        return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x.cast("double")) * 20
+
+    logits = table(spark, folder, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(10)), total).alias("z"))
     rated = logits.select("vec_id", scores.argmax(F.col("z")).alias("model_id"), scores.softmax(F.col("z")).alias("p"))
     probability = F.array_max("p")
     return rated.select(

@@ -11,12 +11,10 @@ from commentlens.operators.dataset import label_counts
 from commentlens.operators.store import update_by_key
 from commentlens.plans import oracle as o
 from commentlens.plans import views
-from commentlens.plans.registry import query
+from commentlens.plans.registry import query, table
 from commentlens.schema import LABELS
 from commentlens.session import written_table
 
-VOCABULARY_SIZE = 3000
-
 
 # --- normalisation ---------------------------------------------------------------------------
 
@@ -177,12 +175,12 @@ def url_classify(spark, folder):
 
 @query("absolute_url", r"""
     SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\-]*:') AS absolute,
-           regexp_matches(substr(html, 1, 9), '^[A-Za-z][A-Za-z0-9+.\-]*:') AS markup
+           regexp_matches(html, '^[A-Za-z][A-Za-z0-9+.\-]*:') AS markup
     FROM pages""")
 def absolute_url(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     return pages.select("page_id", urls.is_absolute_url(F.col("url")).alias("absolute"),
-                        urls.is_absolute_url(F.substring("html", 1, 9)).alias("markup"))
+                        urls.is_absolute_url(F.col("html")).alias("markup"))
 
 
 # --- cascade ---------------------------------------------------------------------------------
@@ -244,13 +242,14 @@ def _plain(spark, folder):
     return views.comments_seeded(spark, folder).select("comment_id", text.normalise(F.col("text")).alias("text"))
 
 
-def _counts(spark, folder):
-    # read by the vocabulary and by the lookup
-    return written_table(wordpieces.token_counts(_plain(spark, folder)), "token-counts")
-
-
-def _vocabulary(counts):
-    return written_table(wordpieces.frequent_vocabulary(counts, VOCABULARY_SIZE), "vocabulary")
+def _vocabulary(spark, folder):
+    """The words of ``benchmark`` as the given vocabulary, with starts and continuations of the longer ones."""
+    token = F.col("token")
+    words = table(spark, folder, "benchmark").select(F.explode(tokens.pretokenise(text.normalise(F.col("text")))).alias("token"))
+    pieces = F.array(
+        token, F.substring(token, 1, 3), F.concat(F.lit("##"), F.right(token, F.lit(2))), F.concat(F.lit("##"), F.right(token, F.lit(1))))
+    pieces = words.distinct().select(F.explode(F.when(F.length(token) >= 4, pieces).otherwise(F.array(token))).alias("piece"))
+    return written_table(wordpieces.numbered_pieces(pieces), "vocabulary")
 
 
 @query("pretokenise", f"""
@@ -271,8 +270,7 @@ def token_counts(spark, folder):
     WITH {o.TOKENS_SQL}
     SELECT token, n, coalesce(id, -1) AS id FROM counts LEFT JOIN vocabulary ON piece = token""")
 def vocabulary_ids(spark, folder):
-    counts = _counts(spark, folder)
-    found = wordpieces.lookup_ids(counts, _vocabulary(counts))
+    found = wordpieces.lookup_ids(wordpieces.token_counts(_plain(spark, folder)), _vocabulary(spark, folder))
     return found.select("token", "n", F.coalesce("id", F.lit(-1)).alias("id"))
 
 
@@ -280,8 +278,8 @@ def vocabulary_ids(spark, folder):
     WITH RECURSIVE {o.SUBWORDS_SQL}
     SELECT token, array_to_string(pieces, ' ') AS pieces, array_to_string(ids, ' ') AS ids FROM subwords""")
 def subword_pieces(spark, folder):
-    counts = _counts(spark, folder)
-    split = wordpieces.split_tokens(counts, _vocabulary(counts))
+    counts = written_table(wordpieces.token_counts(_plain(spark, folder)), "token-counts")
+    split = wordpieces.split_tokens(counts, _vocabulary(spark, folder))
     return split.select("token", F.array_join("pieces", " ").alias("pieces"),
                         F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
@@ -289,19 +287,18 @@ def subword_pieces(spark, folder):
 _ENCODED_SQL = o.SUBWORDS_SQL + """
 , heads AS (SELECT comment_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM occurrences)
 , encoded AS (
-    SELECT comment_id, flatten(list(ids ORDER BY pos))[1:128] AS ids
-    FROM heads JOIN subwords USING (token) WHERE pos <= 128 GROUP BY comment_id)
+    SELECT comment_id, flatten(list(ids ORDER BY pos)) AS ids FROM heads JOIN subwords USING (token) GROUP BY comment_id)
 , padded AS (SELECT p.comment_id, coalesce(e.ids, []) AS ids FROM plain p LEFT JOIN encoded e USING (comment_id))
 """
 
 
 @query("pad_truncate", f"""
     WITH RECURSIVE {_ENCODED_SQL}
-    SELECT comment_id, array_to_string(list_resize(ids, 128, 0), ' ') AS ids FROM padded""")
+    SELECT comment_id, array_to_string(list_resize([101] || ids[1:126] || [102], 128, 0), ' ') AS ids FROM padded""")
 def pad_truncate(spark, folder):
     plain = _plain(spark, folder)
-    encoded = wordpieces.encode(plain, _vocabulary(_counts(spark, folder)), "comment_id")
-    padded = tokens.pad_or_truncate(F.col("ids"))
+    encoded = wordpieces.encode(plain, _vocabulary(spark, folder), "comment_id", length=tokens.SEQUENCE_LENGTH - 2)
+    padded = tokens.fixed_length(F.col("ids"))
     return encoded.select("comment_id", F.array_join(F.transform(padded, lambda i: i.cast("string")), " ").alias("ids"))
 
 
@@ -311,7 +308,7 @@ def pad_truncate(spark, folder):
                AS input_ids, CAST(len(ids) + 2 AS bigint) AS attended FROM padded""")
 def model_inputs(spark, folder):
     plain = _plain(spark, folder)
-    encoded = wordpieces.encode(plain, _vocabulary(_counts(spark, folder)), "comment_id")
+    encoded = wordpieces.encode(plain, _vocabulary(spark, folder), "comment_id")
     ids = tokens.with_markers(F.col("ids"))
     attended = F.aggregate(tokens.attention_mask(ids), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     return encoded.select(

@@ -41,8 +41,8 @@ PLANTS = (
     (28, "@c dmme", "", " ☝ 🎁"),
 )
 
-# texts that are replaced, not extended
-REPLACED = ((16, "http://example.com/watch"), (30, "https://sub.example.co.uk:8080/a/b?c=d#e"))
+# further rows that have a text of their own
+ADDED = ((16, "http://example.com/watch"), (30, "https://sub.example.co.uk:8080/a/b?c=d#e"))
 
 
 def _case(column: str, branches, default: str) -> str:
@@ -61,10 +61,12 @@ def planted_author(doc_id: str, author: str) -> str:
 def planted_text(doc_id: str, text: str) -> str:
     branches = [(k, f"{_quoted(before)} || {text} || {_quoted(after)}")
                 for k, _, before, after in PLANTS if before or after]
-    branches += [(k, _quoted(whole)) for k, whole in REPLACED]
     return _case(doc_id, branches, text)
 
 
+IS_ADDED = f"doc_id % 32 IN ({', '.join(str(k) for k, _ in ADDED)})"
+ADDED_TEXT = _case("doc_id", ((k, _quoted(whole)) for k, whole in ADDED), "''")
+
 # stands in for the rendered comment: anchors for linked text, one of them a timestamp link
 HTML = (
     "CASE doc_id % 32 WHEN 17 THEN '<p>look <a href=\"http://example.com/a\">here</a></p>' "
@@ -98,13 +100,17 @@ def comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comments_seeded(spark: SparkSession, folder: str) -> DataFrame:
-    """``comments`` with spam planted in author names and texts, plus ``html``."""
-    return (
+    """``comments`` with spam planted in author names and texts, rows added, plus ``html``."""
+    rows = (
         comments(spark, folder)
         .withColumn("author_name", F.expr(planted_author("doc_id", "author_name")))
-        .withColumn("text", F.expr(planted_text("doc_id", "text")))
         .withColumn("html", F.expr(HTML))
     )
+    own = F.struct("comment_id", F.expr(planted_text("doc_id", "text")).alias("text"))
+    added = F.struct(F.concat(F.lit("-"), "comment_id").alias("comment_id"), F.expr(ADDED_TEXT).alias("text"))
+    both = F.explode(F.when(F.expr(IS_ADDED), F.array(own, added)).otherwise(F.array(own)))
+    rows = rows.withColumn("__own", both)
+    return rows.withColumns({"comment_id": F.col("__own.comment_id"), "text": F.col("__own.text")}).drop("__own")
 
 
 COMMENTS_SQL = (
@@ -117,7 +123,9 @@ SEEDED_SQL = (
     COMMENTS_SQL
     + ", seeded AS (SELECT * REPLACE ("
     + planted_author("doc_id", "author_name") + " AS author_name, "
-    + planted_text("doc_id", "text") + f" AS text), {HTML} AS html FROM comments)"
+    + planted_text("doc_id", "text") + f" AS text), {HTML} AS html FROM comments "
+    + "UNION ALL SELECT * REPLACE ('-' || comment_id AS comment_id, " + planted_author("doc_id", "author_name")
+    + f" AS author_name, {ADDED_TEXT} AS text), {HTML} AS html FROM comments WHERE {IS_ADDED})"
 )
 
 
@@ -149,7 +157,7 @@ def documents_nested(spark: SparkSession, folder: str) -> DataFrame:
     )
     item = F.struct(
         F.struct(F.col("nodes")[0]["node"].alias("topLevelComment")).alias("snippet"),
-        F.struct(F.transform(F.slice("nodes", 2, 64), lambda n: n["node"]).alias("comments")).alias("replies"),
+        F.struct(F.transform(F.slice("nodes", 2, F.size("nodes")), lambda n: n["node"]).alias("comments")).alias("replies"),
     )
     return (
         pages.select("conv_id", "part", "page", F.array(item).alias("items"))

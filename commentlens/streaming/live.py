@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from commentlens.operators.cascade import flag, rules_then_model
-from commentlens.operators.policy import with_action
+from commentlens.operators.policy import uses_rules, with_action
 from commentlens.operators.ranking import first_per_key
 
 PREDICTIONS = T.StructType([
@@ -28,8 +28,10 @@ PREDICTIONS = T.StructType([
 Classifier = Callable[[DataFrame], DataFrame]
 
 
-def rule_classifier(comments: DataFrame) -> DataFrame:
-    """Add ``label`` from the live rules."""
+def rule_classifier(comments: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """Add ``label`` from the live rules; without them (``use-rules`` off) every comment is VALID."""
+    if settings is not None and not uses_rules(settings):
+        return comments.withColumn("label", F.lit("VALID"))
     html = "html" if "html" in comments.columns else None
     flagged = flag(comments, live=True, html=html)
     return flagged.withColumn("label", rules_then_model(F.col("rule_label"), F.lit(None).cast("string")))

@@ -97,6 +97,16 @@ def test_canonical_spelling_equals_full_classes(spark):
     assert all(got)
 
 
+@pytest.mark.parametrize("author, found", [
+    ("\u039cy profile", True), ("\u00b5y profile", True),  # Greek capital Mu, micro sign
+    ("rny profile", True), ("nny profile", False), ("my profi1e", True), ("my pr6file", True), ("my pr8file", False),
+    ("my profil\U0001D7D1", True), ("my profil4", False),  # styled three, plain four
+])
+def test_letter_classes(author, found):
+    pattern = _python(spelling().pattern(("my profile",), canonical=False))
+    assert bool(regex.search(pattern, author)) == found
+
+
 def _python(pattern):
     """The Java pattern for the ``regex`` module, nested sets included."""
     return "(?V1)" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m.group(1), 16))), pattern)

@@ -48,3 +48,11 @@ def test_watermarked_variant_drops_repeats(spark, tmp_path):
     stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format(
         "parquet").start(str(tmp_path / "out")).awaitTermination()
     assert sorted(r.comment_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_rules_can_be_switched_off(spark):
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    off = policy.settings_table(spark, {"use-rules": "false"})
+    assert {r.label for r in live.rule_classifier(rows, off).collect()} == {"VALID"}
+    on = policy.settings_table(spark)
+    assert {r.label for r in live.rule_classifier(rows, on).collect()} == {"SCAM", "VALID", "LINK_ONLY"}

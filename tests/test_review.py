@@ -109,6 +109,24 @@ def test_community_decisions(spark):
         (None, None, False), (None, None, False), ("SCAM", 0.5, True), ("EXPLICIT", 0.7, True)]
 
 
+def test_a_reviewed_community_is_not_open_to_decisions(spark):
+    stored = frame(spark, [comment("1", "SCAM", True, 0.5), comment("2", "VALID", True, 0.6)])
+    members = spark.createDataFrame([(1, "1"), (1, "2")], "community_id bigint, comment_id string")
+    decisions = spark.createDataFrame([(1, "X")], "community_id bigint, response string")
+    rows = review.apply_community_decisions(stored, members, decisions).orderBy("comment_id").collect()
+    assert [(r.label, r.score, r.moderated) for r in rows] == [("SCAM", 0.5, True), ("VALID", 0.6, True)]
+
+
+def test_community_numbers_are_unique_over_chunks(spark):
+    vectors = np.repeat(np.eye(12, dtype=np.float32), 20, axis=0)
+    found = communities.detect(as_frame(spark, vectors), 0.9, 3, chunk_rows=120)
+    rows = communities.numbered(found).collect()
+    assert len({r.chunk for r in rows}) == 2
+    assert len({(r.chunk, r.seed) for r in rows}) == len({r.community_id for r in rows}) > 12
+    whole = communities.numbered(communities.detect(as_frame(spark, vectors), 0.9, 3, tile_rows=50)).collect()
+    assert {(r.community_id, r["size"]) for r in whole} == {(k, 20) for k in range(1, 13)}
+
+
 def test_similarity_operators_against_brute_force(spark):
     vectors = clustered(9, 120)
     unit = vectors.astype(np.float64)
@@ -156,6 +174,18 @@ def test_token_arrays(spark):
     ids = F.array(F.lit(5).cast("bigint"), F.lit(6).cast("bigint"))
     padded, cut, marked = df.select(tokens.pad_or_truncate(ids, 3), tokens.pad_or_truncate(ids, 1), tokens.with_markers(ids)).first()
     assert (padded, cut, marked) == ([5, 6, 0], [5], [101, 5, 6, 102])
+    short, exact, over = df.select(*(tokens.fixed_length(ids, n) for n in (5, 4, 3))).first()
+    assert (short, exact, over) == ([101, 5, 6, 102, 0], [101, 5, 6, 102], [101, 5, 102])
+
+
+def test_encoding_keeps_whole_texts(spark):
+    vocab = wordpieces.numbered_pieces(spark.createDataFrame([("b",), ("a",), ("##b",), ("a",)], "piece string"))
+    assert {r.piece: r.id for r in vocab.collect()} == {"##b": 1000, "a": 1001, "b": 1002}
+    df = spark.createDataFrame([("1", "a ab " * 300), ("2", ""), ("3", "x b")], "k string, text string")
+    whole = {r.k: r.ids for r in wordpieces.encode(df, vocab, "k").collect()}
+    assert whole == {"1": [1001, 1001, 1000] * 300, "2": [], "3": [100, 1002]}
+    cut = {r.k: r.ids for r in wordpieces.encode(df, vocab, "k", length=4).collect()}
+    assert cut == {"1": [1001, 1001, 1000, 1001], "2": [], "3": [100, 1002]}
 
 
 def test_metrics(spark):
