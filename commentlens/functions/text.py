@@ -58,12 +58,13 @@ def sparse_class(codes) -> str:
     return _latin1_first([c for c in codes if c <= 0xFF], regex_ranges(c for c in codes if c > 0xFF))
 
 
-@lru_cache(maxsize=1)
-def _jvm_mapping() -> tuple[dict[str, str], str]:
+@lru_cache(maxsize=2)
+def _jvm_mapping(live: bool = False) -> tuple[dict[str, str], str]:
     """(one-to-one map, pattern of characters only the UDF can handle).
 
     The map equals NFKD plus look-alike folding once stripped categories are gone. Beyond
-    the Latin blocks a stretch of 64 code points is left to the UDF as a whole.
+    the Latin blocks a stretch of 64 code points is left to the UDF as a whole. The live profile
+    keeps marks that are no diacritics, so letters with such a mark are left to the UDF there.
     """
     import regex
 
@@ -83,6 +84,11 @@ def _jvm_mapping() -> tuple[dict[str, str], str]:
         block = range(start, start + 64)
         if not needs_udf.isdisjoint(block):
             needs_udf.update(block)
+    if live:
+        kept_mark = regex.compile(r"[\p{Mn}--\p{Diacritic}]", regex.V1)
+        marked = [c for c in mapping if kept_mark.search(unicodedata.normalize("NFKD", c))]
+        needs_udf.update(map(ord, marked))
+        mapping = {c: t for c, t in mapping.items() if c not in marked}
     needs_udf.update(range(0xA000, sys.maxunicode + 1))
     return mapping, sparse_class(sorted(needs_udf))
 
@@ -146,13 +152,13 @@ def _decompose_toneless_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: _decompose(s, True), na_action="ignore")
 
 
-def decompose(text: Column, drop_skin_tones: bool = False) -> Column:
-    """Emoji aliases, NFKD and look-alike folding, up to characters the category strip removes.
+def decompose(text: Column, live: bool = False) -> Column:
+    """Emoji aliases, NFKD and look-alike folding, up to characters that the profile removes next.
 
-    ``text`` appears several times in the result, so pass a plain column.
+    The live profile drops skin tones. ``text`` appears several times in the result, so pass a plain column.
     """
-    mapping, needs_udf = _jvm_mapping()
-    udf = _decompose_toneless_batch if drop_skin_tones else _decompose_batch
+    mapping, needs_udf = _jvm_mapping(live)
+    udf = _decompose_toneless_batch if live else _decompose_batch
     by_udf = udf(F.when(text.rlike(needs_udf), text))
     return _translate(F.coalesce(by_udf, text), mapping)
 
@@ -175,7 +181,7 @@ def normalise_browser(text: Column) -> Column:
     def finish(folded: Column) -> Column:
         return F.lower(collapse_long_spaces(F.regexp_replace(folded, DIACRITICS, "")))
 
-    return F.when(text.rlike(_NON_ASCII), finish(decompose(text, drop_skin_tones=True))).otherwise(finish(text))
+    return F.when(text.rlike(_NON_ASCII), finish(decompose(text, live=True))).otherwise(finish(text))
 
 
 def _diacritics() -> str:

@@ -3,6 +3,7 @@ import random
 import unicodedata
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from commentlens.functions import emoji, text
@@ -77,3 +78,12 @@ def test_fold_is_case_sensitive_and_complete(spark):
 def test_pair_text(spark):
     rows = spark.createDataFrame([("Bob", "HI")], "a string, t string")
     assert rows.select(text.pair_text(F.col("a"), F.col("t"))).first()[0] == "bob commented hi"
+
+
+def test_live_profile_keeps_marks_that_are_no_diacritics(spark):
+    """A letter gives the same result whatever else is in the text."""
+    letters = [chr(c) for c in (*range(0x622, 0x627), 0x6C0, 0x6C2, 0x6D3, 0xE33, 0xEB3, 0x1026)]
+    want = [regex.sub(r"\p{Diacritic}", "", unicodedata.normalize("NFKD", c)) for c in letters]
+    assert run(spark, letters, text.normalise_browser) == want
+    mixed = [f"{c} \u261d" for c in letters]
+    assert [r.split(" ")[0] for r in run(spark, mixed, text.normalise_browser)] == want
