@@ -201,9 +201,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     rooted = shared.where("node <> hub").join(roots.select("node", "root"), "node", "left")
     rooted = written_table(rooted.select("key", "node", F.coalesce("root", "node").alias("root")), "circulant-rooted")
     mixed = rooted.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("members"))
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("members"),
+        F.bit_xor(F.xxhash64(F.col("node"), F.lit(1))).alias("others"))
     # buckets with the same members are compared once
-    mixed = mixed.where("low < high").groupBy("low", "high", "size", "members").agg(F.min("key").alias("key"))
+    mixed = mixed.where("low < high").groupBy("low", "high", "size", "members", "others").agg(F.min("key").alias("key"))
     mixed = written_table(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "circulant-mixed")
     if not mixed.isEmpty():
         links = links.unionByName(_tiled(rooted.join(mixed, "key").select("key", "node", "blocks"), texts, shingle, percent))

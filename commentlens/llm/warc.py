@@ -25,6 +25,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records per archive file, which bounds what one task of the reader holds.
 FILE_RECORDS = 2000
+#: Bytes of a member that are unpacked at once.
+PIECE = 1 << 13
 _MAGIC = b"\x1f\x8b\x08"
 _GAP_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -82,51 +84,72 @@ def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return headers, block, end + 4
 
 
+def unpacked(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """Content and end of the gzip member at ``at``, or None if it is cut short or fails its checks.
+
+    The member is fed in pieces: the rest of the file is never copied, so a file of many members takes linear time.
+    """
+    unpacker, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    end = at
+    try:
+        while not unpacker.eof and end < len(data):
+            parts.append(unpacker.decompress(view[end:end + PIECE]))
+            end = min(end + PIECE, len(data))
+    except zlib.error:
+        return None
+    return (b"".join(parts), end - len(unpacker.unused_data)) if unpacker.eof else None
+
+
+def records_in(plain: bytes) -> tuple[list[tuple[dict[str, str], bytes]], bool]:
+    """The records of a member's content that pass, and whether nothing else is in it."""
+    found, at, clean = [], 0, True
+    while at < len(plain):
+        one = parsed(plain, at)
+        if one:
+            found.append(one[:2])
+            at = one[2]
+            continue
+        clean = False
+        line = _VERSION_LINE.search(plain, at + 1)
+        if not line:
+            break
+        at = line.start()
+    return found, clean
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
     """All that passes the checks as ('record', offset, length, headers, block), and ('gap', offset, length, {}, b'').
 
-    The offset is that of a record's gzip member or, in plain archives, of the record itself.
+    The offset is that of a record's gzip member or, in plain archives, of the record itself. A member
+    that unpacks but holds more than valid records is a gap, though the valid ones are given.
     """
     at = gap = 0
+    line = -1  # the next version line, once searched for
     while at < len(data):
         found: list = []
+        end, clean = at, False
         if data.startswith(_MAGIC, at):
-            unpacker = zlib.decompressobj(31)
-            try:
-                plain = unpacker.decompress(data[at:])
-                whole = unpacker.eof
-            except zlib.error:
-                whole = False
-            if whole:
-                end = len(data) - len(unpacker.unused_data)
-                inside = 0
-                while inside < len(plain):
-                    one = parsed(plain, inside)
-                    if one is None:
-                        break
-                    found.append((at, end - at, *one[:2]))
-                    inside = one[2]
-                if inside < len(plain):
-                    whole = False
+            inside = unpacked(data, at)
+            if inside:
+                end = inside[1]
+                found, clean = records_in(inside[0])
         else:
             one = parsed(data, at)
-            whole = one is not None
             if one:
-                end = one[2]
-                found.append((at, end - at, *one[:2]))
-        if whole:
-            if gap < at:
-                yield "gap", gap, at - gap, {}, b""
-            yield from (("record", *f) for f in found)
-            at = gap = end
-        else:
-            if found:
-                # records ahead of the damage inside a member are good
-                yield from (("record", *f) for f in found)
-            places = [data.find(_MAGIC, at + 1)]
-            line = _VERSION_LINE.search(data, at + 1)
-            places.append(line.start() if line else -1)
-            at = min((p for p in places if p >= 0), default=len(data))
+                found, end, clean = [one[:2]], one[2], True
+        if clean and gap < at:
+            yield "gap", gap, at - gap, {}, b""
+        yield from (("record", at, end - at, *f) for f in found)
+        if clean:
+            gap = end
+        elif end == at:
+            if line <= at:
+                match = _VERSION_LINE.search(data, at + 1)
+                line = match.start() if match else len(data)
+            # no magic number behind the version line matters
+            magic = data.find(_MAGIC, at + 1, line + len(_MAGIC))
+            end = magic if magic >= 0 else line
+        at = end
     if gap < len(data):
         yield "gap", gap, len(data) - gap, {}, b""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlens.llm import bytecnn
-from commentlens.llm.blocknames import exact_duplicates
+from commentlens.llm.blocknames import collapsed, exact_duplicates
 from commentlens.llm.circulant import near_duplicates
 from commentlens.llm.contain import contaminated
 from commentlens.llm.mixing import mixed
@@ -30,12 +30,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal texts."""
-    return _only(docs, exact_duplicates(docs).where("kept").select("doc_id").distinct())
+    """The document with the smallest id of each group of equal texts; of rows that repeat id and text, one.
+
+    A row goes or stays by its own text, also where other rows have its id or, like it, none.
+    """
+    decided = exact_duplicates(docs)
+    pair = decided.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    hashed = docs.withColumn("__own", F.sha2(collapsed(F.col("text")), 256))
+    same = hashed["doc_id"].eqNullSafe(F.col("__id")) & (hashed["__own"] == F.col("__sha"))
+    stay = hashed.join(pair.where("kept").drop("kept"), same, "left_semi")
+    repeats = written_table(pair.groupBy("__id", "__sha").count().where("count > 1").drop("count"), "pipeline-repeats")
+    if not repeats.isEmpty():
+        stay = stay.join(repeats, same, "left_anti").unionByName(stay.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "__own"]))
+    return stay.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows of one id are one document here; rows without id stay.
+    """
     return _only(docs, near_duplicates(docs).where("kept").select("doc_id").distinct())
 
 
