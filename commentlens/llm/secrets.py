@@ -32,8 +32,8 @@ PATTERNS = (
 KINDS = ("assign", "access", "hex", "format")
 #: A token that may be a credential.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Labelled credentials and ordinary tokens that the automata learn from at most, of each kind, and the
-#: characters that one of these may have. Every token is scored, whatever its length.
+#: Labelled credentials of each kind that the automata learn from at most, and the characters that one of
+#: these may have. Ordinary tokens are counted all, and every token is scored, whatever its length.
 FIT_VALUES, FIT_LENGTH = 800, 256
 #: Confidence of a merge, and the advantage per character from which a token counts as a credential.
 ALPHA, ADVANTAGE = 0.05, 1.6
@@ -132,20 +132,17 @@ class Automaton:
 
 
 class Formats:
-    """Automata of the labelled kinds and the chances of characters in ordinary tokens."""
+    """Automata of the labelled kinds and the chances of characters in ordinary tokens.
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    ``pairs`` and ``letters`` count the class pairs and the characters of all ordinary tokens.
+    """
+
+    def __init__(self, labelled: dict[str, list[str]], pairs: dict[str, int], letters: dict[str, int]):
         self.automata = {kind: Automaton(values) for kind, values in sorted(labelled.items()) if values}
-        pairs = Counter()
-        firsts = Counter()
-        letters = Counter()
-        for value in ordinary:
-            letters.update(value)
-            for a, b in zip("^" + symbols(value), symbols(value) + "$", strict=True):
-                pairs[a + b] += 1
-                firsts[a] += 1
-        self.pairs, self.firsts, self.letters = pairs, firsts, letters
-        self.by_class = Counter()
+        self.pairs, self.letters = Counter(pairs), Counter(letters)
+        self.firsts, self.by_class = Counter(), Counter()
+        for pair, n in pairs.items():
+            self.firsts[pair[0]] += n
         for c, n in letters.items():
             self.by_class[symbols(c)] += n
 
@@ -219,6 +216,28 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per class pair (^ and $ at the ends) and per character of the task's tokens, with its count."""
+    pairs, letters = Counter(), Counter()
+    for batch in batches:
+        for token in batch.column(0).flatten():
+            value = token.as_py()
+            marks = f"^{symbols(value)}$"
+            letters.update(value)
+            pairs.update(map("".join, zip(marks, marks[1:], strict=False)))
+    rows = [("pair", *x) for x in pairs.items()] + [("letter", *x) for x in letters.items()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "key", "n"])
+
+
+def ordinary_counts(found: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Class pairs and characters of every token of ``found(tokens)``, as often as they occur."""
+    counted = found.select("tokens").mapInArrow(_counted, "part string, key string, n long")
+    rows = counted.groupBy("part", "key").agg(F.sum("n").alias("n")).collect()  # at most 36 pairs and 67 characters
+    pairs, letters = ({r.key: r.n for r in rows if r.part == part} for part in ("pair", "letter"))
+    return pairs, letters
+
+
 def _extended(formats, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("base", pa.string()), ("spans", pa.string())])
 
@@ -246,8 +265,9 @@ def find_secrets(docs: DataFrame, fit_values: int = FIT_VALUES, fit_length: int
     """One row per input row: the id, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``base``, ``spans``, ``n_format``.
 
     Spans are ``kind:start:end`` in code points, by start, comma-joined. The automata learn from at most
-    ``fit_values`` different credentials of each kind and as many ordinary tokens, of those of up to
-    ``fit_length`` characters the ones with the smallest hashes; every token is scored. A null text is empty and has no spans. Ids may be null or repeat.
+    ``fit_values`` different credentials of each kind, of those of up to ``fit_length`` characters the ones
+    with the smallest hashes. The language model of ordinary tokens counts every occurrence of all of them;
+    every token is scored. A null text is empty and has no spans. Ids may be null or repeat.
     An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -258,9 +278,7 @@ def find_secrets(docs: DataFrame, fit_values: int = FIT_VALUES, fit_length: int
     for kind in KINDS[:3]:
         rows = labels.where(F.col("kind") == kind).select("value").orderBy(F.xxhash64("value"), "value").limit(fit_values)
         labelled[kind] = [r[0] for r in rows.collect()]
-    tokens = found.select(F.explode("tokens").alias("value")).where(F.length("value") <= fit_length).distinct()
-    tokens = tokens.orderBy(F.xxhash64("value"), "value").limit(fit_values)
-    formats = spark.sparkContext.broadcast(Formats(labelled, [r[0] for r in tokens.collect()]))
+    formats = spark.sparkContext.broadcast(Formats(labelled, *ordinary_counts(found)))
     spans = found.select("doc_id", "base", "starts", "ends", "tokens").mapInArrow(_extended(formats, threshold), "doc_id long, base string, spans string")
     count = lambda kind, c: (F.size(F.split(c, f"{kind}:")) - 1).cast("long")
     return spans.select(

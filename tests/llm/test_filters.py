@@ -13,7 +13,7 @@ import corpus_pipeline
 from commentlens.llm import bytecnn, warc
 from commentlens.llm.contain import contaminated
 from commentlens.llm.mixing import fit_rates, mixed
-from commentlens.llm.secrets import Automaton, base_spans, candidates, find_secrets, listed
+from commentlens.llm.secrets import Automaton, base_spans, candidates, find_secrets, listed, ordinary_counts
 from commentlens.llm.urlcascade import url_verdicts
 
 DOCS = "doc_id long, text string, item string, h string, lang string, rate double"
@@ -136,6 +136,20 @@ def test_secrets(spark):
     assert [c[2] for c in candidates("x" * 20 + " token=" + "y" * 20, base_spans("x" * 20 + " token=" + "y" * 20))] == ["x" * 20]
 
 
+def test_secrets_know_all_ordinary_tokens(spark):
+    """The language model of ordinary tokens counts all of them: more than any bound on what is learned, and long ones too."""
+    rng = random.Random(9)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, f"token = {pick('ABCDEFGHIJ0123456789', 24)}", "en") for i in range(60)]
+    rows += [(100 + i, pick("mnopqrstuvwxyz", 20), "en") for i in range(900)]
+    rows += [(2000 + i, f"{pick('ABCDEFGHIJ0123456789', 20)} {pick('KLMNOP', 300)}", "en") for i in range(300)]
+    seen = [c[2] for _, text, _ in rows for c in candidates(text, base_spans(text))]
+    pairs, letters = ordinary_counts(spark.createDataFrame([([t],) for t in seen] + [([],)], "tokens array<string>"))
+    assert sum(letters.values()) == sum(map(len, seen)) and sum(pairs.values()) == sum(len(t) + 1 for t in seen)
+    assert letters["K"] == sum(t.count("K") for t in seen) and pairs["^l"] == 900
+    assert ordinary_counts(spark.createDataFrame([], "tokens array<string>")) == ({}, {})
+
+
 def test_automaton_merges_states():
     rng = random.Random(8)
     seen = ["ab" + "".join(rng.choice("0123456789") for _ in range(12)) for _ in range(300)]
