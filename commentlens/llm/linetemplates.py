@@ -4,7 +4,9 @@ A line goes down a tree of fixed depth: token count, then its first ``LEAD`` tok
 with a digit counts as variable. In a leaf, a position is constant if one token holds at least half
 of the leaf's lines; the other positions are variable. A line of which at least ``ALIKE`` % of the
 tokens are those constants or variable in itself has the leaf's template; any other line is its own.
-Templates that ``min_docs`` documents have are dropped everywhere but in their first document.
+Templates that ``min_docs`` documents have are dropped everywhere but in their first document. Lines
+that are equal, apart from tokens with a digit, are dropped from the second document on: they need no
+further evidence, while in a leaf of two lines each token would be constant.
 
 Only hashes are counted, and counts combine before the shuffle, so a line that a third of all
 documents have is one row per task. Token counts are taken in recurring leaves only.
@@ -19,6 +21,7 @@ from commentlens.session import written_table
 
 LEAD = 3
 ALIKE = 70
+#: Documents from which a generalised template counts; equal lines count from the second document on.
 MIN_DOCS = 3
 _WILD = "<*>"
 #: Stands for a null id, which sorts after all others.
@@ -50,13 +53,15 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int =
     """One row per input row: the id, ``n_lines``, ``n_dropped``, ``kept_sha256`` (and ``kept_text``).
 
     Lines are cut at line feeds; blank lines count as lines, have no template and always stay. The
-    document with the smallest id keeps its lines of a template. A null id is larger than all others.
+    document with the smallest id keeps its lines of a template. ``min_docs`` holds for generalised
+    templates only; equal masked lines go from the second document on. A null id is larger than all others.
     Rows of one id are one document. A null text is empty: one blank line. An empty table gives an
     empty result; other columns are ignored.
     """
     rows = _lined(docs, id_col, text_col)
     keys = written_table(_leaved(rows, lead).select("id", "sha", "pos", "leaf", "own"), "lines-keys")
     per_line = keys.groupBy("leaf", "own").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
+    per_line = written_table(per_line, "lines-kinds")
     # a leaf with one kind of line needs no template: its lines are equal anyway
     leaves = per_line.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high"))
     leaves = written_table(leaves.where(f"kinds > 1 AND lines >= {min_docs} AND low < high").select("leaf", "lines"), "lines-leaves")
@@ -75,16 +80,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int =
         F.zip_with("tokens", "template", lambda a, b: ((a == b) | (a == _WILD)).cast("int")), F.lit(0), lambda x, y: x + y)
     # at least one constant beyond the leading tokens, or the leaf says no more than its path
     fixed = F.exists(F.slice("template", lead + 1, 1 << 30), lambda t: t != _WILD) | (F.size("template") <= lead)
-    joined = open_lines.join(templates, "leaf").where(fixed & (hits * 100 >= F.size("tokens") * alike)).select("id", "sha", "pos").distinct()
-    named = keys.join(joined.withColumn("general", F.lit(True)), ["id", "sha", "pos"], "left").select(
-        "id", "sha", "pos", F.when(F.col("general"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("leaf", "own")).alias("template"))
-    named = written_table(named, "lines-named")
-
-    once = named.select("template", "id").distinct()
-    recurring = once.groupBy("template").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("docs"))
-    recurring = written_table(recurring.where(f"docs >= {min_docs}").select("template", "first"), "lines-recurring")
+    joined = open_lines.join(templates, "leaf").where(fixed & (hits * 100 >= F.size("tokens") * alike)).select("leaf", "id", "sha", "pos").distinct()
+    general = written_table(joined, "lines-general")
+    wide = general.select("leaf", "id").distinct().groupBy("leaf").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("docs"))
+    wide = written_table(wide.where(f"docs >= {min_docs}").select("leaf", "first"), "lines-recurring")
+    equal = per_line.where("low < high").select("leaf", "own", F.col("low").alias("first"))
     gone = (
-        named.join(recurring, "template").where("id > first").select("id", "sha", "pos").distinct()
+        keys.join(equal, ["leaf", "own"]).where("id > first").select("id", "sha", "pos")
+        .unionByName(general.join(wide, "leaf").where("id > first").select("id", "sha", "pos")).distinct()
         .groupBy("id", "sha").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.lit(True)))).alias("gone"))
     )
     gone = written_table(gone, "lines-gone")

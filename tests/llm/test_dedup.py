@@ -161,3 +161,14 @@ def test_line_templates(spark):
     assert got[13].n_lines == 1 and got[14].n_dropped == 0
     assert got[None].n_dropped == 1 and got[15].n_dropped == 2
     assert got[15].kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_lines_of_two_documents(spark):
+    shared = "one line that exactly two documents have"
+    rows = [(1, f"{shared}\nonly here 1"), (2, f"alone\n  {shared} \n{shared}"), (3, "another line of one document only"),
+            (4, "Connect to host alpha now please"), (5, "Connect to host beta now please"), (6, "seen twice but\nseen twice but"), (7, "took 5 ms"), (8, "took 77 ms")]
+    got = {r.doc_id: r for r in drop_recurring_lines(frame(spark, rows), with_text=True).collect()}
+    assert got[2].n_dropped == 2 and got[2].kept_text == "alone"
+    assert got[8].n_dropped == 1
+    # two documents make no generalised template, and a repeat in one document is none across documents
+    assert {i for i in got if got[i].n_dropped} == {2, 8}
