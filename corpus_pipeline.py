@@ -60,8 +60,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the rate and number of copies at which the languages meet their target weights."""
-    return mixed(docs, table(spark, sf_dir, "labels"))
+    """Each document as often as its ``copies`` says, numbered by ``copy``, so that the languages meet their target weights.
+
+    A document with no copies is dropped.
+    """
+    rows = mixed(docs, table(spark, sf_dir, "labels"))
+    numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return rows.select(*(c for c in rows.columns if c != "copy"), F.explode(numbers).alias("copy"))
 
 
 STAGES = [

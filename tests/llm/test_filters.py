@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from commentlens.llm import bytecnn, warc
 from commentlens.llm.contain import contaminated
-from commentlens.llm.mixing import fit_rates, mixed
+from commentlens.llm.mixing import TARGETS, fit_rates, mixed
 from commentlens.llm.secrets import Automaton, base_spans, candidates, find_secrets, listed, ordinary_counts
 from commentlens.llm.urlcascade import url_verdicts
 
@@ -258,3 +258,20 @@ def test_pipeline(spark, tmp_path):
     clean = [i for i in range(400) if i % 3]
     assert len([i for i in clean if i in out]) > 0.95 * len(clean)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "benchmark_decontamination", "source_mixing"]
+
+
+def test_pipeline_mixes(spark, tmp_path):
+    """The rows that come out have the target shares, not those of the input."""
+    rng = random.Random(17)
+    words = {"en": ["the", "and", "of"], "de": ["der", "und", "von"], "fr": ["le", "et", "du"], "es": ["el", "y", "los"]}
+    have = ["en"] * 300 + ["de"] * 60 + ["fr"] * 60 + ["es"] * 180
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i, lang in enumerate(have)]
+    spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.mix(spark, docs_of(spark, rows), str(tmp_path)).collect()
+    copies = {r.doc_id: r.copies for r in out}
+    assert sorted((r.doc_id, r.copy) for r in out) == [(i, k) for i in sorted(copies) for k in range(1, copies[i] + 1)]
+    shares = {lang: sum(r.tokens for r in out if r.lang == lang) / sum(r.tokens for r in out) for lang in words}
+    assert all(abs(shares[lang] - share) < 0.03 for lang, share in TARGETS.items()), shares
+    # as many as have no copies are gone
+    few = mixed(docs_of(spark, rows), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    assert {r.doc_id for r in few if r.copies} == set(copies)
