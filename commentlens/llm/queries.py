@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from commentlens.llm.linetemplates import drop_recurring_lines
 from commentlens.llm.mixing import mixed
 from commentlens.llm.secrets import find_secrets
 from commentlens.llm.superkmers import drop_repeats
+from commentlens.llm.tokencount import token_counts
 from commentlens.llm.urlcascade import SITES, url_verdicts
 from commentlens.llm.warc import archived
 from commentlens.plans.registry import table
@@ -135,3 +137,8 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(table(spark, folder, "documents")).drop("base")
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
