@@ -212,10 +212,17 @@ def pieces(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[low:]
 
 
-class _Numbers(dict):
+def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` at ``places``, which begin at ``first`` and have ``size`` elements, one after another."""
+    count = size[places]
+    shift = np.repeat(first[places] - np.cumsum(count) + count, count)
+    return flat[np.arange(len(shift)) + shift]
+
+
+class numbers(dict):
     """Gives each new key the next number."""
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key) -> int:
         self[key] = number = len(self)
         return number
 
@@ -228,7 +235,7 @@ class Memo:
         self._forget()
 
     def _forget(self) -> None:
-        self.place = _Numbers()
+        self.place = numbers()
         self.count = self.first = self.ids = np.zeros(0, np.int64)
 
     def places(self, units: list[str]) -> np.ndarray:
@@ -246,9 +253,7 @@ class Memo:
 
     def gather(self, places: np.ndarray) -> np.ndarray:
         """Ids of the units at ``places``, one after another."""
-        count = self.count[places]
-        shift = np.repeat(self.first[places] - np.cumsum(count) + count, count)
-        return self.ids[np.arange(len(shift)) + shift]
+        return ragged(self.ids, self.first, self.count, places)
 
     def sums(self, places: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """How many ids each text has, of which ``per_text`` units belong to each."""

@@ -14,6 +14,7 @@ from commentlens.llm.linetemplates import drop_recurring_lines
 from commentlens.llm.mixing import mixed
 from commentlens.llm.secrets import find_secrets
 from commentlens.llm.superkmers import drop_repeats
+from commentlens.llm.tokenalign import alignments
 from commentlens.llm.tokencount import token_counts
 from commentlens.llm.urlcascade import SITES, url_verdicts
 from commentlens.llm.warc import archived
@@ -142,3 +143,8 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_token_counts")
 def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignments(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
