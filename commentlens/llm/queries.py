@@ -12,6 +12,7 @@ from commentlens.llm.circulant import near_duplicates
 from commentlens.llm.contain import contaminated
 from commentlens.llm.linetemplates import drop_recurring_lines
 from commentlens.llm.mixing import mixed
+from commentlens.llm.phrases import collocations
 from commentlens.llm.secrets import find_secrets
 from commentlens.llm.superkmers import drop_repeats
 from commentlens.llm.tokenalign import alignments
@@ -148,3 +149,25 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignments(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_phrase_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+p AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS m FROM w),
+g AS (SELECT lang, ws[i:i + k - 1] AS ph, k FROM (SELECT *, unnest(range(1, least(4, m - i + 1) + 1)) AS k FROM p)),
+f AS (SELECT lang, array_to_string(ph, ' ') AS phrase, ph, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, c, array_to_string(ph[1:c], ' ') AS head, array_to_string(ph[c + 1:k], ' ') AS tail
+      FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+s AS (SELECT c.lang, c.phrase, c.k, a, x.f AS l, y.f AS r, c, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+e AS (SELECT DISTINCT o.lang, o.phrase, max(i.f) OVER (PARTITION BY o.lang, o.phrase) AS longer FROM
+      (SELECT lang, f, array_to_string(ph[s:s + z - 1], ' ') AS part FROM (SELECT *, unnest(range(1, k - z + 2)) AS s FROM
+        (SELECT *, unnest(range(2, k)) AS z FROM f WHERE k > 2))) i JOIN f o ON o.lang = i.lang AND o.phrase = i.part)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN e ON e.lang = b.lang AND e.phrase = b.phrase
+WHERE coalesce(100::HUGEINT * longer < 80::HUGEINT * a, true) QUALIFY rank <= 2000""")
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
