@@ -1,9 +1,10 @@
 """Alignment of two tokenizers over a corpus by whitespace-token anchors.
 
-Texts are tokenised whole under both vocabularies. Where tokens of both end at the same byte and both
-next tokens begin with a space, an anchor splits the document into windows, pairs of id tuples. A
-window is aligned once per task and remembered: its groups end where tokens of both sides end, and all
-pairs of a group are links. Documents keep only the numbers of their windows.
+Whole texts are tokenised under both vocabularies, each different unit between spaces once per task, as
+no token crosses from one to the next. Where tokens of both end at the same byte, both sides spell the
+same bytes and both next tokens begin with a space, an anchor splits the document into windows, pairs of
+id tuples. A window is aligned once per task and remembered by its ids: its groups end where tokens of
+both sides end, and all pairs of a group are links. Documents keep only the numbers of their windows.
 
 Documents are dealt into blocks inside the task that reads them. A block lists its different id pairs
 with the number of its documents that hold them; Spark adds these up over the corpus and sends each
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentlens.llm.bytebpe import SLICE_CHARS, Encoder, Memo, Vocabulary, load_vocabulary, numbers, pieces, ragged
+from commentlens.llm.bytebpe import SLICE_CHARS, Encoder, Vocabulary, load_vocabulary, numbers, pieces, ragged
 from commentlens.session import written_table
 
 #: Window occurrences and different windows from which a block is closed.
 BLOCK_WINDOWS, BLOCK_KINDS = 4_000_000, 400_000
+_SPACES = re.compile(r"\s |\s\Z|\A ")
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +75,17 @@ class PieceEncoder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.tokens = Tokens([bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)])
-        # no piece goes on after a space that follows something else: words can be encoded one by one, spaces at the end with the last
-        parts = all("▁" not in n.lstrip("▁") for n in names)
-        self.cut = re.compile(r" +[^ ]*(?: +\Z)?" if parts else r"(?s:.+)")
-        self.memo = Memo(self._ids)
-
-    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.model.encode([u[1:] for u in units], num_threads=1)
-        return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
+        #: No piece goes on after a space that follows something else, so that words can be encoded one by one.
+        self.by_word = all("▁" not in n.lstrip("▁") for n in names)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each of which begins with a space, and how many each text has."""
-        units, per_text = [], []
-        for text in texts:
-            found = self.cut.findall(text)
-            units += found
-            per_text.append(len(found))
-        places = self.memo.places(units)
-        return self.memo.gather(places), self.memo.sums(places, np.array(per_text, np.int64))
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
 
 
 class Windows:
-    """Both encoders and the aligned windows of a task."""
+    """Both encoders, the aligned windows of a task, and the windows of the units that it has tokenised."""
 
     def __init__(self, vocabulary: Vocabulary, model: bytes):
         self.left, self.right = Encoder(vocabulary), PieceEncoder(model)
@@ -105,23 +97,64 @@ class Windows:
         self.forget()
 
     def forget(self) -> None:
-        self.place, self.pairs = numbers(), numbers()
+        self.place, self.pairs, self.units = numbers(), numbers(), numbers()
         self.groups = self.links = self.link_first = self.texts_first = self.texts_size = self.link_size = np.zeros(0, np.int64)
-        self.texts = np.zeros(0, np.uint8)
+        self.unit_first = self.unit_size = self.unit_windows = self.unit_a = self.unit_b = np.zeros(0, np.int64)
+        self.texts, self.unit_good = np.zeros(0, np.uint8), np.zeros(0, bool)
+
+    def split(self, text: str) -> list[str]:
+        """Parts between spaces that follow no other white space; a space belongs before each part. No token crosses there."""
+        if not self.right.by_word:
+            return [text]
+        words = text.split(" ")
+        if not _SPACES.search(text):
+            return words
+        out = words[:1]
+        for word in words[1:]:
+            if not out[-1] or out[-1][-1].isspace():
+                out[-1] += f" {word}"
+            else:
+                out.append(word)
+        if not out[-1] and len(out) > 1:
+            out[-2:] = [f"{out[-2]} "]
+        return out
+
+    def find(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Windows of all texts in order (a space belongs before each), how many each has, which are spelt, tokens of both sides."""
+        units, per_text = [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            found = self.split(text)
+            units += found
+            per_text[k] = len(found)
+        known = len(self.units)
+        place = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        if len(self.units) > known:
+            self._tokenise([f" {u}" for u in islice(self.units, known, None)])
+        good = _sums(~self.unit_good[place], per_text) == 0
+        kept = place[np.repeat(good, per_text)]
+        count, n_a, n_b = (_sums(np.where(np.repeat(good, per_text), x[place], 0), per_text) for x in (self.unit_size, self.unit_a, self.unit_b))
+        return ragged(self.unit_windows, self.unit_first, self.unit_size, kept), count, good, n_a, n_b
+
+    def _tokenise(self, units: list[str]) -> None:
+        good, sides = self.exact(units)
+        windows, size = self.of(sides, good)
+        self.unit_first = np.concatenate([self.unit_first, len(self.unit_windows) + np.cumsum(size) - size])
+        self.unit_size = np.concatenate([self.unit_size, size])
+        self.unit_windows = np.concatenate([self.unit_windows, windows])
+        self.unit_good = np.concatenate([self.unit_good, good])
+        self.unit_a, self.unit_b = (np.concatenate([x, count]) for x, (_, count) in zip((self.unit_a, self.unit_b), sides, strict=True))
 
     def exact(self, texts: list[str]) -> tuple[np.ndarray, list]:
         """Which texts both sides spell byte by byte, and the ids and counts of both sides."""
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
-        size = np.array([len(t.encode()) for t in texts], np.int64)
+        raw = [t.encode() for t in texts]
+        data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(t) for t in raw], np.int64)
         first = np.cumsum(size) - size
         good, sides = np.ones(len(texts), bool), []
         for encoder, tokens in ((self.left, self.a), (self.right, self.b)):
             ids, count = encoder.encode(texts)
-            spelt = tokens.spell(ids)
-            total = np.concatenate([[0], np.cumsum(tokens.size[ids])])
-            ends = np.cumsum(count)
-            spelt_first, spelt_size = total[ends - count], total[ends] - total[ends - count]
+            spelt, spelt_size = tokens.spell(ids), _sums(tokens.size[ids], count)
             if not np.array_equal(spelt, data):
+                spelt_first = np.cumsum(spelt_size) - spelt_size
                 good &= [s == n and np.array_equal(spelt[x:x + s], data[y:y + n]) for s, n, x, y in zip(spelt_size, size, spelt_first, first, strict=True)]
             sides.append((ids, count))
         return good, sides
@@ -145,7 +178,7 @@ class Windows:
         known = len(self.place)
         found = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
         if len(self.place) > known:
-            self._align(list(self.place)[known:])
+            self._align(list(islice(self.place, known, None)))
         stops = np.searchsorted(a_low, np.cumsum(a_count))
         return found, np.diff(np.concatenate([[0], stops]))
 
@@ -259,7 +292,7 @@ def _finder(vocabulary, model):
         for batch in batches:
             for ids, texts in _grouped(batch):
                 long = len(texts) == 1 and len(texts[0]) > SLICE_CHARS
-                found, per_doc, n_a, n_b, n_groups, n_links, shas, packed = _long(windows, block, texts[0]) if long else _short(windows, block, texts)
+                n_a, n_b, n_groups, n_links, shas, packed = _long(windows, block, texts[0]) if long else _short(windows, block, texts)
                 yield rows(is_doc=[True] * len(ids), doc_id=ids, n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=n_links, groups_sha256=shas, windows=packed)
                 if block.seen >= BLOCK_WINDOWS or len(windows.place) >= BLOCK_KINDS:
                     yield closed()
@@ -289,32 +322,29 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 
 
 def _short(windows: Windows, block: _Block, texts: list[str]):
-    full = [f" {t}" if t else "" for t in texts]
-    good, sides = windows.exact(full)
+    found, count, good, n_a, n_b = windows.find(texts)
     good &= np.array([bool(t) for t in texts])
-    found, count = windows.of(sides, good)
+    found = found[np.repeat(good, count)] if not good.all() else found
+    count, n_a, n_b = (np.where(good, x, 0) for x in (count, n_a, n_b))
     said = ragged(windows.texts, windows.texts_first, windows.texts_size, found).tobytes()
     ends = np.cumsum(_sums(windows.texts_size[found], count)).tolist()
     # the separator after the last group is left out
     shas = [hashlib.sha256(said[a:b - 1]).hexdigest() if b > a else "" for a, b in zip([0, *ends], ends, strict=False)]
-    return (found, count, *(np.where(good, n, 0) for _, n in sides), _sums(windows.groups[found], count), _sums(windows.link_size[found], count),
-            shas, block.add(found, count))
+    return n_a, n_b, _sums(windows.groups[found], count), _sums(windows.link_size[found], count), shas, block.add(found, count)
 
 
 def _long(windows: Windows, block: _Block, text: str):
-    parts = list(pieces(f" {text}", SLICE_CHARS))
-    if not all(windows.exact([p])[0][0] for p in parts):
-        return (None, None, [0], [0], [0], [0], [""], [b""])
     every, n_a, n_b, sha = [], 0, 0, hashlib.sha256()
-    for k, part in enumerate(parts):
-        good, sides = windows.exact([part])
-        found, _ = windows.of(sides, good)
-        sha.update(b";" * (k > 0) + ragged(windows.texts, windows.texts_first, windows.texts_size, found).tobytes()[:-1])
+    for part in pieces(f" {text}", SLICE_CHARS):
+        found, _, good, a, b = windows.find([part[1:]])
+        if not good[0]:
+            return [0], [0], [0], [0], [""], [b""]
+        sha.update(b";" * bool(every) + ragged(windows.texts, windows.texts_first, windows.texts_size, found).tobytes()[:-1])
         every.append(found)
-        n_a, n_b = n_a + len(sides[0][0]), n_b + len(sides[1][0])
+        n_a, n_b = n_a + int(a[0]), n_b + int(b[0])
     found = np.concatenate(every)
     count = np.array([len(found)])
-    return (found, count, [n_a], [n_b], _sums(windows.groups[found], count), _sums(windows.link_size[found], count), [sha.hexdigest()], block.add(found, count))
+    return [n_a], [n_b], _sums(windows.groups[found], count), _sums(windows.link_size[found], count), [sha.hexdigest()], block.add(found, count)
 
 
 def _told(found: pa.Table, pairs: pa.Table) -> pa.Table:
