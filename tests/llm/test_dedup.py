@@ -172,3 +172,64 @@ def test_lines_of_two_documents(spark):
     assert got[8].n_dropped == 1
     # two documents make no generalised template, and a repeat in one document is none across documents
     assert {i for i in got if got[i].n_dropped} == {2, 8}
+
+
+def recurring(rows, min_docs=3, lead=3, alike=70):
+    """The definition: rows of id, lines, dropped lines and digest of the kept text."""
+    no_id = (1 << 63) - 1
+    lines = {}
+    for i, text in rows:
+        i = no_id if i is None else i
+        for pos, line in enumerate((text or "").split("\n")):
+            tokens = [("<*>" if re.search("[0-9]", t) else t) for t in re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").split(" ")]
+            if tokens != [""]:
+                lines.setdefault((i, text or "", pos), tokens)
+    # rows that repeat id and text count each time in a leaf, but are one document
+    copies = {}
+    for i, text in rows:
+        copies[no_id if i is None else i, text or ""] = copies.get((no_id if i is None else i, text or ""), 0) + 1
+    leaves, equal = {}, {}
+    for key, tokens in lines.items():
+        leaves.setdefault((len(tokens), *tokens[:lead]), []).append((key, tokens))
+        equal.setdefault(tuple(tokens), []).append(key)
+    gone = set()
+    for keys in equal.values():
+        gone |= {k for k in keys if k[0] > min(keys)[0]}
+    for members in leaves.values():
+        n = sum(copies[k[:2]] for k, _ in members)
+        if len({tuple(t) for _, t in members}) < 2 or n < min_docs or len({k[0] for k, _ in members}) < 2:
+            continue
+        template = []
+        for at in range(len(members[0][1])):
+            counts = {}
+            for k, t in members:
+                counts[t[at]] = counts.get(t[at], 0) + copies[k[:2]]
+            most, token = max((c, t.encode()) for t, c in counts.items())
+            template.append(token.decode() if 2 * most >= n and token != b"<*>" else "<*>")
+        if len(template) > lead and all(t == "<*>" for t in template[lead:]):
+            continue
+        fit = [k for k, t in members if 100 * sum(a in (b, "<*>") for a, b in zip(t, template, strict=True)) >= alike * len(t)]
+        if len({k[0] for k in fit}) >= min_docs:
+            gone |= {k for k in fit if k[0] > min(fit)[0]}
+    out = []
+    for i, text in rows:
+        parts = (text or "").split("\n")
+        kept = [x for pos, x in enumerate(parts) if (no_id if i is None else i, text or "", pos) not in gone]
+        out.append((i, len(parts), len(parts) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "x1", "n27", "Ünï", "a\x0bb", "7", "-"]
+    starts = ["Request done by", "Connect to host", "All rights reserved", "note"]
+
+    def line():
+        rest = [rng.choice(words) for _ in range(rng.randrange(5))]
+        return rng.choice([" ", "\t", "  "]).join([*rng.choice(starts).split(), *rest]) + rng.choice(["", " ", "\r"])
+
+    rows = [(rng.choice([k, k, k, None, 3]), "\n".join(line() if rng.random() < 0.8 else "" for _ in range(rng.randrange(6)))) for k in range(70)]
+    rows += [*rows[:6], (200, None), (201, "word " * 20_000 + "\n" + "All rights reserved alpha"), (202, "word " * 20_000)]
+    got = sorted((tuple(r) for r in drop_recurring_lines(frame(spark, rows)).collect()), key=str)
+    assert got == recurring(rows) and sum(r[2] for r in got) > 20

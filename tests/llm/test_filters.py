@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlens.llm import bytecnn, warc
+from commentlens import session
+from commentlens.llm import bytecnn, contain, warc
 from commentlens.llm.contain import contaminated
 from commentlens.llm.mixing import TARGETS, fit_rates, mixed
 from commentlens.llm.secrets import Automaton, base_spans, candidates, find_secrets, listed, ordinary_counts
@@ -37,12 +39,65 @@ def test_containment(spark):
     ]
     table = spark.createDataFrame([(i, t, "u", "v") for i, t in items], "item_id long, text string, doc string, words string")
     got = {(r.doc_id, r.item_id): (r.n_item, r.n_found) for r in contaminated(docs_of(spark, rows), table).collect()}
-    assert set(got) == {(1, 1), (2, 2), (4, 5), (7, 3)}
+    assert set(got) == {(1, 1), (2, 2), (4, 5), (7, 3), (None, 2)}
     assert got[(1, 1)] == (8, 8) and got[(4, 5)] == (56, 54)
     assert contaminated(docs_of(spark, []), table).collect() == []
     assert contaminated(docs_of(spark, rows), table.limit(0)).collect() == []
 
 
+def leaks(rows, items, size=5, percent=80):
+    """The definition: distinct rows of id, item, item's shingles and those found, judged text by text."""
+    def cut(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {" ".join(words[i:i + size]) for i in range(len(words) - size + 1)}
+
+    whole = {}
+    for item, text in items:
+        whole.setdefault(item, set()).update(cut(text))
+    out = set()
+    for doc, text in rows:
+        mine = cut(text)
+        out |= {(doc, i, len(s), len(s & mine)) for i, s in whole.items() if s and 100 * len(s & mine) >= percent * len(s)}
+    return out
+
+
+def test_containment_against_brute_force(spark):
+    rng = random.Random(5)
+    prose = lambda n, size: " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+    passage = prose(30, 10**6)
+    items = [(k, prose(rng.randint(3, 50), 10**6)) for k in range(12)]
+    items += [(20 + k, f"{passage} {prose(n, 10**6)}") for k, n in enumerate((0, 1, 4, 6, 7, 12, 40))] + [(None, prose(9, 10**6)), (None, prose(8, 10**6)), (3, prose(12, 10**6))]
+    rows = []
+    for k in range(90):
+        text = rng.choice(items)[1].split() if k % 2 else passage.split()
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = "changed"
+        rows.append((k if k % 9 else None, f"{prose(rng.randrange(40), 50)} {' '.join(text)} {prose(rng.randrange(40), 50)}"))
+    rows += rows[:10] + [(5, rows[40][1]), (7, items[0][1])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in contaminated(docs_of(spark, [(i, t, "en") for i, t in rows]), table, with_digest=True).collect()]
+    want = leaks(rows, items)
+    # one row for each id, text and item
+    assert len(got) == len(set(got)) and {r[:4] for r in got} == want and len(want) > 30
+
+
+def test_a_passage_of_many_items_makes_few_candidates(spark, monkeypatch):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = prose(30)
+    items = spark.createDataFrame([(k, f"{passage} {prose(30)}") for k in range(200)], "item_id long, text string")
+    docs = docs_of(spark, [(k, f"{prose(20)} {passage} {prose(20)}", "en") for k in range(400)])
+    written = {}
+
+    def keep(df, name):
+        written[name] = session.written_table(df, name)
+        return written[name]
+
+    monkeypatch.setattr(contain, "written_table", keep)
+    assert contaminated(docs, items).collect() == []
+    assert written["contain-candidates"].count() == 0 and written["contain-seen"].count() == 0
+
+
 def test_rates_meet_targets_like_numpy(spark):
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.3, 0.3, 0.3], 300)
