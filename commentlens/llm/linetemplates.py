@@ -28,21 +28,22 @@ _WILD = "<*>"
 NO_ID = (1 << 63) - 1
 
 
-def _masked(line: Column) -> Column:
-    """A line with single spaces in which every token with a digit is variable."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", _WILD)
+def _masked(text: Column) -> Column:
+    """The lines of a text with single spaces, in which every token with a digit is variable; each pattern reads the text once."""
+    plain = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    # tried at the beginnings of tokens only, and without going back
+    return F.split(F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", _WILD), "\n")
 
 
-def _lined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Key (id, sha) of each row with its lines."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Key (id, sha) of each row with its text."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.sha2(text, 256).alias("sha"), F.split(text, "\n").alias("lines"))
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
 
 
 def _leaved(rows: DataFrame, lead: int) -> DataFrame:
     """One row per line that isn't blank: key, pos, tokens, leaf, own (hash of the masked line)."""
-    each = rows.select("id", "sha", F.posexplode(F.transform("lines", _masked)).alias("pos", "line")).where("line <> ''")
+    each = rows.select("id", "sha", F.posexplode(F.transform(_masked(F.col("text")), lambda x: F.trim(x))).alias("pos", "line")).where("line <> ''")
     each = each.select("id", "sha", "pos", "line", F.split("line", " ").alias("tokens"))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead))
     return each.select("id", "sha", "pos", "tokens", leaf.alias("leaf"), F.xxhash64("line").alias("own"))
@@ -58,7 +59,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int =
     Rows of one id are one document. A null text is empty: one blank line. An empty table gives an
     empty result; other columns are ignored.
     """
-    rows = _lined(docs, id_col, text_col)
+    rows = _keyed(docs, id_col, text_col)
     keys = written_table(_leaved(rows, lead).select("id", "sha", "pos", "leaf", "own"), "lines-keys")
     per_line = keys.groupBy("leaf", "own").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     per_line = written_table(per_line, "lines-kinds")
@@ -66,7 +67,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int =
     leaves = per_line.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high"))
     leaves = written_table(leaves.where(f"kinds > 1 AND lines >= {min_docs} AND low < high").select("leaf", "lines"), "lines-leaves")
 
-    open_lines = _leaved(rows, lead).join(leaves.select("leaf"), "leaf", "left_semi")
+    open_lines = _leaved(rows, lead).join(leaves.select("leaf"), "leaf", "left_semi").select("leaf", "id", "sha", "pos", "tokens")
+    open_lines = written_table(open_lines, "lines-open")
     token = open_lines.select("leaf", F.posexplode("tokens").alias("at", "token"))
     counts = token.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("best"))
@@ -91,6 +93,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int =
         .groupBy("id", "sha").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.lit(True)))).alias("gone"))
     )
     gone = written_table(gone, "lines-gone")
+    rows = rows.select("id", "sha", F.split("text", "\n").alias("lines"))
     kept = rows.join(gone, ["id", "sha"]).dropDuplicates(["id", "sha"]).withColumn(
         "kept", F.array_join(F.filter("lines", lambda x, i: F.coalesce(~F.element_at("gone", i), F.lit(True))), "\n"))
     kept = kept.select("id", "sha", F.size("gone").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha"),
