@@ -54,9 +54,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = written_table(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; each row goes or stays by its own text, whatever its id."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"), with_digest=True)
+    leaks = written_table(found.select(F.col("text_sha256").alias("__sha")).distinct(), "pipeline-leaks")
+    own = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(leaks, own == F.col("__sha"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
