@@ -9,8 +9,9 @@ every prefix whose bound reaches tau, the longer phrases around every phrase tha
 drop it) and the parts that a score still lacks. Rounds end when nothing that could matter is uncounted.
 
 Tasks learn what to count from a broadcast table of flags by hash slot. Its size is fixed, whatever the
-frontier; slots that collide make tasks count more, never less. Counts themselves are of words, not of
-hashes, and combine before the shuffle.
+frontier; slots that collide make tasks count more, never less. Longer phrases travel as the 64-bit
+numbers of their words, and counts combine before the shuffle. That no frequent word shares its number
+with any other is checked over the whole vocabulary; if one does, other numbers are given.
 """
 
 from __future__ import annotations
@@ -32,18 +33,22 @@ LEAST, LONGEST, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: A phrase is dropped if a longer one has this share of its occurrences, in percent.
 INSIDE = 80
 #: Bytes of text that are split at a time, and phrases or words that a task holds before it passes its counts on.
-SLICE_BYTES, HELD = 1 << 20, 1 << 20
+SLICE_BYTES, HELD = 1 << 20, 1 << 19
 #: Bounds of the flag table's size, as powers of two.
 LEAST_BITS, MOST_BITS = 16, 24
 #: What the texts are asked for: this phrase has LEAST occurrences; count what follows it; count what
 #: precedes it; count it.
 HEAVY, GROW, LEFT, SELF = 1, 2, 4, 8
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
-_COUNTED = "lang string, phrase string, size int, a long"
+#: Rows that leave a task at a time.
+_ROWS = 1 << 16
+_WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
+_COUNTED = {True: "lang string, phrase string, w1 long, a long", False: f"lang string, {', '.join(f'{w} long' for w in _WORDS)}, a long"}
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFFFFFFFFFF)
+def word_hash(lang: str, word: bytes, seed: int) -> int:
+    """The number of a word, never 0."""
+    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode(), seed)) or 1
 
 
 def longer_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -54,8 +59,8 @@ def longer_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Flags:
     """Flags by hash slot of phrases of one, two and three words."""
 
-    def __init__(self, bits: int):
-        self.bits = bits
+    def __init__(self, bits: int, seed: int = 0):
+        self.bits, self.seed = bits, seed
         self.tables = {size: np.zeros(1 << bits, np.uint8) for size in (1, 2, 3)}
 
     def of(self, size: int, hashes: np.ndarray) -> np.ndarray:
@@ -63,9 +68,9 @@ class Flags:
 
     def added(self, rows: DataFrame) -> Flags:
         """These flags and those of ``rows(lang, phrase, size, flag)``."""
-        out = Flags(self.bits)
+        out = Flags(self.bits, self.seed)
         packed = (
-            rows.mapInArrow(_slots(self.bits), "size int, slot long, flag long")
+            rows.mapInArrow(_slots(self.bits, self.seed), "size int, slot long, flag long")
             .groupBy("size", F.shiftright("slot", 3).alias("at")).agg(F.expr("bit_or(shiftleft(flag, cast(8 * (slot & 7) as int)))").alias("flags"))
         )
         found = packed.collect()  # an eighth of the slots at most
@@ -77,12 +82,12 @@ class Flags:
         return out
 
 
-def _slots(bits: int):
+def _slots(bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for lang, phrase, size, flag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = [np.uint64(word_hash(lang, w)) for w in phrase.encode().split(b" ")]
+                words = [np.uint64(word_hash(lang, w, seed)) for w in phrase.encode().split(b" ")]
                 value = np.array([words[0]], np.uint64)
                 for w in words[1:]:
                     value = longer_hash(value, w)
@@ -97,8 +102,8 @@ def _slots(bits: int):
 class _Language:
     """The words of one language in a task and the phrases counted so far."""
 
-    def __init__(self, lang: str, flags: Flags | None, done: Flags | None):
-        self.lang, self.flags, self.done = lang, flags, done
+    def __init__(self, lang: str, seed: int, flags: Flags | None, done: Flags | None):
+        self.lang, self.seed, self.flags, self.done = lang, seed, flags, done
         self.carry = np.zeros(0, np.int64)
         self.reset()
 
@@ -117,9 +122,9 @@ class _Language:
         new = list(self.place)[known:] if len(self.place) > known else []
         if new:
             self.words += new
+            hashes = np.array([word_hash(self.lang, w, self.seed) for w in new], np.uint64)
+            self.hashes = np.concatenate([self.hashes, hashes])
             if self.flags:
-                hashes = np.array([word_hash(self.lang, w) for w in new], np.uint64)
-                self.hashes = np.concatenate([self.hashes, hashes])
                 self.heavy = np.concatenate([self.heavy, self.flags.of(1, hashes) & HEAVY > 0])
         return out
 
@@ -203,21 +208,26 @@ class _Language:
     def told(self) -> Iterator[pa.RecordBatch]:
         """All counts, and with single words a row without phrase for their sum."""
         if len(self.singles) > 1:
-            counts = self.singles[1:]
-            yield self._batch([None, *(w.decode() for w in self.words[1:len(counts) + 1])], np.ones(len(counts) + 1, np.int64), np.concatenate([[counts.sum()], counts]))
+            counts, numbers_ = self.singles[1:], self.hashes[1:].view(np.int64)
+            yield self._batch({"phrase": pa.array([None], pa.string()), "w1": [0], "a": [int(counts.sum())]})
+            for low in range(0, len(counts), _ROWS):
+                part = slice(low, low + _ROWS)
+                words = [w.decode() for w in self.words[1 + low:1 + low + len(counts[part])]]
+                yield self._batch({"phrase": words, "w1": numbers_[:len(counts)][part], "a": counts[part]})
         self._combine()
         if self.high:
             high, low, count = self.high[0], self.low[0], self.count[0]
-            columns = [c.tolist() for c in (high >> 32, high & 0xFFFFFFFF, low >> 32, low & 0xFFFFFFFF)]
-            text = [w.decode() for w in self.words]
-            phrases = [" ".join([text[i] for i in row if i]) for row in zip(*columns, strict=True)]
-            yield self._batch(phrases, 2 + (low > 0).astype(np.int64) + (low & 0xFFFFFFFF > 0), count)
+            number = self.hashes.view(np.int64).copy()
+            number[0] = 0
+            for first in range(0, len(high), _ROWS):
+                part = slice(first, first + _ROWS)
+                columns = (high[part] >> 32, high[part] & 0xFFFFFFFF, low[part] >> 32, low[part] & 0xFFFFFFFF)
+                yield self._batch({w: number[c] for w, c in zip(_WORDS, columns, strict=True)} | {"a": count[part]})
         self.reset()
 
-    def _batch(self, phrases: list, size: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(size, pa.int32()), pa.array(count, pa.int64())],
-            names=["lang", "phrase", "size", "a"])
+    def _batch(self, columns: dict) -> pa.RecordBatch:
+        n = len(columns["a"])
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * n, pa.string()), *map(pa.array, columns.values())], names=["lang", *columns])
 
 
 def _slices(texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
@@ -245,7 +255,7 @@ def _slices(texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
         yield b" . ".join(held), False
 
 
-def _counter(sizes: tuple[int, ...], flags=None, done=None):
+def _counter(sizes: tuple[int, ...], seed: int = 0, flags=None, done=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, before = flags and flags.value, done and done.value
         languages: dict[str, _Language] = {}
@@ -255,7 +265,7 @@ def _counter(sizes: tuple[int, ...], flags=None, done=None):
                 rows.setdefault(lang, []).append(row)
             texts = batch.column(1)
             for lang, mine in rows.items():
-                language = languages.setdefault(lang, _Language(lang, asked, before))
+                language = languages.setdefault(lang, _Language(lang, seed, asked, before))
                 for data, goes_on in _slices((texts[i].as_py() or "").encode() for i in mine):
                     language.feed(data, sizes, goes_on)
                     if sum(x.held for x in languages.values()) > 3 * HELD:
@@ -267,13 +277,32 @@ def _counter(sizes: tuple[int, ...], flags=None, done=None):
     return run
 
 
-def _counted(texts: DataFrame, name: str, least: int, sizes: tuple[int, ...], flags: Flags | None = None, done: Flags | None = None) -> DataFrame:
-    """Phrases of the asked sizes with their occurrences, from ``least`` on; with single words also their sum, without phrase."""
+def _vocabulary(texts: DataFrame, least: int) -> tuple[int, DataFrame, DataFrame]:
+    """A seed under which no frequent word shares its number, the sums of all words by language, and the frequent words."""
+    for seed in range(1 << 30):
+        parts = texts.mapInArrow(_counter((1,), seed), _COUNTED[True])
+        words = written_table(parts.groupBy("lang", "phrase", "w1").agg(F.sum("a").cast("long").alias("a")), "phrases-words")
+        shared = words.where("phrase IS NOT NULL").groupBy("lang", "w1").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"))
+        if shared.where(f"n > 1 AND a >= {least}").isEmpty():
+            frequent = words.where(F.col("phrase").isNotNull() & (F.col("a") >= least))
+            return seed, words.where("phrase IS NULL").select("lang", F.col("a").alias("n")), written_table(frequent, "phrases-frequent")
+    raise RuntimeError("no collision-free numbers")
+
+
+def _counted(texts: DataFrame, words: DataFrame, name: str, least: int, sizes: tuple[int, ...], flags: Flags, done: Flags | None = None) -> DataFrame:
+    """Phrases of the asked sizes with their occurrences, from ``least`` on."""
     context = texts.sparkSession.sparkContext
     shared = [f and context.broadcast(f) for f in (flags, done)]
-    parts = texts.mapInArrow(_counter(sizes, *shared), _COUNTED)
-    sums = parts.groupBy("lang", "phrase", "size").agg(F.sum("a").cast("long").alias("a"))
-    return written_table(sums.where((F.col("a") >= least) | F.col("phrase").isNull()), name)
+    parts = texts.mapInArrow(_counter(sizes, flags.seed, *shared), _COUNTED[False])
+    sums = parts.groupBy("lang", *_WORDS).agg(F.sum("a").cast("long").alias("a")).where(F.col("a") >= least)
+    sums = written_table(sums, f"{name}-numbers")
+    spelt = sums
+    for w in _WORDS[:max(sizes)]:
+        spelt = spelt.join(words.select("lang", F.col("w1").alias(w), F.col("phrase").alias(f"text_{w}")), ["lang", w], "left")
+    # a number below ``least`` that got through belongs to no frequent word, and neither does its phrase
+    texts_of = [F.col(f"text_{w}") for w in _WORDS[:max(sizes)]]
+    size = sum(((F.col(w) != 0).cast("int") for w in _WORDS), F.lit(0))
+    return written_table(spelt.select("lang", F.concat_ws(" ", *texts_of).alias("phrase"), size.alias("size"), "a"), name)
 
 
 def _ratio(a: Column, below: Column) -> Column:
@@ -350,13 +379,12 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text_col:
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), docs[text_col].alias("text"))
-    words = _counted(texts, "phrases-words", least, (1,))
-    totals, words = words.where("phrase IS NULL").select("lang", F.col("a").alias("n")), words.where("phrase IS NOT NULL")
-    flags = Flags(_flag_bits(words.count())).added(_marked(words))
-    pairs = _counted(texts, "phrases-pairs", least, (2,), flags)
-    bits = max(flags.bits, _flag_bits(pairs.count()))
-    done = Flags(bits).added(_marked(words.unionByName(pairs)))
-    known, asked = words.unionByName(pairs), None
+    seed, totals, words = _vocabulary(texts, least)
+    singles = words.select("lang", "phrase", F.lit(1).alias("size"), "a")
+    flags = Flags(_flag_bits(words.count()), seed).added(_marked(singles))
+    pairs = _counted(texts, words, "phrases-pairs", least, (2,), flags)
+    done = Flags(max(flags.bits, _flag_bits(pairs.count())), seed).added(_marked(singles.unionByName(pairs)))
+    known, asked = singles.unionByName(pairs), None
     while True:
         scored = written_table(_scored(known), "phrases-scored")
         wanted = _wanted(scored, top)
@@ -365,7 +393,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text_col:
         if fresh.isEmpty():
             break
         flags = done.added(fresh)
-        known = known.unionByName(_counted(texts, "phrases-grown", least, (3, 4), flags, done))
+        known = known.unionByName(_counted(texts, words, "phrases-grown", least, (3, 4), flags, done))
         done, asked = flags, fresh if asked is None else asked.unionByName(fresh)
     best = _ranked(scored, top).join(totals, "lang")
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
