@@ -97,10 +97,16 @@ def _walk(centres: DataFrame, members: DataFrame, n_tiles: int, threshold: float
 
 def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN_SIZE,
            chunk_rows: int | None = None, tile_rows: int = similarity.TILE_ROWS,
-           walk_entries: int = WALK_ENTRIES) -> DataFrame:
-    """``chunk, seed, n0, id`` of every community member; ``vectors`` is ``id, embedding``."""
-    placed, n_tiles = similarity.place(vectors, chunk_rows, tile_rows)
-    placed = cut_lineage(placed)
+           walk_entries: int = WALK_ENTRIES, recall: float | None = None) -> DataFrame:
+    """``chunk, seed, n0, id`` of every community member; ``vectors`` is ``id, embedding``.
+
+    With ``recall`` rows meet by hash tables, for a high threshold, instead of every tile with every other.
+    """
+    if recall is None:
+        placed, n_tiles = similarity.place(vectors, chunk_rows, tile_rows)
+        placed = cut_lineage(placed)
+    else:
+        placed, n_tiles = similarity.place_hashed(vectors, threshold, recall)
     sizes = placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
     counts = similarity.neighbour_counts(placed, n_tiles, threshold).withColumnRenamed("n", "n0")
     # the minimum is clamped to the chunk size; there is one size row per chunk

@@ -103,6 +103,31 @@ def top_k_neighbours(spark, folder):
     return similarity.top_k(placed, n_tiles, 5).withColumn("sim", F.round("sim", 5))
 
 
+# the same at the threshold of near copies, where rows meet by hash tables
+_NEAR_COPIES_SQL = views.NEAR_VECTORS_SQL + f"""
+, meet AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.e, b.e) AS sim FROM v a, v b
+           WHERE list_cosine_similarity(a.e, b.e) >= {communities.THRESHOLD})"""
+
+
+@query("near_counts", f"WITH {_NEAR_COPIES_SQL} SELECT i AS id, count(*) AS n FROM meet GROUP BY i HAVING count(*) >= 2")
+def near_counts(spark, folder):
+    return similarity.near_counts(views.near_vectors(spark, folder), communities.THRESHOLD, 2)
+
+
+@query("near_pairs", f"WITH {_NEAR_COPIES_SQL} SELECT i AS left_id, j AS right_id, round(sim, 5) AS sim, 1 AS left_copies, 1 AS right_copies FROM meet")
+def near_pairs(spark, folder):
+    pairs = similarity.similar_pairs(views.near_vectors(spark, folder), communities.THRESHOLD, recall=similarity.RECALL)
+    return pairs.withColumn("sim", F.round("sim", 5))
+
+
+@query("near_top_k", f"""
+    WITH {_NEAR_COPIES_SQL}
+    SELECT i AS id, j AS neighbour, round(sim, 5) AS sim, row_number() OVER nearest AS rank FROM meet
+    WINDOW nearest AS (PARTITION BY i ORDER BY round(sim, 9) DESC, j) QUALIFY row_number() OVER nearest <= 3""")
+def near_top_k(spark, folder):
+    return similarity.near_top_k(views.near_vectors(spark, folder), communities.THRESHOLD, 3).withColumn("sim", F.round("sim", 5))
+
+
 # the greedy walk over the candidates, largest neighbourhood first, carrying the taken ids
 _COMMUNITIES_SQL = _NEAR_SQL + f"""
 , ordered AS (SELECT i, n, row_number() OVER (ORDER BY n DESC, i) AS step FROM dense)

@@ -190,6 +190,19 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
+#: Four versions of each vector, the last about 0.97 similar to the first.
+NEAR_VECTORS_SQL = """v AS (SELECT vec_id * 4 + k AS id,
+    [e::double * (1 + k * 0.1 * ((i * 7 + vec_id) % 3 - 1)) FOR e, i IN embedding] AS e
+    FROM embeddings, range(4) versions(k))"""
+
+
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """``embeddings`` in four versions each that are near one another."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.explode(F.expr("sequence(0L, 3L)")).alias("k"))
+    scale = lambda i: 1 + F.col("k") * F.lit(0.1) * ((i * 7 + F.col("vec_id")) % 3 - 1)
+    return rows.select((F.col("vec_id") * 4 + F.col("k")).alias("id"), F.transform("embedding", lambda e, i: e.cast("double") * scale(i + 1)).alias("embedding"))
+
+
 def vector_comments(spark: SparkSession, folder: str) -> DataFrame:
     """``embeddings`` as stored comments with review state."""
     return table(spark, folder, "embeddings").select(

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -144,6 +145,75 @@ def test_similarity_operators_against_brute_force(spark):
     assert sum(r.left_copies * r.right_copies for r in pairs) == int((sims >= 0.8).sum())
 
 
+def near_copies(seed, groups, size, dim=48, noise=0.12):
+    """Groups of near copies, a hot group of a third of all rows, some exact copies and a row of zeros."""
+    rng = np.random.default_rng(seed)
+    owner = np.concatenate([np.repeat(np.arange(groups), size), np.zeros(groups * size // 2, np.int64)])
+    vectors = rng.normal(size=(groups, dim))[owner] + rng.normal(scale=noise, size=(len(owner), dim))
+    vectors[5], vectors[7], vectors[11] = vectors[4], vectors[4], 0
+    return vectors.astype(np.float32)
+
+
+def test_hashed_similarity_against_brute_force(spark):
+    vectors = near_copies(3, 90, 6)
+    unit = vectors.astype(np.float64)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    sims = unit @ unit.T
+    data = as_frame(spark, vectors).withColumn("bucket", F.lit("extra"))
+    # small buckets and tiles, so that there are several tables and the hot bucket is dealt out
+    placed, plan = similarity.place_hashed(data, 0.95, bucket_rows=20, tile_rows=64)
+    assert plan.bits == 6 and plan.tables > 8 and plan.hot.count() > 0
+    near = sims >= 0.95
+    counts = {r.id: r.n for r in similarity.neighbour_counts(placed, plan, 0.95).collect()}
+    want = near.sum(axis=1)
+    assert sum(counts.values()) >= 0.999 * want.sum() and all(counts[i] <= want[i] for i in counts)
+    weighted = {r.id: r.n for r in similarity.near_counts(data, 0.95, bucket_rows=20, tile_rows=64).collect()}
+    assert all(weighted[i] == weighted[4] for i in (5, 7)) and weighted.get(11, 0) == 0
+    assert sum(weighted.values()) >= 0.999 * want.sum() and all(weighted[i] <= want[i] for i in weighted)
+    top = {}
+    for r in similarity.top_k(placed, plan, 3).collect():
+        top.setdefault(r.id, []).append((r["rank"], r.neighbour))
+    same = 0
+    for i in range(len(vectors)):
+        order = sorted(np.flatnonzero(near[i]), key=lambda j: (-round(sims[i, j], 9), j))[:3]
+        same += [j for _, j in sorted(top.get(i, []))] == order
+    assert same >= 0.999 * len(vectors)
+    pairs = similarity.similar_pairs(data, 0.95, recall=0.9999).collect()
+    assert sum(r.left_copies * r.right_copies for r in pairs) >= 0.999 * near.sum()
+    assert len({(r.left_id, r.right_id) for r in pairs}) == len(pairs)
+    empty = data.limit(0)
+    assert similarity.near_counts(empty, 0.95).collect() == [] and similarity.near_top_k(empty, 0.95, 3).collect() == []
+
+
+def test_hash_tables_keep_buckets_small_and_recall_high():
+    for rows, bits in ((100, 0), (1024, 1), (10**6, 11), (10**9, 21)):
+        got, tables = similarity.hash_tables(rows, 0.95, 0.99)
+        assert got == bits and 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.99
+    # the rows that are sent out grow with the tables: less than threefold from a thousand to a billion rows per bit of size
+    assert similarity.hash_tables(10**9, 0.95, 0.9)[1] <= 25
+
+
+def test_hashed_work_grows_in_proportion(spark):
+    """Pairs that meet, on 1, 4 and 16 times the rows."""
+    met = []
+    for times in (1, 4, 16):
+        rng = np.random.default_rng(times)
+        vectors = rng.normal(size=(500 * times, 32)).astype(np.float32)
+        placed, plan = similarity.place_hashed(as_frame(spark, vectors), 0.95, 0.99, bucket_rows=64)
+        sizes = placed.select(F.posexplode("marks").alias("table", "bucket")).groupBy("table", "bucket").count()
+        met.append(sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0])
+    assert met[1] < 9 * met[0] and met[2] < 9 * met[1] and met[2] < 0.25 * 16 * 16 * met[0]
+
+
+def test_hashed_communities_equal_the_sequential_definition(spark):
+    vectors = near_copies(4, 30, 6)
+    want = sequential(np.where(vectors == 0, 1e-9, vectors), 0.95, 3)
+    got = {}
+    for r in communities.detect(as_frame(spark, vectors), 0.95, 3, recall=0.9999).collect():
+        got.setdefault(r.seed, set()).add(r.id)
+    assert {s: m - {11} for s, m in got.items()} == {s: m - {11} for s, m in want.items()}
+
+
 def test_wordpieces_against_greedy_walk(spark):
     rng = random.Random(2)
     vocabulary = {p: i for i, p in enumerate(["a", "ab", "abc", "b", "##a", "##b", "##bc", "##cab", "##c", "ca"])}
@@ -165,6 +235,24 @@ def test_wordpieces_against_greedy_walk(spark):
     vocab = spark.createDataFrame(list(vocabulary.items()), "piece string, id bigint")
     got = wordpieces.split_tokens(spark.createDataFrame([(w,) for w in words], "token string"), vocab)
     assert {r.token: r.pieces for r in got.collect()} == {w: greedy(w) for w in words}
+    joined = wordpieces._split_by_join(spark.createDataFrame([(w,) for w in words], "token string"), vocab)
+    assert {r.token: (r.pieces, r.ids) for r in joined.collect()} == {r.token: (r.pieces, r.ids) for r in got.collect()}
+
+
+def test_a_long_token_is_walked_quickly():
+    pieces = wordpieces.Pieces([("a" * n, n) for n in range(1, 40)] + [("##" + "a" * n, 100 + n) for n in range(1, 40)] + [("a", 7)])
+    start = time.perf_counter()
+    assert pieces.walk("a" * 20_000)[1] == [39] + [139] * 511 + [132] and pieces.walk("a") == (["a"], [7])
+    assert pieces.walk("a" * 20_000 + "b") == (["[UNK]"], [100]) and pieces.walk("") == (["[UNK]"], [100])
+    assert time.perf_counter() - start < 1
+
+
+def test_vocabularies_beyond_the_broadcast_bound(spark, monkeypatch):
+    vocab = spark.createDataFrame([("a", 1), ("##b", 2), ("b", 3)], "piece string, id bigint")
+    df = spark.createDataFrame([("1", "a ab ba"), ("2", None), ("3", "")], "k string, text string")
+    small = sorted(tuple(r) for r in wordpieces.encode(df, vocab, "k").collect())
+    monkeypatch.setattr(wordpieces, "BROADCAST_ROWS", 2)
+    assert sorted(tuple(r) for r in wordpieces.encode(df, vocab, "k").collect()) == small == [("1", [1, 1, 2, 100]), ("2", []), ("3", [])]
 
 
 def test_token_arrays(spark):
