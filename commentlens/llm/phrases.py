@@ -3,7 +3,7 @@
 A phrase of two to four words scores 2,000,000 * a / (l + r), the lowest over its cuts into a first part
 with l occurrences and a rest with r. No extension of a phrase q has more than f(q) occurrences and no
 rest has fewer than the whole, so 2,000,000 * f(q) / (f(first part) + f(q)) bounds all phrases that begin
-with q. Words and pairs are counted first. Then rounds grow the frontier: with tau the score that ranks
+with q. Words and pairs are counted first. Then rounds grow the frontier: with tau at most the score that ranks
 2000th among the phrases not known to be dropped, one pass over the texts counts the extensions of
 every prefix whose bound reaches tau, the longer phrases around every phrase that reaches tau (they may
 drop it) and the parts that a score still lacks. Rounds end when nothing that could matter is uncounted.
@@ -17,6 +17,7 @@ with any other is checked over the whole vocabulary; if one does, other numbers
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from commentlens.session import written_table
 
 #: Least occurrences, longest phrase, phrases reported of each language, scale of a score.
 LEAST, LONGEST, TOP, SCALE = 30, 4, 2000, 2_000_000
+#: How many times the reported phrases a round grows.
+MARGIN = 2
 #: A phrase is dropped if a longer one has this share of its occurrences, in percent.
 INSIDE = 80
-#: Bytes of text that are split at a time, and phrases or words that a task holds before it passes its counts on.
-SLICE_BYTES, HELD = 1 << 20, 1 << 19
+#: Bytes of text that are split at a time, and words that a task holds before it passes its counts on.
+SLICE_BYTES, HELD = 1 << 19, 1 << 20
 #: Bounds of the flag table's size, as powers of two.
 LEAST_BITS, MOST_BITS = 16, 24
 #: What the texts are asked for: this phrase has LEAST occurrences; count what follows it; count what
@@ -43,7 +46,7 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abc
 #: Rows that leave a task at a time.
 _ROWS = 1 << 16
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
-_COUNTED = {True: "lang string, phrase string, w1 long, a long", False: f"lang string, {', '.join(f'{w} long' for w in _WORDS)}, a long"}
+_COUNTED = f"lang string, {', '.join(f'{w} long' for w in _WORDS)}, a long"
 
 
 def word_hash(lang: str, word: bytes, seed: int) -> int:
@@ -100,134 +103,118 @@ def _slots(bits: int, seed: int):
 
 
 class _Language:
-    """The words of one language in a task and the phrases counted so far."""
+    """The words of one language in a task."""
 
-    def __init__(self, lang: str, seed: int, flags: Flags | None, done: Flags | None):
-        self.lang, self.seed, self.flags, self.done = lang, seed, flags, done
+    def __init__(self, lang: str, seed: int, flags: Flags | None = None):
+        self.lang, self.seed, self.flags = lang, seed, flags
         self.carry = np.zeros(0, np.int64)
         self.reset()
 
     def reset(self) -> None:
-        """Forgets all counts; the words before a cut inside a text stay."""
-        kept = [self.words[i] for i in self.carry.tolist()] if len(self.carry) else []
         self.place = numbers({b".": 0})
-        self.words, self.hashes, self.heavy = [b"."], np.zeros(1, np.uint64), np.zeros(1, bool)
+        self.words, self.marks = [b"."], np.zeros(1, np.int64)
         self.singles = np.zeros(1, np.int64)
-        self.high, self.low, self.count, self.waiting = [], [], [], 0
-        self.carry = self._numbered(kept)
 
-    def _numbered(self, tokens: list[bytes]) -> np.ndarray:
-        known = len(self.place)
+    def _numbered(self, data: bytes) -> np.ndarray:
+        tokens, known = data.split(), len(self.place)
         out = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
-        new = list(self.place)[known:] if len(self.place) > known else []
-        if new:
-            self.words += new
-            hashes = np.array([word_hash(self.lang, w, self.seed) for w in new], np.uint64)
-            self.hashes = np.concatenate([self.hashes, hashes])
+        if len(self.place) > known:
+            new = list(islice(self.place, known, None))
+            marks = np.array([word_hash(self.lang, w, self.seed) for w in new], np.uint64)
             if self.flags:
-                self.heavy = np.concatenate([self.heavy, self.flags.of(1, hashes) & HEAVY > 0])
+                marks = np.where(self.flags.of(1, marks) & HEAVY > 0, marks, np.uint64(0))
+            self.words += new
+            self.marks = np.concatenate([self.marks, marks.view(np.int64)])
         return out
 
-    def feed(self, data: bytes, sizes: tuple[int, ...], goes_on: bool) -> None:
-        """Counts a slice of text; its last words are held for the next slice if the text goes on."""
-        tokens = data.split()
-        fresh = self._numbered(tokens)
-        if sizes == (1,):
-            self.singles = np.concatenate([self.singles, np.zeros(len(self.words) - len(self.singles), np.int64)])
-            self.singles += np.bincount(fresh, minlength=len(self.words))
-            return
-        old, x = len(self.carry), np.concatenate([self.carry, fresh])
-        if sizes == (2,):
-            self._add(x, 2, self._starts(x, 2, old, self.heavy[x]))
-        else:
-            self._grow(x, old)
-        self.carry = x[-(LONGEST - 1):] if goes_on else np.zeros(0, np.int64)
+    def count(self, data: bytes) -> None:
+        """Adds the words of a slice of text to the counts."""
+        found = self._numbered(data)
+        self.singles = np.concatenate([self.singles, np.zeros(len(self.words) - len(self.singles), np.int64)])
+        self.singles += np.bincount(found, minlength=len(self.words))
 
-    def _starts(self, x: np.ndarray, size: int, old: int, good: np.ndarray) -> np.ndarray:
-        """Where a phrase of good words begins that does not end among the ``old`` ones."""
-        n = len(x) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        all_good = np.logical_and.reduce([good[k:k + n] for k in range(size)])
-        all_good[:max(0, old - size + 1)] = False
-        return np.flatnonzero(all_good)
-
-    def _grow(self, x: np.ndarray, old: int) -> None:
-        """Counts the triples and quadruples that the flags ask for and earlier passes did not."""
-        if len(x) < 3:
-            return
-        good, h = self.heavy[x], self.hashes[x]
-        two = longer_hash(h[:-1], h[1:])
-        three = longer_hash(two[:-1], h[2:])
-        first, first_done = self.flags.of(2, two), self.done.of(2, two)
-        pair = good[:-1] & good[1:] & (first & HEAVY > 0)
-        n = len(x) - 2
-        second, second_done = self.flags.of(3, three), self.done.of(3, three)
-
-        def triple(f2: np.ndarray, f3: np.ndarray) -> np.ndarray:
-            return (f2[:n] & GROW | f2[1:n + 1] & LEFT | f3 & SELF) > 0
-
-        wanted = triple(first, second) & ~triple(first_done, second_done) & pair[:-1] & pair[1:]
-        wanted[:max(0, old - 2)] = False
-        self._add(x, 3, np.flatnonzero(wanted))
-        if len(x) < 4:
-            return
-
-        def quadruple(f3: np.ndarray) -> np.ndarray:
-            return (f3[:-1] & GROW | f3[1:] & LEFT) > 0
-
-        wanted = quadruple(second) & ~quadruple(second_done) & pair[:-2] & pair[1:-1] & pair[2:]
-        wanted[:max(0, old - 3)] = False
-        self._add(x, 4, np.flatnonzero(wanted))
-
-    def _add(self, x: np.ndarray, size: int, starts: np.ndarray) -> None:
-        if not len(starts):
-            return
-        word = [x[starts + k] if k < size else 0 for k in range(LONGEST)]
-        self.high.append(word[0] << 32 | word[1])
-        self.low.append(word[2] << 32 | word[3] if size > 2 else np.zeros(len(starts), np.int64))
-        self.count.append(np.ones(len(starts), np.int64))
-        self.waiting += len(starts)
-        if self.waiting > 2 * HELD:
-            self._combine()
-
-    def _combine(self) -> None:
-        if not self.high:
-            return
-        high, low, count = (np.concatenate(c) for c in (self.high, self.low, self.count))
-        order = np.lexsort((low, high)) if low.any() else np.argsort(high)
-        high, low, count = high[order], low[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-        self.high, self.low, self.count = [high[first]], [low[first]], [np.add.reduceat(count, first)]
-        self.waiting = len(first)
-
-    @property
-    def held(self) -> int:
-        return self.waiting + len(self.words)
+    def encode(self, data: bytes, goes_on: bool) -> tuple[np.ndarray, int]:
+        """Numbers of the frequent words of a slice, 0 for others and between pieces, and how many of them the slice before had."""
+        found = self._numbered(data)
+        old, x = len(self.carry), np.concatenate([self.carry, self.marks[found]])
+        self.carry = x[-(LONGEST - 1):] if goes_on else np.zeros(0, np.int64)
+        if len(self.words) > HELD:
+            self.reset()
+        return x, old
 
     def told(self) -> Iterator[pa.RecordBatch]:
-        """All counts, and with single words a row without phrase for their sum."""
-        if len(self.singles) > 1:
-            counts, numbers_ = self.singles[1:], self.hashes[1:].view(np.int64)
-            yield self._batch({"phrase": pa.array([None], pa.string()), "w1": [0], "a": [int(counts.sum())]})
-            for low in range(0, len(counts), _ROWS):
-                part = slice(low, low + _ROWS)
-                words = [w.decode() for w in self.words[1 + low:1 + low + len(counts[part])]]
-                yield self._batch({"phrase": words, "w1": numbers_[:len(counts)][part], "a": counts[part]})
-        self._combine()
-        if self.high:
-            high, low, count = self.high[0], self.low[0], self.count[0]
-            number = self.hashes.view(np.int64).copy()
-            number[0] = 0
-            for first in range(0, len(high), _ROWS):
-                part = slice(first, first + _ROWS)
-                columns = (high[part] >> 32, high[part] & 0xFFFFFFFF, low[part] >> 32, low[part] & 0xFFFFFFFF)
-                yield self._batch({w: number[c] for w, c in zip(_WORDS, columns, strict=True)} | {"a": count[part]})
+        """All word counts, and a row without phrase for their sum."""
+        counts, marks = self.singles[1:], self.marks[1:]
+        if len(counts):
+            yield _batch(self.lang, {"phrase": pa.array([None], pa.string()), "w1": [0], "a": [int(counts.sum())]})
+        for low in range(0, len(counts), _ROWS):
+            part = slice(low, low + _ROWS)
+            words = [w.decode() for w in self.words[1 + low:1 + low + len(counts[part])]]
+            yield _batch(self.lang, {"phrase": words, "w1": marks[:len(counts)][part], "a": counts[part]})
         self.reset()
 
-    def _batch(self, columns: dict) -> pa.RecordBatch:
-        n = len(columns["a"])
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * n, pa.string()), *map(pa.array, columns.values())], names=["lang", *columns])
+
+def _batch(lang: str, columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(columns["a"]), pa.string()), *map(pa.array, columns.values())], names=["lang", *columns])
+
+
+def _asked(x: np.ndarray, may_end: np.ndarray, sizes: tuple[int, ...], flags: Flags, done: Flags | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size, where phrases begin that the flags ask for and earlier passes did not count.
+
+    ``x`` has the numbers of words, 0 where no phrase goes on; ``may_end`` says which words are not repeated from a slice before.
+    """
+    n = len(x)
+    if n < 2:
+        return
+    word, h = x != 0, x.view(np.uint64)
+    pair = word[:-1] & word[1:]
+    if 2 in sizes:
+        yield 2, np.flatnonzero(pair & may_end[1:])
+        return
+    if n < 3:
+        return
+    two = longer_hash(h[:-1], h[1:])
+    first, first_done = flags.of(2, two), done.of(2, two)
+    pair &= first & HEAVY > 0
+    at = np.flatnonzero(pair[:-1] & pair[1:])
+    three = longer_hash(two[at], h[at + 2])
+    second, second_done = np.zeros(n - 2, np.uint8), np.zeros(n - 2, np.uint8)
+    second[at], second_done[at] = flags.of(3, three), done.of(3, three)
+
+    def triple(f2: np.ndarray, f3: np.ndarray) -> np.ndarray:
+        return (f2[at] & GROW | f2[at + 1] & LEFT | f3[at] & SELF) > 0
+
+    yield 3, at[triple(first, second) & ~triple(first_done, second_done) & may_end[at + 2]]
+    at = at[(at < n - 3) & pair[np.minimum(at + 2, n - 2)]]
+
+    def quadruple(f3: np.ndarray) -> np.ndarray:
+        return (f3[at] & GROW | f3[at + 1] & LEFT) > 0
+
+    yield 4, at[quadruple(second) & ~quadruple(second_done) & may_end[at + 3]]
+
+
+def _phrases(x: np.ndarray, may_end: np.ndarray, sizes: tuple[int, ...], flags: Flags, done: Flags | None) -> Iterator[dict]:
+    """Numbers and counts of the asked phrases of one run of words."""
+    known, inverse = np.unique(x, return_inverse=True)
+    for size, starts in _asked(x, may_end, sizes, flags, done):
+        if not len(starts):
+            continue
+        places = [inverse[starts + k].astype(np.int64) for k in range(size)]
+        high, low = places[0] << 32 | places[1], None
+        if size > 2:
+            low = places[2] << 32 | (places[3] if size > 3 else 0)
+        order = np.argsort(high) if low is None else np.lexsort((low, high))
+        high, low = high[order], None if low is None else low[order]
+        fresh = high[1:] != high[:-1]
+        if low is not None:
+            fresh |= low[1:] != low[:-1]
+        begins = np.flatnonzero(np.concatenate([[True], fresh]))
+        count = np.diff(np.concatenate([begins, [len(high)]]))
+        first = [known[p[order[begins]]] for p in places]
+        for at in range(0, len(begins), _ROWS):
+            part = slice(at, at + _ROWS)
+            zeros = np.zeros(len(count[part]), np.int64)
+            yield {w: first[k][part] if k < size else zeros for k, w in enumerate(_WORDS)} | {"a": count[part]}
 
 
 def _slices(texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
@@ -255,32 +242,72 @@ def _slices(texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
         yield b" . ".join(held), False
 
 
-def _counter(sizes: tuple[int, ...], seed: int = 0, flags=None, done=None):
+def _read(batches: Iterator[pa.RecordBatch], languages: dict[str, _Language], make) -> Iterator[tuple[_Language, bytes, bool]]:
+    """Language, text and whether it goes on of all slices of the batches."""
+    for batch in batches:
+        rows: dict[str, list[int]] = {}
+        for row, lang in enumerate(batch.column(0).to_pylist()):
+            rows.setdefault(lang, []).append(row)
+        texts = batch.column(1)
+        for lang, mine in rows.items():
+            language = languages.setdefault(lang, make(lang))
+            for data, goes_on in _slices((texts[i].as_py() or "").encode() for i in mine):
+                yield language, data, goes_on
+
+
+def _word_counter(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, before = flags and flags.value, done and done.value
         languages: dict[str, _Language] = {}
-        for batch in batches:
-            rows: dict[str, list[int]] = {}
-            for row, lang in enumerate(batch.column(0).to_pylist()):
-                rows.setdefault(lang, []).append(row)
-            texts = batch.column(1)
-            for lang, mine in rows.items():
-                language = languages.setdefault(lang, _Language(lang, seed, asked, before))
-                for data, goes_on in _slices((texts[i].as_py() or "").encode() for i in mine):
-                    language.feed(data, sizes, goes_on)
-                    if sum(x.held for x in languages.values()) > 3 * HELD:
-                        for x in languages.values():
-                            yield from x.told()
+        for language, data, _ in _read(batches, languages, lambda lang: _Language(lang, seed)):
+            language.count(data)
+            if sum(len(x.words) for x in languages.values()) > HELD:
+                for x in languages.values():
+                    yield from x.told()
         for language in languages.values():
             yield from language.told()
 
     return run
 
 
+def _encoder(flags):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = flags.value
+        for language, data, goes_on in _read(batches, {}, lambda lang: _Language(lang, asked.seed, asked)):
+            x, old = language.encode(data, goes_on)
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([language.lang]), pa.array([x], pa.list_(pa.int64())), pa.array([old], pa.int32())], names=["lang", "x", "old"])
+
+    return run
+
+
+def _phrase_counter(sizes: tuple[int, ...], flags, done):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, before = flags.value, done and done.value
+        held: dict[str, list] = {}
+
+        def counted(lang: str) -> Iterator[pa.RecordBatch]:
+            runs = held.pop(lang)
+            x = np.concatenate([v for run in runs for v in (run[0], np.zeros(1, np.int64))])
+            may_end = np.concatenate([np.arange(len(v) + 1) >= old for v, old in runs])
+            for columns in _phrases(x, may_end, sizes, asked, before):
+                yield _batch(lang, columns)
+
+        for batch in batches:
+            for lang, x, old in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                runs = held.setdefault(lang, [])
+                runs.append((x.values.to_numpy(), old))
+                if sum(len(v) for v, _ in runs) > HELD:
+                    yield from counted(lang)
+        for lang in list(held):
+            yield from counted(lang)
+
+    return run
+
+
 def _vocabulary(texts: DataFrame, least: int) -> tuple[int, DataFrame, DataFrame]:
     """A seed under which no frequent word shares its number, the sums of all words by language, and the frequent words."""
     for seed in range(1 << 30):
-        parts = texts.mapInArrow(_counter((1,), seed), _COUNTED[True])
+        parts = texts.mapInArrow(_word_counter(seed), "lang string, phrase string, w1 long, a long")
         words = written_table(parts.groupBy("lang", "phrase", "w1").agg(F.sum("a").cast("long").alias("a")), "phrases-words")
         shared = words.where("phrase IS NOT NULL").groupBy("lang", "w1").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"))
         if shared.where(f"n > 1 AND a >= {least}").isEmpty():
@@ -289,20 +316,16 @@ def _vocabulary(texts: DataFrame, least: int) -> tuple[int, DataFrame, DataFrame
     raise RuntimeError("no collision-free numbers")
 
 
-def _counted(texts: DataFrame, words: DataFrame, name: str, least: int, sizes: tuple[int, ...], flags: Flags, done: Flags | None = None) -> DataFrame:
+def _counted(encoded: DataFrame, words: DataFrame, name: str, least: int, sizes: tuple[int, ...], flags: Flags, done: Flags | None = None) -> DataFrame:
     """Phrases of the asked sizes with their occurrences, from ``least`` on."""
-    context = texts.sparkSession.sparkContext
-    shared = [f and context.broadcast(f) for f in (flags, done)]
-    parts = texts.mapInArrow(_counter(sizes, flags.seed, *shared), _COUNTED[False])
+    context = encoded.sparkSession.sparkContext
+    parts = encoded.mapInArrow(_phrase_counter(sizes, context.broadcast(flags), done and context.broadcast(done)), _COUNTED)
     sums = parts.groupBy("lang", *_WORDS).agg(F.sum("a").cast("long").alias("a")).where(F.col("a") >= least)
-    sums = written_table(sums, f"{name}-numbers")
-    spelt = sums
+    spelt = written_table(sums, f"{name}-numbers")
     for w in _WORDS[:max(sizes)]:
         spelt = spelt.join(words.select("lang", F.col("w1").alias(w), F.col("phrase").alias(f"text_{w}")), ["lang", w], "left")
-    # a number below ``least`` that got through belongs to no frequent word, and neither does its phrase
-    texts_of = [F.col(f"text_{w}") for w in _WORDS[:max(sizes)]]
     size = sum(((F.col(w) != 0).cast("int") for w in _WORDS), F.lit(0))
-    return written_table(spelt.select("lang", F.concat_ws(" ", *texts_of).alias("phrase"), size.alias("size"), "a"), name)
+    return written_table(spelt.select("lang", F.concat_ws(" ", *(f"text_{w}" for w in _WORDS[:max(sizes)])).alias("phrase"), size.alias("size"), "a"), name)
 
 
 def _ratio(a: Column, below: Column) -> Column:
@@ -345,8 +368,11 @@ def _ranked(scored: DataFrame, top: int) -> DataFrame:
 
 
 def _wanted(scored: DataFrame, top: int) -> DataFrame:
-    """lang, phrase, size, flag of all that must be counted while the ``top`` best are as they seem."""
-    tau = _ranked(scored, top).groupBy("lang").agg(F.when(F.count(F.lit(1)) >= top, F.min("score")).otherwise(0).alias("tau"))
+    """lang, phrase, size, flag of all that must be counted while the best are as they seem.
+
+    ``MARGIN`` times ``top`` are looked at, as some will be dropped: fewer rounds for a somewhat wider frontier.
+    """
+    tau = _ranked(scored, MARGIN * top).groupBy("lang").agg(F.when(F.count(F.lit(1)) >= MARGIN * top, F.min("score")).otherwise(0).alias("tau"))
     rows = scored.where(~F.col("dropped") | (F.col("size") < LONGEST)).join(tau, "lang", "left").withColumn("tau", F.coalesce("tau", F.lit(0)))
     contends = ~F.col("dropped") & (F.size("missing") == 0) & (F.col("score") >= F.col("tau"))
     short = F.col("size") < LONGEST
@@ -382,7 +408,10 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text_col:
     seed, totals, words = _vocabulary(texts, least)
     singles = words.select("lang", "phrase", F.lit(1).alias("size"), "a")
     flags = Flags(_flag_bits(words.count()), seed).added(_marked(singles))
-    pairs = _counted(texts, words, "phrases-pairs", least, (2,), flags)
+    # from here on only the numbers of frequent words are read; parquet keeps them as places in a list
+    encoded = texts.mapInArrow(_encoder(texts.sparkSession.sparkContext.broadcast(flags)), "lang string, x array<long>, old int")
+    encoded = written_table(encoded, "phrases-encoded")
+    pairs = _counted(encoded, words, "phrases-pairs", least, (2,), flags)
     done = Flags(max(flags.bits, _flag_bits(pairs.count())), seed).added(_marked(singles.unionByName(pairs)))
     known, asked = singles.unionByName(pairs), None
     while True:
@@ -393,7 +422,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text_col:
         if fresh.isEmpty():
             break
         flags = done.added(fresh)
-        known = known.unionByName(_counted(texts, words, "phrases-grown", least, (3, 4), flags, done))
+        known = known.unionByName(_counted(encoded, words, "phrases-grown", least, (3, 4), flags, done))
         done, asked = flags, fresh if asked is None else asked.unionByName(fresh)
     best = _ranked(scored, top).join(totals, "lang")
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
