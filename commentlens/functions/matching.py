@@ -67,5 +67,7 @@ def has_disguised_phone(text: Column) -> Column:
 
 def filled_phrases(text: Column, phrases) -> Column:
     """Any of the filler patterns; their first letters are tested before the patterns are tried."""
+    if not phrases:
+        return F.lit(False)
     firsts = "".join(sorted({p[0] for p in phrases}))
     return text.rlike(f"(?=[{firsts}])(?:{'|'.join(phrases)})")

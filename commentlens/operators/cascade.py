@@ -52,12 +52,16 @@ def _tests(book: RuleBook, live: bool, html: str | None) -> dict[str, Column]:
     glyphs = spelling(book.lookalikes)
     a, t, na, nt, ca, ct = (F.col(c) for c in (_A, _T, _NA, _NT, _CA, _CT))
     combined = F.concat(a, F.lit(" "), t)
+
+    def spelt(text: Column, phrases: tuple) -> Column:
+        return text.rlike(glyphs.pattern(phrases)) if phrases else F.lit(False)
+
     tests = {
-        "author_scam": ca.rlike(glyphs.pattern(book.author_scam)),
-        "author_no_video": ca.rlike(glyphs.pattern(book.author_no_video)),
-        "author_ad": ca.rlike(glyphs.pattern(book.author_ad)),
+        "author_scam": spelt(ca, book.author_scam),
+        "author_no_video": spelt(ca, book.author_no_video),
+        "author_ad": spelt(ca, book.author_ad),
         "author_combo": matching.any_combo(na, book.author_combos),
-        "text_scam": ct.rlike(glyphs.pattern(book.text_scam)),
+        "text_scam": spelt(ct, book.text_scam),
         "text_filled": matching.filled_phrases(nt, book.text_filled),
         "text_combo": matching.any_combo(nt, book.text_combos),
         "pair_combo": matching.any_pair_combo(na, nt, book.pair_combos),

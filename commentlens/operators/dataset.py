@@ -48,10 +48,16 @@ def split_column(seed: str = SEED, key: str = "comment_id") -> Column:
 
 
 def build_dataset(comments: DataFrame, cap: int = MAX_PER_LABEL, seed: str = SEED) -> DataFrame:
-    """Eligible, then de-duplicated, then capped rows with their ``split``."""
-    unique = dedupe_author_text(store.training_eligible(comments), seed)
-    stored = written_table(store.dataset_columns(unique), "dataset-unique")
-    return cap_per_label(stored, cap, seed).withColumn("split", split_column(seed))
+    """Eligible, then de-duplicated, then capped rows with their ``split``.
+
+    Rows are chosen by id, label and a digest of author and text; texts are read again for the chosen ids only.
+    """
+    eligible = store.training_eligible(comments)
+    pair = F.sha2(F.to_json(F.struct("author_name", "text")), 256)
+    keys = eligible.select("comment_id", "label", pair.alias("__pair")).withColumn("__order", seeded_order(seed, "comment_id"))
+    unique = first_per_key(keys, ["__pair"], ["__order", "comment_id"]).select("comment_id", "label")
+    chosen = cap_per_label(written_table(unique, "dataset-unique"), cap, seed).select("comment_id")
+    return store.dataset_columns(eligible).join(chosen, "comment_id", "left_semi").withColumn("split", split_column(seed))
 
 
 def cap_split_rows(df: DataFrame, caps: dict[str, int], seed: str = SEED) -> DataFrame:

@@ -77,9 +77,9 @@ def moderated(df: DataFrame) -> DataFrame:
     return df.filter(F.col("moderated"))
 
 
-def by_id(df: DataFrame, comment_id: str) -> DataFrame:
-    """The row with this id, or no row."""
-    return df.filter(F.col("comment_id") == comment_id)
+def by_id(df: DataFrame, comment_id: str | int, key: str = "comment_id") -> DataFrame:
+    """The row with this id, or no row. The id must have the type of the column, or the filter does not reach the scan."""
+    return df.filter(F.col(key) == F.lit(comment_id).cast(df.schema[key].dataType))
 
 
 def review_eligible(df: DataFrame, min_score: float = REVIEW_SCORE) -> DataFrame:

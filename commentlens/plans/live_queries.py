@@ -158,6 +158,43 @@ def stream_actions(spark, folder):
     return live.live_actions(sightings, log, policy.settings_table(spark, CHANGED_SETTINGS))
 
 
+_HALVES = "CASE WHEN event_id % 2 = 0 THEN {} ELSE {} END"
+
+
+@query("stream_settings", f"""
+    WITH {_policy_sql({})}, {_FEED_SQL}
+    , links2(label, setting) AS (SELECT * FROM links), settings2(setting, value) AS (
+        SELECT setting, CASE setting {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CHANGED_SETTINGS.items())} ELSE value END FROM settings)
+    , policy2 AS (SELECT label, bool_or(value = 'true') AS enabled FROM links2 JOIN settings2 USING (setting) GROUP BY label)
+    SELECT event_id, comment_id, l.label, {_HALVES.format(
+        _action('l.label'),
+        "coalesce((SELECT CASE WHEN enabled THEN (SELECT value FROM settings2 WHERE setting = 'action') END FROM policy2 p WHERE p.label = l.label), 'none')")} AS action
+    FROM feed JOIN labels_once l USING (comment_id)""")
+def stream_settings(spark, folder):
+    """Two batches of a running stream with a change of settings between them."""
+    feed, out, settings, state = (work_path(spark, n) for n in ("feed", "acted", "settings", "acting"))
+    events = _as_feed(table(spark, folder, "events"))
+    for half, changes in ((0, {}), (1, CHANGED_SETTINGS)):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(feed)
+        live.save_settings(policy.settings_table(spark, changes), settings)
+        stream = spark.readStream.schema(events.schema).parquet(feed)
+        live.act_on_stream(stream, settings, out, state).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "comment_id", "label", "action")
+
+
+@query("rules_switch", f"""
+    WITH {o.LIVE_FLAGGED_SQL}
+    SELECT comment_id, 'on' AS rules, rule_label AS label FROM flagged UNION ALL SELECT comment_id, 'off', 'VALID' FROM flagged""")
+def rules_switch(spark, folder):
+    """The live classifier with ``use-rules`` on and off."""
+    rows = views.comments_seeded(spark, folder)
+    parts = [
+        live.rule_classifier(rows, policy.settings_table(spark, {"use-rules": value})).select("comment_id", F.lit(name).alias("rules"), "label")
+        for name, value in (("on", "true"), ("off", "false"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("stream_ingest", f"""
     WITH {views.THREADS_SQL}
     SELECT comment_id, video_id, text FROM threads WHERE author_channel_id IS NOT NULL AND conv_id % 5 <> 0

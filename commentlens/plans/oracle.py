@@ -78,7 +78,7 @@ def phrase_test(x: str, phrases) -> str:
             continue
         body = joiner.join(_glyphs(c) for c in letters)
         tests.append(f"regexp_matches({x}, {q(rf'\b{joiner}{body}{joiner}\b' if whole else body)})")
-    return "(" + " OR ".join(tests) + ")"
+    return "(" + " OR ".join(tests or ["false"]) + ")"
 
 
 def item_test(x: str, item: str) -> str:
@@ -94,7 +94,7 @@ def combo_test(x: str, items) -> str:
 
 
 def any_combo(x: str, combos) -> str:
-    return "(" + " OR ".join(combo_test(x, c) for c in combos) + ")"
+    return "(" + " OR ".join([combo_test(x, c) for c in combos] or ["false"]) + ")"
 
 
 def any_pair(a: str, t: str, combos) -> str:
@@ -144,7 +144,7 @@ def _flagged(book: rulebook.RuleBook, live: bool) -> str:
         "author_ad": phrase_test("a", book.author_ad),
         "author_combo": any_combo("na", book.author_combos),
         "text_scam": phrase_test("t", book.text_scam),
-        "text_filled": f"regexp_matches(nt, {q('|'.join(book.text_filled))})",
+        "text_filled": f"regexp_matches(nt, {q('|'.join(book.text_filled))})" if book.text_filled else "false",
         "text_combo": any_combo("nt", book.text_combos),
         "pair_combo": any_pair("na", "nt", book.pair_combos),
         "known_spam": any_combo("nt", book.known_spam),
@@ -162,6 +162,11 @@ def _flagged(book: rulebook.RuleBook, live: bool) -> str:
 """
 
 
+def flagged_sql(book: rulebook.RuleBook) -> str:
+    """The cascade with other lists."""
+    return SURFACE_SQL + _flagged(book, live=False)
+
+
 FLAGGED_SQL = SURFACE_SQL + _flagged(rulebook.RuleBook(), live=False)
 LIVE_FLAGGED_SQL = LIVE_SURFACE_SQL + _flagged(rulebook.RuleBook.live(), live=True)
 

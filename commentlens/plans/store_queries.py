@@ -40,6 +40,31 @@ def thread_flatten(spark, folder):
     return rows.select("comment_id", "video_id", "text", "likes", "author_channel_id", "thread_id", "is_top")
 
 
+@query("raw_envelope", f"""
+    WITH {views.THREADS_SQL}
+    SELECT comment_id, video_id, text, 'e' || conv_id AS etag, 'p' || conv_id || '.' || (turn // 64) AS token FROM threads""")
+def raw_envelope(spark, folder):
+    """Documents with keys that no schema names are landed and read again; these keys and the comments come back."""
+    nested = views.documents_nested(spark, folder)
+    page = F.transform("comments_info", lambda p: F.struct(p["items"].alias("items"), F.lit("next").alias("nextPageToken")))
+    number = F.substring("video_id", 2, 20)
+    first_turn = F.col("comments_info")[0]["items"][0]["snippet"]["topLevelComment"]["id"]
+    part = F.expr("split_part(first_turn, '.', 2) div 64")
+    documents = nested.withColumn("first_turn", first_turn).select(F.to_json(F.struct(
+        "video_id", F.struct(F.col("video_info.items").alias("items"), F.concat(F.lit("e"), number).alias("etag"),
+                             F.concat(F.lit("p"), number, F.lit("."), part.cast("string")).alias("token")).alias("video_info"),
+        page.alias("comments_info"))).alias("document"))
+    path = work_path(spark, "raw")
+    threads.land_raw(documents, path)
+    raw = threads.read_raw(spark, path)
+    keys = [F.variant_get("video_info", f"$.{k}", "string").alias(k) for k in ("etag", "token")]
+    tokens = raw.where(F.variant_get("comments_info", "$[0].nextPageToken", "string") == "next").select("video_id", *keys)
+    rows = threads.flatten(threads.typed(raw))
+    part_of = F.concat(F.lit("p"), F.substring("video_id", 2, 20), F.lit("."), F.expr("split_part(thread_id, '.', 2) div 64").cast("string"))
+    joined = rows.withColumn("token", part_of).join(tokens, ["video_id", "token"])
+    return joined.select("comment_id", "video_id", "text", "etag", "token")
+
+
 @query("page_cap", f"""
     WITH {views.THREADS_SQL}
     SELECT comment_id, page AS page_no FROM threads WHERE page <= 2""")
@@ -164,7 +189,9 @@ def moderated(spark, folder):
 
 @query("point_lookup", f"WITH {views.COMMENTS_SQL} SELECT comment_id, text FROM comments WHERE comment_id = '42'")
 def point_lookup(spark, folder):
-    return store.by_id(views.comments(spark, folder), "42").select("comment_id", "text")
+    """The id column has its stored type, so the filter reaches the scan; nothing is shuffled."""
+    documents = store.by_id(table(spark, folder, "documents"), 42, "doc_id")
+    return documents.select(F.col("doc_id").cast("string").alias("comment_id"), "text")
 
 
 @query("review_eligible", f"""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from commentlens.functions import html, matching, rulebook, text, tokens, urls
 from commentlens.functions.lookalikes import spelling
 from commentlens.operators import cascade, wordpieces
+from commentlens.functions.rulebook import RuleBook
 from commentlens.operators.dataset import label_counts
+from commentlens.operators.mapping import map_batches
 from commentlens.operators.store import update_by_key
 from commentlens.plans import oracle as o
 from commentlens.plans import views
@@ -323,9 +325,10 @@ def model_inputs(spark, folder):
 
 @query("page_visible_text", rf"""
     WITH {views.LINKS_SQL}
-    SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html,
+    SELECT page_id, md5(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
         '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
-        '(?is)<img\b[^>]*?\balt="([^"]*)"[^>]*>', '\1', 'g'), '(?s)<[^>]+>', '', 'g')) AS text
+        '(?is)<img\b[^>]*?\balt="([^"]*)"[^>]*>', '\1', 'g'), '(?s)<[^>]+>', '', 'g'),
+        '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&')) AS text
     FROM links""")
 def page_visible_text(spark, folder):
     return views.links(spark, folder).select("page_id", F.md5(html.visible_text(F.col("html"))).alias("text"))
@@ -345,6 +348,54 @@ def clickable_links(spark, folder):
     )
 
 
+@query("body_links", """
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://a.example.com/?x=1&y=2' WHEN 1 THEN 'http://b.example.com/' END AS target,
+           page_id % 4 < 2 AS clickable, 'a > b "q" ' || page_id || ' é ☺ &amp;' AS shown FROM pages""")
+def body_links(spark, folder):
+    """Anchors of the comment body among others, and text with references and any quoting, put around the page ids."""
+    number = F.col("page_id").cast("string")
+    other = F.lit("<a data-href='http://no.example.com' href=http://other.example.com class='x yt-simple'>o</a>")
+    body = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(other, F.lit("<a class='big yt-simple-endpoint' title='>' href='http://a.example.com/?x=1&#38;y=2'>")))
+        .when(F.col("page_id") % 4 == 1, F.lit('<A HREF=http://b.example.com/ CLASS=yt-simple-endpoint>'))
+        .when(F.col("page_id") % 4 == 2, F.lit('<a class="yt-simple-endpoint" href="/watch?v=abcdefghijk&amp;t=10">')).otherwise(other)
+    )
+    shown = F.concat(F.lit("<p title='1 > 0'>a &gt; b <img data-alt='no' alt='&quot;q&quot;' src=x> "), number, F.lit(" &eacute; &#x263A; &amp;amp;</p>"))
+    rows = table(spark, folder, "pages").select("page_id", body.alias("body"), shown.alias("shown"))
+    first = F.try_element_at(html.link_targets(F.col("body"), html.BODY_LINK_CLASS), F.lit(1))
+    return rows.select("page_id", F.when(F.col("page_id") % 4 < 2, first).alias("target"),
+                       html.has_clickable_link(F.col("body"), html.BODY_LINK_CLASS).alias("clickable"), html.visible_text(F.col("shown")).alias("shown"))
+
+
+@query("batched_map", f"""
+    WITH {views.COMMENTS_SQL}
+    SELECT comment_id, author_name || ' commented ' || text AS pair, length(author_name || ' commented ' || text) AS letters,
+           CASE label WHEN 'VALID' THEN 0 WHEN 'SCAM' THEN 1 WHEN 'OTHER_SPAM' THEN 9 ELSE -1 END AS label FROM comments""")
+def batched_map(spark, folder):
+    """A user function on column batches: model input, its length, and the label as a number."""
+    numbers = {name: i for i, name in enumerate(LABELS)}
+
+    def prepare(columns):
+        pairs = [f"{a} commented {t}" for a, t in zip(columns["author_name"].to_pylist(), columns["text"].to_pylist(), strict=True)]
+        return {"pair": pairs, "letters": [len(p) for p in pairs], "label": [numbers.get(x, -1) for x in columns["label"].to_pylist()]}
+
+    rows = views.comments(spark, folder).select("comment_id", "author_name", "text", "label")
+    return map_batches(rows, prepare, "pair string, letters bigint, label bigint", ["author_name", "text", "label"]).drop("author_name", "text")
+
+
+_OWN_LISTS = {"author_scam": ["user 3"], "author_no_video": [], "author_ad": [], "text_scam": [], "text_filled": [], "author_combos": [["user", "1", "~user 11"]],
+              "text_combos": [["tion", "the ", "~and "]], "pair_combos": [[["user 5"], ["on"]]], "known_spam": [["re:^[a-m]"]], "link_combos": []}
+
+
+@query("own_rules", f"""
+    WITH {o.flagged_sql(RuleBook.from_lists(_OWN_LISTS))}
+    SELECT comment_id, rule_id, rule_label FROM flagged""")
+def own_rules(spark, folder):
+    """The cascade with a caller's rule lists."""
+    flagged = cascade.flag(views.comments_seeded(spark, folder), book=RuleBook.from_lists(_OWN_LISTS))
+    return flagged.select("comment_id", "rule_id", "rule_label")
+
+
 @query("url_query_param", r"""
     SELECT page_id, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref, 'c' || page_id AS lc FROM pages""")
 def url_query_param(spark, folder):

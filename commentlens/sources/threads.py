@@ -25,6 +25,39 @@ def land_threads(documents: DataFrame, path: str, mode: str = "append") -> None:
     stamped.select(*THREAD_DOCUMENT.names).write.mode(mode).json(path)
 
 
+def land_raw(documents: DataFrame, path: str, mode: str = "append") -> None:
+    """Land documents with every field they have: ``video_id``, ``video_info`` and ``comments_info`` of the JSON column ``document``.
+
+    The time of retrieval is added. ``video_info`` and ``comments_info`` are variants, so unknown keys survive.
+    """
+    whole = F.parse_json("document")
+    rows = documents.select(
+        F.variant_get(whole, "$.video_id", "string").alias("video_id"),
+        (F.unix_micros(F.current_timestamp()) / 1e6).alias("retrieval_time"),
+        F.variant_get(whole, "$.video_info", "variant").alias("video_info"),
+        F.variant_get(whole, "$.comments_info", "variant").alias("comments_info"),
+    )
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Landed documents, one per line: ``video_id``, ``retrieval_time`` and the variants ``video_info``, ``comments_info``, with their ``file``."""
+    whole = F.try_parse_json("value")
+    return spark.read.text(path).select(
+        F.try_variant_get(whole, "$.video_id", "string").alias("video_id"),
+        F.try_variant_get(whole, "$.retrieval_time", "double").alias("retrieval_time"),
+        F.try_variant_get(whole, "$.video_info", "variant").alias("video_info"),
+        F.try_variant_get(whole, "$.comments_info", "variant").alias("comments_info"),
+        F.col("_metadata.file_path").alias("file"),
+    )
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """Raw documents with the fixed schema that ``flatten`` reads."""
+    whole = F.from_json(F.to_json(F.struct("video_id", "retrieval_time", "video_info", "comments_info")), THREAD_DOCUMENT)
+    return raw.select(whole.alias("__d"), "file").select("__d.*", "file")
+
+
 def existing_videos(documents: DataFrame) -> DataFrame:
     """Documents of videos that exist; the others keep no pages."""
     return documents.filter(F.size("video_info.items") > 0)

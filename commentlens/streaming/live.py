@@ -1,9 +1,9 @@
 """Live scoring: each comment id is classified once, actions follow the current settings.
 
-The prediction log is a Parquet table partitioned by batch. Every micro-batch first keeps one
-row per comment id (combined before the shuffle, so a hot id costs one row per task), drops ids
-predicted by earlier batches, and writes its own partition. A replayed batch overwrites that
-partition, so results stay exact after a failure.
+The prediction log is a Parquet table partitioned by batch and by id hash. Every micro-batch first
+keeps one row per comment id (combined before the shuffle, so a hot id costs one row per task), drops
+ids that earlier batches predicted, for which it reads the folders of its own ids only, and writes its
+own partition. A replayed batch overwrites that partition, so results stay exact after a failure.
 """
 
 from __future__ import annotations
@@ -18,13 +18,19 @@ from pyspark.sql.streaming import StreamingQuery
 from commentlens.operators.cascade import flag, rules_then_model
 from commentlens.operators.policy import uses_rules, with_action
 from commentlens.operators.ranking import first_per_key
+from commentlens.session import written_table
+from commentlens.sources.tables import bucket_of, held_buckets
 
 PREDICTIONS = T.StructType([
     T.StructField("comment_id", T.StringType()),
     T.StructField("label", T.StringType()),
     T.StructField("batch_id", T.LongType()),
+    T.StructField("bucket", T.IntegerType()),
 ])
 
+#: Folders of a batch of the log, by hash of the id.
+LOG_BUCKETS = 16
+
 Classifier = Callable[[DataFrame], DataFrame]
 
 
@@ -46,6 +52,8 @@ def score_stream(comments: DataFrame) -> DataFrame:
 def first_sightings(comments: DataFrame, event_time: str, delay: str, salts: int = 16) -> DataFrame:
     """Purely streaming variant: one row per id, with state dropped ``delay`` after its event time.
 
+    An id that comes back later than that is sighted anew; ``classify_once`` keeps every id for good.
+
     Repeats are dropped per (id, salt) first, so a hot id is spread over ``salts`` tasks and at
     most that many of its rows reach the task that keeps one.
     """
@@ -60,7 +68,7 @@ def first_sightings(comments: DataFrame, event_time: str, delay: str, salts: int
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """The log so far: ``comment_id, label, batch_id``."""
+    """The log so far: ``comment_id, label, batch_id, bucket``."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], PREDICTIONS)
@@ -79,12 +87,42 @@ def classify_once(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = predictions(spark, log_path).filter(F.col("batch_id") < batch_id)
-        unseen = first_per_key(batch, ["comment_id"], [F.col(c) for c in order])
+        # read for its buckets and for the classification, and the source may not give the same rows twice
+        unseen = written_table(first_per_key(batch, ["comment_id"], [F.col(c) for c in order]), "sightings")
+        known = predictions(spark, log_path).filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(held_buckets(unseen, LOG_BUCKETS)))
         fresh = unseen.join(known.select("comment_id"), "comment_id", "left_anti")
-        classify(fresh).select("comment_id", "label").write.mode("overwrite").parquet(
-            f"{log_path}/batch_id={batch_id}"
-        )
+        rows = classify(fresh).select("comment_id", "label", bucket_of("comment_id", LOG_BUCKETS).alias("bucket"))
+        rows.repartition(LOG_BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch_id={batch_id}")
+
+    writer = comments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def save_settings(settings: DataFrame, path: str) -> None:
+    """Make ``settings(setting, value)`` the current ones; earlier versions stay beside them."""
+    stamp = F.unix_micros(F.current_timestamp())
+    settings.select("setting", "value", stamp.alias("saved")).coalesce(1).write.mode("append").parquet(path)
+
+
+def current_settings(spark: SparkSession, path: str) -> DataFrame:
+    """The settings as they were saved last; a few dozen rows per version."""
+    saved = spark.read.schema("setting string, value string, saved bigint").parquet(path)
+    newest = saved.agg(F.max("saved").alias("saved"))
+    return saved.join(F.broadcast(newest), "saved").select("setting", "value")
+
+
+def act_on_stream(comments: DataFrame, settings_path: str, out: str, checkpoint: str, classify: Classifier | None = None,
+                  once: bool = True) -> StreamingQuery:
+    """Label and act on a stream under the settings that hold when a micro-batch comes.
+
+    Settings are read anew for every batch, ``use-rules`` included, so a change between batches takes effect. A batch
+    writes ``comment_id``, ``label``, ``action`` and the other columns of ``comments`` to its own partition of ``out``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        settings = written_table(current_settings(batch.sparkSession, settings_path), "settings")
+        labelled = classify(batch) if classify else rule_classifier(batch, settings)
+        with_action(labelled, settings).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = comments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -56,3 +56,30 @@ def test_rules_can_be_switched_off(spark):
     assert {r.label for r in live.rule_classifier(rows, off).collect()} == {"VALID"}
     on = policy.settings_table(spark)
     assert {r.label for r in live.rule_classifier(rows, on).collect()} == {"SCAM", "VALID", "LINK_ONLY"}
+
+
+def test_a_batch_reads_the_log_folders_of_its_ids(spark, tmp_path):
+    """Several files and one per trigger: an id is logged once, also if it comes back days later."""
+    feed, log, state = (str(tmp_path / n) for n in ("feed", "log", "state"))
+    for day in range(4):
+        rows = [(f"id{i}", day, "bob", "hi") for i in range(day, 40 + day)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed)
+    live.classify_once(stream, log, state, ["n"]).awaitTermination()
+    rows = live.predictions(spark, log).collect()
+    assert len(rows) == 43 == len({r.comment_id for r in rows}) and {r.batch_id for r in rows} == {0, 1, 2, 3}
+    one = spark.createDataFrame([("id1",)], "comment_id string")
+    known = live.predictions(spark, log).filter(F.col("bucket").isin(live.held_buckets(one, live.LOG_BUCKETS)))
+    files = known.select(F.input_file_name()).distinct().count()
+    assert files < live.predictions(spark, log).select(F.input_file_name()).distinct().count() / 3
+
+
+def test_settings_changed_between_batches_take_effect(spark, tmp_path):
+    feed, settings, out, state = (str(tmp_path / n) for n in ("feed", "settings", "out", "state"))
+    for n, changes in enumerate(({"action": "blur"}, {"action": "remove"}, {"use-rules": "false"})):
+        live.save_settings(policy.settings_table(spark, changes), settings)
+        spark.createDataFrame([(f"{i}{n}", n, a, t) for i, _, a, t in ROWS[:2]], SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+        live.act_on_stream(spark.readStream.schema(SCHEMA).parquet(feed), settings, out, state).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.comment_id, r.label, r.action) for r in rows) == [
+        ("a0", "SCAM", "blur"), ("a1", "SCAM", "remove"), ("a2", "VALID", "none"), ("b0", "VALID", "none"), ("b1", "VALID", "none"), ("b2", "VALID", "none")]

@@ -158,6 +158,79 @@ def test_round_trips(spark, tmp_path):
     assert tables.read_predictions(spark, str(tmp_path / "p")).collect() == odd.collect()
 
 
+def test_prediction_files_split_and_keep_every_character(spark, tmp_path):
+    texts = ["a\tb", "line\nfeed", "carriage\r\nreturn", 'quo"te', "'", "\\", "\\n", "\\\\t", r"\N", "", " lead and trail ", "#", "\0zero", None, "é\u2028中\x85", "\\0"]
+    rows = [(i, texts[i % len(texts)], "VALID" if i % 5 else None) for i in range(4000)]
+    frame_ = spark.createDataFrame(rows, "index bigint, text string, prediction string").coalesce(1)
+    tables.write_predictions(frame_, str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        back = tables.read_predictions(spark, str(tmp_path / "p"))
+        assert back.rdd.getNumPartitions() > 2
+        assert sorted(back.collect(), key=lambda r: r[0]) == sorted(frame_.collect(), key=lambda r: r[0])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_unknown_fields_survive_the_landing(spark, tmp_path):
+    whole = {**DOCUMENT, "video_info": {"items": [{"id": "v1"}], "etag": "x", "deep": {"list": [1, {"k": None}]}}}
+    threads.land_raw(spark.createDataFrame([(json.dumps(whole),), (json.dumps({"video_id": "v2"}),)], "document string"), str(tmp_path / "raw"))
+    raw = threads.read_raw(spark, str(tmp_path / "raw"))
+    rows = {r.video_id: r for r in raw.select("video_id", "retrieval_time", F.to_json("video_info").alias("info"), F.to_json("comments_info").alias("pages")).collect()}
+    assert json.loads(rows["v1"].info) == whole["video_info"] and json.loads(rows["v1"].pages) == DOCUMENT["comments_info"]
+    assert rows["v2"].info is None and rows["v2"].retrieval_time > 1.6e9
+    flat = threads.flatten(threads.typed(raw)).orderBy("comment_id").collect()
+    assert [(r.comment_id, r.author_channel_id) for r in flat] == [("c1", "ch1"), ("c1.r1", None)]
+
+
+def test_an_insert_reads_the_folders_of_its_ids_only(spark, tmp_path):
+    table = tables.CommentTable(spark, str(tmp_path / "t"))
+    for start in (0, 500):
+        table.insert(frame(spark, [comment(f"k{i:04d}") for i in range(start, start + 500)]), [F.col("text")])
+    few = frame(spark, [comment("k0003"), comment("k0700"), comment("new")])
+    files = {r[0] for r in table.near(few).select(F.input_file_name()).distinct().collect()}
+    every = {r[0] for r in table.read().select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(files) <= 6 < len(every)
+    table.insert(few, [F.col("text")])
+    assert table.read().count() == 1001 and table.read().select("comment_id").distinct().count() == 1001
+    table.insert(few.limit(0), [F.col("text")])
+    assert table.read().count() == 1001
+
+
+def test_texts_are_not_written_before_the_cap(spark, tmp_path):
+    rows = frame(spark, [comment(str(i), "VALID", text=f"t{i % 30}", author_name=f"a{i % 2}") for i in range(200)])
+    written = []
+    plain = dataset.written_table
+    dataset.written_table = lambda df, name: written.append(df.columns) or plain(df, name)
+    try:
+        built = dataset.build_dataset(rows, cap=7).collect()
+    finally:
+        dataset.written_table = plain
+    assert written == [["comment_id", "label"]] and len(built) == 7
+    assert len({(r.author_name, r.text) for r in built}) == 7
+
+
+def test_batched_map(spark):
+    from commentlens.operators.mapping import map_batches
+
+    sizes = spark.sparkContext.accumulator(0)
+
+    def function(columns):
+        assert set(columns) == {"a", "b"} and 0 < len(columns["a"]) <= 3
+        sizes.add(1)
+        return {"b": [x * 2 if x is not None else None for x in columns["b"].to_pylist()], "n": [len(x) for x in columns["a"].to_pylist()]}
+
+    df = spark.createDataFrame([("x" * i, i if i % 4 else None, i) for i in range(10)], "a string, b bigint, c int").repartition(12)
+    got = map_batches(df, function, "b bigint, n int", ["a", "b"], batch_rows=3)
+    assert got.columns == ["a", "c", "b", "n"]
+    assert sorted((r.c, r.a, r.b, r.n) for r in got.collect()) == [(i, "x" * i, 2 * i if i % 4 else None, i) for i in range(10)]
+    assert map_batches(df.limit(0), function, "b bigint, n int", ["a", "b"]).collect() == []
+    with pytest.raises(Exception, match="as many rows"):
+        map_batches(df, lambda c: {"n": [1]}, "n int").coalesce(1).collect()
+
+
 def test_label_counts_are_zero_filled(spark):
     counts = {r.label: r.n for r in dataset.label_counts(frame(spark, [comment("1", "SCAM")])).collect()}
     assert set(counts) == set(LABELS) and counts["SCAM"] == 1 and counts["SPONSOR"] == 0

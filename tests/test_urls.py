@@ -51,3 +51,28 @@ def test_visible_text(spark, markup, expected):
 def test_links_and_parameters(spark):
     df = spark.createDataFrame([("https://w.org/watch?v=a&lc=Ug1", html.CHANNEL_PREFIX + "UC9")], "u string, p string")
     assert tuple(df.select(html.query_parameter(F.col("u"), "lc"), html.channel_id(F.col("p"))).first()) == ("Ug1", "UC9")
+
+
+def test_markup_with_any_quoting(spark):
+    cases = [
+        ("a &amp; b &lt;c&gt; &amp;amp; &nosuch; &#8364;&#x1F600;&#128; &#0;&#xD800; &apos;&nbsp;x &", "a & b <c> &amp; &nosuch; €😀€ \uFFFD\uFFFD '\xa0x &"),
+        ("<p title=\"a > b\">x</p><img alt='one \"two\"'><img data-alt=\"no\" ALT = three><img alt=\"\" src='>'>y", 'xone "two"threey'),
+        ("1 < 2 <b class='x'>bold</b><br/> <img title=\"alt='no'\" alt=yes>", "1 < 2 bold yes"),
+        ("<!-- gone -->a<script>var x = '<p>';</script>b<style>p{}</style>", "ab"), ("<a title=\"open>text</a> end", "text end"), ("", ""),
+    ]
+    df = spark.createDataFrame(cases, "h string, want string")
+    assert [(r[0], r[1]) for r in df.select(html.visible_text(F.col("h")), "want").collect()] == [(w, w) for _, w in cases]
+    assert df.select(html.visible_text(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_body_links(spark):
+    cases = [
+        ('<a href="http://x.org">', ["http://x.org"], []),
+        ("<a class='b yt-simple-endpoint c' HREF=http://y.org>", ["http://y.org"], ["http://y.org"]),
+        ('<a data-href="no" class="yt-simple-endpoint">', [], []),
+        ('<abbr href="no"><a title="href=no" href=\'/watch?v=a&amp;b&#61;c\' class=yt-simple-endpoint-not>', ["/watch?v=a&amp;b=c"], []),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(h,) for h, _, _ in cases], "h string")
+    got = df.select(html.link_targets(F.col("h")), html.link_targets(F.col("h"), html.BODY_LINK_CLASS)).collect()
+    assert [tuple(r) for r in got] == [(a, b) for _, a, b in cases]
