@@ -1,21 +1,19 @@
-"""Text normalisation as Column functions.
+"""Text normalisation as Column functions, all of them Catalyst expressions.
 
-Everything is a Catalyst expression except NFKD and emoji aliasing. Those two have no
-built-in, so one Arrow UDF does both, and it is handed NULL for every string the JVM can
-normalise by itself: text whose characters are unchanged by NFKD or decompose to one base
-letter plus strippable marks (ASCII, accented Latin, Greek, Cyrillic, Han and so on).
+NFKD and emoji aliases have no built-in. Characters that become one character go through ``translate``.
+Emoji sequences and characters that become several are found by one pattern; the text is cut there,
+each find is looked up in a constant map (Hangul syllables are computed), and the parts are joined again.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from commentlens.functions import emoji
 from commentlens.functions.lookfold import fold_map
@@ -26,6 +24,11 @@ BUFFER_CHARS = "*_~|`[]()'-.•,"
 # Fixed value: Unicode categories that are stripped.
 STRIPPED_CATEGORIES = ("Mn", "Cc", "Cf", "Cs", "Co", "Cn", "Sk")
 
+#: What the strip, NFKD and the folds may change: anything but printable ASCII, and the two ASCII modifier symbols.
+NOT_PLAIN = r"[^\x20-\x5D\x5F\x61-\x7E]"
+#: The same for the live profile, which keeps single white space of any kind.
+NOT_PLAIN_LIVE = r"[^\x09-\x0D\x20-\x5D\x5F\x61-\x7E]"
+
 _BUFFER_PATTERN = r"([*_~|`\[\]()'\-.•,])\1+"
 _NON_ASCII = r"[^\x00-\x7F]"
 
@@ -58,39 +61,42 @@ def sparse_class(codes) -> str:
     return _latin1_first([c for c in codes if c <= 0xFF], regex_ranges(c for c in codes if c > 0xFF))
 
 
+#: The parts that Hangul syllables are made of, in the order of their code.
+_FIRST_JAMO, _MIDDLE_JAMO, _LAST_JAMO = ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
+_SYLLABLES = (0xAC00, 0xD7A3)
+_TONES = "[\\x{1F3FB}-\\x{1F3FF}]"
+_FLAGS = "".join(chr(c) for c in range(0x1F1E6, 0x1F200))
+
+
 @lru_cache(maxsize=2)
-def _jvm_mapping(live: bool = False) -> tuple[dict[str, str], str]:
-    """(one-to-one map, pattern of characters only the UDF can handle).
+def _tables(live: bool = False) -> tuple[dict[str, str], dict[str, str], str]:
+    """(one-to-one map, map of the others, pattern of the others).
 
-    The map equals NFKD plus look-alike folding once stripped categories are gone. Beyond
-    the Latin blocks a stretch of 64 code points is left to the UDF as a whole. The live profile
-    keeps marks that are no diacritics, so letters with such a mark are left to the UDF there.
+    The first equals NFKD plus look-alike folding once marks are gone. The live profile keeps marks
+    that are no diacritics, so letters with such a mark become several characters there.
     """
     import regex
 
-    is_emoji = regex.compile(r"(?![0-9#*])\p{Emoji}")
     folds = fold_map()
-    mapping, needs_udf = {}, {0x20E3}
-    for code in range(0x80, 0xA000):
-        char = chr(code)
+    kept_mark = regex.compile(r"[\p{Mn}--\p{Diacritic}]", regex.V1)
+    every = "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    emojis = set(regex.findall(r"\p{Emoji}", every))
+    single, several = {}, {c: emoji.alias(c) for c in emojis}
+    for char in every:
         full = unicodedata.normalize("NFKD", char)
-        base = [c for c in full if unicodedata.category(c) != "Mn"]
-        target = "".join(folds.get(c, c) for c in base)
-        if is_emoji.match(char) or (len(target) != 1 and full != char) or len(target) > 1:
-            needs_udf.add(code)
-        elif target and target != char:
-            mapping[char] = target
-    for start in range(0x0240, 0xA000, 64):
-        block = range(start, start + 64)
-        if not needs_udf.isdisjoint(block):
-            needs_udf.update(block)
-    if live:
-        kept_mark = regex.compile(r"[\p{Mn}--\p{Diacritic}]", regex.V1)
-        marked = [c for c in mapping if kept_mark.search(unicodedata.normalize("NFKD", c))]
-        needs_udf.update(map(ord, marked))
-        mapping = {c: t for c, t in mapping.items() if c not in marked}
-    needs_udf.update(range(0xA000, sys.maxunicode + 1))
-    return mapping, sparse_class(sorted(needs_udf))
+        if char in emojis or (full == char and char not in folds) or _SYLLABLES[0] <= ord(char) <= _SYLLABLES[1]:
+            continue
+        whole = "".join(folds.get(c, c) for c in full)
+        base = "".join(folds.get(c, c) for c in full if unicodedata.category(c) != "Mn")
+        if len(base) == 1 and not (live and full != char and kept_mark.search(full)):
+            single[char] = base
+        elif whole != char:
+            several[char] = whole
+    pattern = (
+        rf"[0-9#*]\uFE0F?\u20E3|[{_FLAGS}]{{2}}|{sparse_class(map(ord, emojis))}\uFE0F?"
+        rf"|{sparse_class([*(ord(c) for c in several if c not in emojis), *range(_SYLLABLES[0], _SYLLABLES[1] + 1)])}"
+    )
+    return single, several, pattern
 
 
 _STRIP_PATTERN = _latin1_first(
@@ -105,7 +111,8 @@ def _translate(text: Column, mapping: dict[str, str]) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Trim, and turn every run of whitespace into one space."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # a single space is no match
+    return F.trim(F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def collapse_long_spaces(text: Column) -> Column:
@@ -135,21 +142,32 @@ def fold_lookalikes(text: Column) -> Column:
     return F.when(text.rlike(_NON_ASCII), _translate(folded, single)).otherwise(text)
 
 
-def _decompose(text: str, drop_skin_tones: bool) -> str:
-    return unicodedata.normalize("NFKD", emoji.demojize(text, drop_skin_tones)).translate(_FOLD_TABLE)
-
+def _constant_map(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
-_FOLD_TABLE = str.maketrans(fold_map())
 
-
-@F.pandas_udf(StringType())
-def _decompose_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: _decompose(s, False), na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def _decompose_toneless_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: _decompose(s, True), na_action="ignore")
+def _syllable(char: Column) -> Column:
+    """The parts of a Hangul syllable."""
+    folds = fold_map()
+    first, middle, last = (F.lit("".join(folds.get(chr(c), chr(c)) for c in range(low, low + n))) for low, n in (_FIRST_JAMO, _MIDDLE_JAMO, _LAST_JAMO))
+    number = F.ascii(char) - _SYLLABLES[0]
+    part = lambda jamo, at: F.substr(jamo, at.cast("int") + 1, F.lit(1))
+    ending = F.when(number % 28 > 0, part(last, number % 28 - 1)).otherwise("")
+    return F.concat(part(first, F.floor(number / 588)), part(middle, F.floor((number % 588) / 28)), ending)
+
+
+def _spelt(found: Column, several: dict[str, str]) -> Column:
+    """What one find of the pattern becomes."""
+    head = F.substring(found, 1, 1)
+    keycaps = _constant_map(emoji.KEYCAPS)
+    flag = F.concat(F.lit(":flag_"), F.translate(found, _FLAGS, "abcdefghijklmnopqrstuvwxyz"), F.lit(":"))
+    return (
+        F.when(F.endswith(found, F.lit("\u20E3")), F.concat(F.lit(":"), F.try_element_at(keycaps, head), F.lit(":")))
+        .when(found.rlike(f"^[{_FLAGS}]{{2}}$"), flag)
+        .when(found.rlike(_TONES), found)
+        .when(head.between(chr(_SYLLABLES[0]), chr(_SYLLABLES[1])), _syllable(head))
+        .otherwise(F.try_element_at(_constant_map(several), head))
+    )
 
 
 def decompose(text: Column, live: bool = False) -> Column:
@@ -157,10 +175,12 @@ def decompose(text: Column, live: bool = False) -> Column:
 
     The live profile drops skin tones. ``text`` appears several times in the result, so pass a plain column.
     """
-    mapping, needs_udf = _jvm_mapping(live)
-    udf = _decompose_toneless_batch if live else _decompose_batch
-    by_udf = udf(F.when(text.rlike(needs_udf), text))
-    return _translate(F.coalesce(by_udf, text), mapping)
+    single, several, pattern = _tables(live)
+    if live:
+        text = F.regexp_replace(text, _TONES, "")
+    spelt = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: _spelt(found, several))
+    joined = F.array_join(F.zip_with(F.split(text, pattern), spelt, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+    return _translate(F.when(text.rlike(pattern), joined).otherwise(text), single)
 
 
 def normalise(text: Column) -> Column:

@@ -30,22 +30,36 @@ RULES = (
 )
 
 _A, _T, _NA, _NT, _CA, _CT, _RULE = "__a", "__t", "__na", "__nt", "__ca", "__ct", "__rule"
+# a text holds more than plain ASCII; a text without repeats of buffer characters
+_ODD, _RUNS = "_odd", "_runs"
 
 
 def _surface(df: DataFrame, author: str, text: str, live: bool, book: RuleBook) -> DataFrame:
-    """Each layer is its own projection, so the optimizer computes every derived text once."""
+    """Each layer is its own projection, so the optimizer computes every derived text once.
+
+    A text of plain ASCII has nothing to strip, decompose or fold once its white space is collapsed: one test per text
+    spares it all patterns but the ones that can change it.
+    """
     glyphs = spelling(book.lookalikes)
     if live:
-        clean_author = clean_text = text_fn.collapse_long_spaces
-        normal = text_fn.normalise_browser
+        spaces, runs, shown = text_fn.collapse_long_spaces, lambda x: x, {_A: lambda x: x, _T: lambda x: x}
+        normal, odd = text_fn.normalise_browser, text_fn.NOT_PLAIN_LIVE
     else:
-        clean_author, clean_text = text_fn.surface_form, text_fn.surface_text
-        normal = text_fn.normalise
-    return (
-        df.withColumns({_A: clean_author(F.col(author)), _T: clean_text(F.col(text))})
-        .withColumns({_NA: normal(F.col(_A)), _NT: normal(F.col(_T)),
-                      _CA: glyphs.canonical(F.col(_A)), _CT: glyphs.canonical(F.col(_T))})
-    )
+        spaces, runs = text_fn.collapse_whitespace, text_fn.collapse_buffer_runs
+        shown = {_A: text_fn.strip_categories, _T: lambda x: text_fn.strip_categories(text_fn.collapse_buffer_runs(x))}
+        normal, odd = text_fn.normalise, text_fn.NOT_PLAIN
+    rows = df.withColumns({_A: spaces(F.col(author)), _T: spaces(F.col(text))})
+    rows = rows.withColumns({name + kind: test for name in (_A, _T) for kind, test in (
+        (_ODD, F.col(name).rlike(odd)), (_RUNS, runs(F.col(name))))})
+    plain_author = F.col(_A)
+    plain_text = F.col(_T + _RUNS)
+    rows = rows.withColumns({
+        name: F.when(F.col(name + _ODD), shown[name](F.col(name))).otherwise(plain) for name, plain in ((_A, plain_author), (_T, plain_text))})
+    return rows.withColumns({
+        made: F.when(F.col(name + _ODD), change(F.col(name))).otherwise(easy)
+        for name, made, change, easy in (
+            (_A, _NA, normal, F.lower(_A + _RUNS)), (_T, _NT, normal, F.lower(_T + _RUNS)),
+            (_A, _CA, glyphs.canonical, F.col(_A)), (_T, _CT, glyphs.canonical, F.col(_T)))})
 
 
 def _tests(book: RuleBook, live: bool, html: str | None) -> dict[str, Column]:
