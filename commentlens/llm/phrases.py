@@ -36,7 +36,9 @@ MARGIN = 2
 #: A phrase is dropped if a longer one has this share of its occurrences, in percent.
 INSIDE = 80
 #: Bytes of text that are split at a time, and words that a task holds before it passes its counts on.
-SLICE_BYTES, HELD = 1 << 19, 1 << 20
+SLICE_BYTES, HELD = 1 << 19, 1 << 17
+#: Words whose phrases are counted at a time.
+RUN = 1 << 18
 #: Bounds of the flag table's size, as powers of two.
 LEAST_BITS, MOST_BITS = 16, 24
 #: What the texts are asked for: this phrase has LEAST occurrences; count what follows it; count what
@@ -46,7 +48,6 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abc
 #: Rows that leave a task at a time.
 _ROWS = 1 << 16
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
-_COUNTED = f"lang string, {', '.join(f'{w} long' for w in _WORDS)}, a long"
 
 
 def word_hash(lang: str, word: bytes, seed: int) -> int:
@@ -214,7 +215,7 @@ def _phrases(x: np.ndarray, may_end: np.ndarray, sizes: tuple[int, ...], flags:
         for at in range(0, len(begins), _ROWS):
             part = slice(at, at + _ROWS)
             zeros = np.zeros(len(count[part]), np.int64)
-            yield {w: first[k][part] if k < size else zeros for k, w in enumerate(_WORDS)} | {"a": count[part]}
+            yield {w: first[k][part] if k < size else zeros for k, w in enumerate(_WORDS[:max(sizes)])} | {"a": count[part]}
 
 
 def _slices(texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
@@ -275,7 +276,7 @@ def _encoder(flags):
         for language, data, goes_on in _read(batches, {}, lambda lang: _Language(lang, asked.seed, asked)):
             x, old = language.encode(data, goes_on)
             if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([language.lang]), pa.array([x], pa.list_(pa.int64())), pa.array([old], pa.int32())], names=["lang", "x", "old"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64())), pa.array([old], pa.int32())], names=["x", "old"])
 
     return run
 
@@ -283,33 +284,36 @@ def _encoder(flags):
 def _phrase_counter(sizes: tuple[int, ...], flags, done):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, before = flags.value, done and done.value
-        held: dict[str, list] = {}
+        held: list[tuple[np.ndarray, int]] = []
 
-        def counted(lang: str) -> Iterator[pa.RecordBatch]:
-            runs = held.pop(lang)
-            x = np.concatenate([v for run in runs for v in (run[0], np.zeros(1, np.int64))])
-            may_end = np.concatenate([np.arange(len(v) + 1) >= old for v, old in runs])
+        def counted() -> Iterator[pa.RecordBatch]:
+            # numbers differ between languages, so runs of different ones can be counted together
+            x = np.concatenate([v for run in held for v in (run[0], np.zeros(1, np.int64))])
+            may_end = np.concatenate([np.arange(len(v) + 1) >= old for v, old in held])
+            held.clear()
             for columns in _phrases(x, may_end, sizes, asked, before):
-                yield _batch(lang, columns)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns.values())), names=list(columns))
 
+        waiting = 0
         for batch in batches:
-            for lang, x, old in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                runs = held.setdefault(lang, [])
-                runs.append((x.values.to_numpy(), old))
-                if sum(len(v) for v, _ in runs) > HELD:
-                    yield from counted(lang)
-        for lang in list(held):
-            yield from counted(lang)
+            for x, old in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                held.append((x.values.to_numpy(), old))
+                waiting += len(x.values)
+                if waiting > RUN:
+                    waiting = 0
+                    yield from counted()
+        if held:
+            yield from counted()
 
     return run
 
 
 def _vocabulary(texts: DataFrame, least: int) -> tuple[int, DataFrame, DataFrame]:
-    """A seed under which no frequent word shares its number, the sums of all words by language, and the frequent words."""
+    """A seed under which no frequent word of any language shares its number, the sums of all words by language, and the frequent words."""
     for seed in range(1 << 30):
         parts = texts.mapInArrow(_word_counter(seed), "lang string, phrase string, w1 long, a long")
         words = written_table(parts.groupBy("lang", "phrase", "w1").agg(F.sum("a").cast("long").alias("a")), "phrases-words")
-        shared = words.where("phrase IS NOT NULL").groupBy("lang", "w1").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"))
+        shared = words.where("phrase IS NOT NULL").groupBy("w1").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"))
         if shared.where(f"n > 1 AND a >= {least}").isEmpty():
             frequent = words.where(F.col("phrase").isNotNull() & (F.col("a") >= least))
             return seed, words.where("phrase IS NULL").select("lang", F.col("a").alias("n")), written_table(frequent, "phrases-frequent")
@@ -318,14 +322,16 @@ def _vocabulary(texts: DataFrame, least: int) -> tuple[int, DataFrame, DataFrame
 
 def _counted(encoded: DataFrame, words: DataFrame, name: str, least: int, sizes: tuple[int, ...], flags: Flags, done: Flags | None = None) -> DataFrame:
     """Phrases of the asked sizes with their occurrences, from ``least`` on."""
-    context = encoded.sparkSession.sparkContext
-    parts = encoded.mapInArrow(_phrase_counter(sizes, context.broadcast(flags), done and context.broadcast(done)), _COUNTED)
-    sums = parts.groupBy("lang", *_WORDS).agg(F.sum("a").cast("long").alias("a")).where(F.col("a") >= least)
-    spelt = written_table(sums, f"{name}-numbers")
-    for w in _WORDS[:max(sizes)]:
-        spelt = spelt.join(words.select("lang", F.col("w1").alias(w), F.col("phrase").alias(f"text_{w}")), ["lang", w], "left")
-    size = sum(((F.col(w) != 0).cast("int") for w in _WORDS), F.lit(0))
-    return written_table(spelt.select("lang", F.concat_ws(" ", *(f"text_{w}" for w in _WORDS[:max(sizes)])).alias("phrase"), size.alias("size"), "a"), name)
+    context, names = encoded.sparkSession.sparkContext, _WORDS[:max(sizes)]
+    schema = ", ".join(f"{c} long" for c in (*names, "a"))
+    parts = encoded.mapInArrow(_phrase_counter(sizes, context.broadcast(flags), done and context.broadcast(done)), schema)
+    spelt = written_table(parts.groupBy(*names).agg(F.sum("a").cast("long").alias("a")).where(F.col("a") >= least), f"{name}-numbers")
+    # the first word's number tells the language
+    spelt = spelt.join(words.select("lang", "w1", F.col("phrase").alias("text_w1")), "w1")
+    for w in names[1:]:
+        spelt = spelt.join(words.select(F.col("w1").alias(w), F.col("phrase").alias(f"text_{w}")), w, "left")
+    size = sum(((F.col(w) != 0).cast("int") for w in names), F.lit(0))
+    return written_table(spelt.select("lang", F.concat_ws(" ", *(f"text_{w}" for w in names)).alias("phrase"), size.alias("size"), "a"), name)
 
 
 def _ratio(a: Column, below: Column) -> Column:
@@ -409,7 +415,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text_col:
     singles = words.select("lang", "phrase", F.lit(1).alias("size"), "a")
     flags = Flags(_flag_bits(words.count()), seed).added(_marked(singles))
     # from here on only the numbers of frequent words are read; parquet keeps them as places in a list
-    encoded = texts.mapInArrow(_encoder(texts.sparkSession.sparkContext.broadcast(flags)), "lang string, x array<long>, old int")
+    encoded = texts.mapInArrow(_encoder(texts.sparkSession.sparkContext.broadcast(flags)), "x array<long>, old int")
     encoded = written_table(encoded, "phrases-encoded")
     pairs = _counted(encoded, words, "phrases-pairs", least, (2,), flags)
     done = Flags(max(flags.bits, _flag_bits(pairs.count())), seed).added(_marked(singles.unionByName(pairs)))
