@@ -3,7 +3,7 @@
 Each record is a gzip member of its own. Archives are written by Spark's text sink, so they reach any
 store that Spark writes to and a lost task is simply run again: a row is one member's bytes, and rows
 are separated by an empty member, which readers skip. The reader checks every member (header, length,
-checksum) and every record in it (version line, length, payload digest). After a failed check it goes
+checksum) and every record in it (version line, length, digests of the block and of the payload). After a failed check it goes
 on at the next member or version line that passes, and logs the bytes in between as a gap.
 """
 
@@ -23,8 +23,9 @@ from commentlens.session import work_path, written_table
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records per archive file, which bounds what one task of the reader holds.
-FILE_RECORDS = 2000
+#: Records per archive file and bytes of a payload from which a record gets a file of its own. Both bound what one
+#: task of the reader holds: a gigabyte, or one record.
+FILE_RECORDS, LARGE = 2000, 1 << 19
 #: Bytes of a member that are unpacked at once.
 PIECE = 1 << 13
 _MAGIC = b"\x1f\x8b\x08"
@@ -59,18 +60,61 @@ def member(data: bytes) -> bytes:
     return _GAP_MEMBER[:10] + body + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
+def _agrees(stated: str | None, data: bytes) -> bool:
+    """Whether a digest header allows ``data``; SHA-1 in base32 or hexadecimal and SHA-256 are checked, others pass."""
+    kind, _, value = (stated or "").partition(":")
+    kind, value = kind.strip().lower().replace("-", ""), value.strip()
+    if kind not in ("sha1", "sha256"):
+        return True
+    found = hashlib.new(kind, data).digest()
+    return value.lower() == found.hex() or value.rstrip("=").upper() == base64.b32encode(found).decode().rstrip("=")
+
+
+def _joined_chunks(body: bytes) -> bytes | None:
+    """The content of a body in chunks, or None if it is no such body."""
+    parts, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        size = body[at:line].split(b";")[0].strip() if line >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            return None
+        at = line + 2 + int(size, 16)
+        if not int(size, 16):
+            return b"".join(parts)
+        parts.append(body[line + 2:at])
+        if body[at:at + 2] != b"\r\n":
+            return None
+        at += 2
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """What a record carries: of an HTTP message the body behind its header, else the block."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return block
+    stop = re.search(rb"\r?\n\r?\n", block)
+    return block[stop.end():] if stop else b""
+
+
 def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and end of the record at ``at``, or None if a check fails."""
+    """Headers, block and end of the record at ``at``, or None if a check fails.
+
+    A header line that begins with white space goes on with the line before. The block digest is that of the block, the
+    payload digest of a response or resource that of its payload, as it was sent or with its chunks joined.
+    """
     start = _VERSION_LINE.match(data, at)
     stop = data.find(b"\r\n\r\n", at)
     if not start or stop < 0:
         return None
-    headers = {}
+    headers, name = {}, None
     for line in data[start.end():stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and name is not None:
+            headers[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        key, colon, value = line.partition(b":")
         if not colon:
             return None
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = key.decode("utf-8", "replace").strip().lower()
+        headers[name] = value.decode("utf-8", "replace").strip()
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         return None
@@ -78,9 +122,14 @@ def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     if data[end:end + 4] != b"\r\n\r\n":
         return None
     block = data[begin:end]
-    if headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "").startswith("sha1:") \
-            and headers["warc-payload-digest"][5:] != digest_of(block):
+    if not _agrees(headers.get("warc-block-digest"), block):
         return None
+    if headers.get("warc-type") in ("response", "resource") and "warc-segment-number" not in headers:
+        payload, stated = payload_of(headers, block), headers.get("warc-payload-digest")
+        if not _agrees(stated, payload):
+            whole = _joined_chunks(payload) if payload is not block else None
+            if whole is None or not _agrees(stated, whole):
+                return None
     return headers, block, end + 4
 
 
@@ -179,12 +228,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     groups = written_table(groups, "warc-groups")
     refers = F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
     rows = rows.join(groups, "key", "left").select("id", "url", "html", refers.alias("refers_to"))
-    members = rows.mapInArrow(_members, "member binary")
-    (
-        members.select(F.col("member").cast("string").alias("value")).write
-        .option("lineSep", _GAP_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", file_records).text(path)
-    )
+    # a revisit has no block, however large its payload
+    large = (F.octet_length("html") > LARGE) & F.col("refers_to").isNull()
+
+    def save(part: DataFrame, per_file: int, mode: str) -> None:
+        members = part.mapInArrow(_members, "member binary")
+        (
+            members.select(F.col("member").cast("string").alias("value")).write.mode(mode)
+            .option("lineSep", _GAP_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
+            .option("maxRecordsPerFile", per_file).text(path)
+        )
+
+    save(rows.where(~large), file_records, "error")
+    if not pages.where(F.octet_length(pages[html_col]) > LARGE).isEmpty():
+        save(rows.where(large), 1, "append")
 
 
 _READ = pa.schema([
@@ -204,6 +261,7 @@ def _salvaged(with_payload: bool):
                     if kind == "gap":
                         rows.append((name, kind, offset, length, *[None] * 7))
                     else:
+                        block = payload_of(headers, block)
                         full = headers.get("x-payload-length") or str(len(block))
                         rows.append((
                             name, kind, offset, length, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"),
@@ -226,7 +284,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """Records and gaps of all files under ``path``: file, kind (record or gap), offset, length and, of records,
     record_type, record_id, target_uri, payload_digest (base32 SHA-1), payload_bytes (of the full payload), refers_to, payload.
 
-    A file is read by one task and must be below 2 GB; the writer's files hold ``FILE_RECORDS`` records.
+    The payload of an HTTP message is its body. A file is read by one task and must be below 2 GB, which Spark's reader of
+    whole files can hold; the writer's files hold ``FILE_RECORDS`` records, or one large one.
     An empty file gives no row, a file without a valid record one gap.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -236,11 +295,16 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes ``pages`` as archives in the shared folder and returns what the reader finds there, one row per page."""
+    """Writes ``pages`` as archives in the shared folder and returns what the reader finds there, one row per page.
+
+    Gaps are logged in a table ``warc-gaps-*`` of the shared folder: file, offset and length.
+    """
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
-    found = read_archives(spark, path, with_payload=False).where("kind = 'record'")
+    read = written_table(read_archives(spark, path, with_payload=False), "warc-read")
+    written_table(read.where("kind = 'gap'").select("file", "offset", "length"), "warc-gaps")
+    found = read.where("kind = 'record'")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint)")
     return found.select(
         number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"),

@@ -149,6 +149,46 @@ def test_warc_round_trip(spark):
     assert warc.archived(pages.limit(0)).collect() == []
 
 
+def http_record(body, stated=None, fold=False, extra=(), kind="response", sent=None):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + (body if sent is None else sent)
+    lines = ["WARC-Type: " + kind, "WARC-Record-ID: <urn:uuid:1>", "WARC-Target-URI: http://x.example.com/",
+             "WARC-Payload-Digest: sha1:" + (stated or warc.digest_of(body)), "WARC-Block-Digest: sha1:" + warc.digest_of(block),
+             "Content-Type: application/http;" + ("\r\n\tmsgtype=response" if fold else " msgtype=response"), *extra, f"Content-Length: {len(block)}"]
+    return b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_standard_responses_are_read(spark, tmp_path):
+    good = http_record(b"<html>body</html>" * 20)
+    folded = http_record(b"other", fold=True)
+    chunked = http_record(b"onetwo", sent=b"3\r\none\r\n3;x=y\r\ntwo\r\n0\r\n\r\n")
+    hexadecimal = http_record(b"abc", stated=hashlib.sha1(b"abc").hexdigest())
+    wrong = http_record(b"abc", stated=warc.digest_of(b"abd"))
+    broken = good.replace(b"<html>", b"<HTML>", 1)
+    for data in (good, folded, chunked, hexadecimal):
+        assert [k for k, *_ in warc.salvage(data)] == ["record"] == [k for k, *_ in warc.salvage(warc.member(data))]
+    assert [k for k, *_ in warc.salvage(wrong + broken + good)] == ["gap", "record"]
+    assert next(warc.salvage(folded))[3]["content-type"] == "application/http; msgtype=response"
+    (tmp_path / "a.warc").write_bytes(good + wrong + folded)
+    (tmp_path / "b.warc.gz").write_bytes(warc.member(chunked) + b"junk" + warc.member(hexadecimal))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.payload)[:9] for r in rows if r.kind == "record") == [b"3\r\none\r\n3", b"<html>bod", b"abc", b"other"]
+    assert sorted(r.length for r in rows if r.kind == "gap") == [4, len(wrong)]
+
+
+def test_large_payloads_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    rows = [(i, "u", ("x" if i < 3 else str(i)) * (5000 if i % 4 else 10)) for i in range(12)] + [(50, "u", "9" * 5000), (51, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    found = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert len(found) == 14 and {r.kind for r in found} == {"record"}
+    large = [r.file for r in found if r.record_type == "response" and r.payload_bytes > 1000]
+    assert len(files) > 5 and len(large) == len(set(large)) > 4
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.archived(pages).collect()}
+    assert got == {i: (len(h or ""), warc.digest_of((h or "").encode())) for i, _, h in rows}
+
+
 def test_warc_salvage():
     records = [warc.record(str(i), "u", f"payload {i} ".encode() * 50, None) for i in range(6)]
     members = [warc.member(r) for r in records]
