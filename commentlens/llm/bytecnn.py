@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 WIDTH, STEP, CHUNK = 16, 4, 512
 VECTOR, FILTERS = 6, 24
-#: Labelled rows that the network learns from at most, and chunks of each that it sees.
-FIT_ROWS, FIT_CHUNKS = 4000, 24
+#: Labelled rows that the network learns from at most, each with its whole text.
+FIT_ROWS = 4000
 _PAD = 256
 _BLOCKS = WIDTH // STEP
 #: Chunks that are convolved at once.
@@ -82,12 +82,19 @@ class ByteNetwork:
     def parameters(self) -> list[np.ndarray]:
         return [self.vectors, self.filters, self.offsets, self.weights, self.bias]
 
+    def strongest(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each chunk and filter, where its answer is highest and the answer."""
+        places, answers = [], []
+        for k in range(0, len(chunks), _BATCH):
+            raw = self.convolved(chunks[k:k + _BATCH])
+            places.append(raw.argmax(axis=1))
+            answers.append(np.take_along_axis(raw, places[-1][:, None], 1)[:, 0])
+        return np.concatenate(places), np.tanh(np.concatenate(answers) + self.offsets)
+
     def gradients(self, chunks: list[np.ndarray], labels: np.ndarray, importance: np.ndarray) -> list[np.ndarray]:
-        """Gradients of the weighted log loss; a maximum passes its gradient to one place only."""
+        """Gradients of the weighted log loss over all chunks; a maximum passes its gradient to one place only."""
         all_chunks = np.concatenate(chunks)
-        raw = self.convolved(all_chunks)
-        place = raw.argmax(axis=1)
-        answers = np.tanh(np.take_along_axis(raw, place[:, None], 1)[:, 0] + self.offsets)
+        place, answers = self.strongest(all_chunks)
         edges = np.cumsum([0, *(len(c) for c in chunks)])
         grads = [np.zeros_like(p) for p in self.parameters()]
         back = np.zeros_like(answers)
@@ -103,13 +110,15 @@ class ByteNetwork:
             back[a + top, np.arange(FILTERS)] += error * self.weights[:FILTERS]
         back *= 1 - answers ** 2
         grads[2] += back.sum(axis=0)
-        spots = place[:, :, None] * STEP + np.arange(WIDTH)
-        seen = np.take_along_axis(all_chunks[:, None, :], spots, axis=2)
-        windows = self.vectors[seen].reshape(len(all_chunks), FILTERS, WIDTH * VECTOR)
-        grads[1] += np.einsum("cf,cfw->wf", back, windows)
-        to_vectors = (back[:, :, None] * self.filters.T[None]).reshape(-1, VECTOR)
-        for k in range(VECTOR):
-            grads[0][:, k] += np.bincount(seen.ravel(), to_vectors[:, k], _PAD + 1)
+        for k in range(0, len(all_chunks), _BATCH):
+            part = slice(k, k + _BATCH)
+            spots = place[part][:, :, None] * STEP + np.arange(WIDTH)
+            seen = np.take_along_axis(all_chunks[part][:, None, :], spots, axis=2)
+            windows = self.vectors[seen].reshape(len(seen), FILTERS, WIDTH * VECTOR)
+            grads[1] += np.einsum("cf,cfw->wf", back[part], windows)
+            to_vectors = (back[part][:, :, None] * self.filters.T[None]).reshape(-1, VECTOR)
+            for v in range(VECTOR):
+                grads[0][:, v] += np.bincount(seen.ravel(), to_vectors[:, v], _PAD + 1)
         grads[0][_PAD] = 0
         return grads
 
@@ -125,7 +134,6 @@ class ByteNetwork:
         importance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         pieces = [chunked(t) for t in texts]
-        pieces = [p if len(p) <= FIT_CHUNKS else p[np.sort(rng.choice(len(p), FIT_CHUNKS, replace=False))] for p in pieces]
         step = 0
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
@@ -149,7 +157,8 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = 6, id_col: str = "doc_id", text_col: str = "text") -> ByteNetwork:
     """Fits on at most ``fit_rows`` labelled rows, those with the smallest id hashes, never on held-out ones.
 
-    Labels other than 0 and 1 and rows without id are left out. Without both labels the score is constant.
+    Labels other than 0 and 1 and rows without id are left out; of texts with one id the first in byte order counts. Texts
+    are learnt from whole. Without both labels the score is constant.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = (
@@ -157,9 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs:
         .orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     )
     plain = docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))
-    # at most fit_rows rows of two numbers
-    picked = plain.join(F.broadcast(chosen), "__id").select("__id", "__quality", "__text").toPandas()
-    picked = picked.sort_values(["__id", "__text"]).drop_duplicates("__id")
+    # at most fit_rows rows of two numbers; one text of each id reaches the driver, however often it repeats
+    single = plain.join(F.broadcast(chosen), "__id").groupBy("__id", "__quality").agg(F.min("__text").alias("__text"))
+    picked = single.toPandas().sort_values("__id")
     return ByteNetwork().fit([t.encode() for t in picked["__text"]], picked["__quality"].to_numpy(float), epochs)
 
 
