@@ -16,6 +16,7 @@ known to be connected.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,12 +82,14 @@ def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _digest(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
 def _signed(texts_size: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for part in slices(batch.column(1), lower=True):
                 sets = [shingle_set(part.hashes[a:b], texts_size) for a, b in zip(part.first[:-1], part.first[1:], strict=True)]
@@ -98,13 +101,28 @@ def _signed(texts_size: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(part.row, len(part)).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.array(listed, pa.list_(pa.int64())),
                 ], schema=schema)
 
     return run
 
 
+def _classed(shingle: int):
+    """The class of each row with its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(1), lower=True):
+                sets = [shingle_set(part.hashes[a:b], shingle) for a, b in zip(part.first[:-1], part.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(part.row, len(part)).cast(pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
+                    batch.column(1).slice(part.row, len(part)),
+                ], names=["doc_id", "class", "text"])
+
+    return run
+
+
 def _compare(shingle: int, percent: int):
     """Rows sorted by hub, part and role: the hub's own text comes before those of its members."""
 
@@ -156,7 +174,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     shingles (A-Z lower-cased; fewer words than ``shingle`` make one). A null, empty or blank text
     has an empty set and no links. ``component_id`` is the smallest id reachable over links. A row
     without id can't be reached: its component is null and it is kept. Rows that repeat an id are
-    judged by their own texts. Equal sets make one class of ``class_size`` rows. An empty table gives an empty
+    judged and linked by their own texts. Equal sets make one class of ``class_size`` rows. An empty table gives an empty
     result; other columns are ignored.
     """
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -164,15 +182,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         plain.mapInArrow(_signed(shingle, bands, rows), "doc_id long, n_shingles long, class binary, bands array<long>"),
         "circulant-signed",
     )
-    classes = written_table(
-        signed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("class_size")),
-        "circulant-classes",
-    )
+    filled = signed.where("class IS NOT NULL")
+    # ids of rows with different sets, an empty one too; their classes get numbers of their own as nodes, below all ids
+    mark = F.xxhash64("class")
+    repeated = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    repeated = written_table(repeated.where("low <> high").select("doc_id"), "circulant-repeated")
+    own = filled.groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
+    clash = not repeated.isEmpty()
+    if clash:
+        number = F.lit(-(1 << 62)) - F.shiftrightunsigned(mark, 2)
+        own = own.join(repeated.select(F.col("doc_id").alias("least"), F.lit(True).alias("several")), "least", "left")
+        own = own.withColumn("node", F.when(F.col("several"), number).otherwise(F.col("least"))).drop("several")
+    else:
+        own = own.withColumn("node", F.col("least"))
+    classes = written_table(own.select("class", "node", "least", "class_size"), "circulant-classes")
     # the representative's own row carries the bands of its class
-    heads = signed.where("class IS NOT NULL AND doc_id IS NOT NULL").join(
-        classes.select("class", F.col("node").alias("doc_id")), ["class", "doc_id"], "left_semi")
+    heads = filled.where("doc_id IS NOT NULL").join(classes.select("class", "node", F.col("least").alias("doc_id")), ["class", "doc_id"])
     keys = written_table(
-        heads.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("key")).distinct(), "circulant-keys",
+        heads.select("node", "n_shingles", F.explode("bands").alias("key")).distinct(), "circulant-keys",
     )
     buckets = written_table(
         keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
@@ -180,9 +207,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     )
     shared = written_table(keys.join(buckets, "key").select("key", "node", "n_shingles", "hub"), "circulant-shared")
     nodes = shared.select("node").distinct()
-    texts = written_table(
-        plain.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi"), "circulant-texts",
-    )
+    texts = plain.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+    if clash:
+        several = plain.join(repeated, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_classed(shingle), "doc_id long, class binary, text string")
+        numbered = classes.where("node <> least").select("class", "node", F.col("least").alias("doc_id"))
+        told = several.join(numbered, ["class", "doc_id"]).select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        texts = texts.join(repeated.withColumnRenamed("doc_id", "node"), "node", "left_anti").unionByName(told)
+    texts = written_table(texts, "circulant-texts")
 
     # one pair per member: its smallest hub
     tested = shared.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
@@ -210,9 +241,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         links = links.unionByName(_tiled(rooted.join(mixed, "key").select("key", "node", "blocks"), texts, shingle, percent))
         roots = components(links)
 
-    named = written_table(
-        classes.join(roots, "node", "left").select("class", "class_size", F.coalesce("root", "node").alias("component")), "circulant-named",
-    )
+    named = classes.join(roots, "node", "left").select("class", "class_size", "least", F.coalesce("root", "node").alias("component"))
+    if clash:
+        # the smallest id of a component is not its smallest node
+        named = written_table(named.withColumnRenamed("component", "root"), "circulant-rooted-classes")
+        named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root")
+    named = written_table(named.select("class", "class_size", "component"), "circulant-named")
     out = signed.drop("bands").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select(

@@ -103,6 +103,16 @@ def test_near_edges(spark):
     assert {r.component_id for r in got if r.doc_id in (6, 7)} == {6}
 
 
+def test_near_copies_of_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 120, 10**6) for _ in range(3))
+    rows = [(1, a), (1, b), (2, edited(rng, a, 2)), (3, edited(rng, b, 2)), (1, a), (7, c), (6, b), (0, edited(rng, b, 2)), (7, None), (8, edited(rng, c, 2)), (9, a)]
+    got = sorted((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted([
+        (1, True, 1, True), (1, True, 1, True), (1, True, 0, False), (2, True, 1, False), (3, True, 0, False), (6, True, 0, False), (0, True, 0, True),
+        (7, True, 7, True), (7, False, 7, True), (8, True, 7, False), (9, True, 1, False)])
+
+
 def test_circulant_estimates_similarity():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 1 << 63, 800).astype(np.uint64)
