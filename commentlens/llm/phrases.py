@@ -17,6 +17,7 @@ with any other is checked over the whole vocabulary; if one does, other numbers
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -36,7 +37,7 @@ MARGIN = 2
 #: A phrase is dropped if a longer one has this share of its occurrences, in percent.
 INSIDE = 80
 #: Bytes of text that are split at a time, and words that a task holds before it passes its counts on.
-SLICE_BYTES, HELD = 1 << 19, 1 << 17
+SLICE_BYTES, HELD = 1 << 17, 1 << 17
 #: Words whose phrases are counted at a time.
 RUN = 1 << 18
 #: Bounds of the flag table's size, as powers of two.
@@ -45,6 +46,8 @@ LEAST_BITS, MOST_BITS = 16, 24
 #: precedes it; count it.
 HEAVY, GROW, LEFT, SELF = 1, 2, 4, 8
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
+#: Spark's settings for the passes over texts and encoded words.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304", "spark.sql.parquet.columnarReaderBatchSize": "64"}
 #: Rows that leave a task at a time.
 _ROWS = 1 << 16
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -312,7 +315,8 @@ def _vocabulary(texts: DataFrame, least: int) -> tuple[int, DataFrame, DataFrame
     """A seed under which no frequent word of any language shares its number, the sums of all words by language, and the frequent words."""
     for seed in range(1 << 30):
         parts = texts.mapInArrow(_word_counter(seed), "lang string, phrase string, w1 long, a long")
-        words = written_table(parts.groupBy("lang", "phrase", "w1").agg(F.sum("a").cast("long").alias("a")), "phrases-words")
+        with _small_batches(texts.sparkSession):
+            words = written_table(parts.groupBy("lang", "phrase", "w1").agg(F.sum("a").cast("long").alias("a")), "phrases-words")
         shared = words.where("phrase IS NOT NULL").groupBy("w1").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"))
         if shared.where(f"n > 1 AND a >= {least}").isEmpty():
             frequent = words.where(F.col("phrase").isNotNull() & (F.col("a") >= least))
@@ -320,12 +324,26 @@ def _vocabulary(texts: DataFrame, least: int) -> tuple[int, DataFrame, DataFrame
     raise RuntimeError("no collision-free numbers")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows reach the tasks a few megabytes at a time, as rows of encoded words are long; the session's own settings come back after."""
+    own = {k: spark.conf.get(k) for k in _BATCHES}
+    for k, v in _BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 def _counted(encoded: DataFrame, words: DataFrame, name: str, least: int, sizes: tuple[int, ...], flags: Flags, done: Flags | None = None) -> DataFrame:
     """Phrases of the asked sizes with their occurrences, from ``least`` on."""
     context, names = encoded.sparkSession.sparkContext, _WORDS[:max(sizes)]
     schema = ", ".join(f"{c} long" for c in (*names, "a"))
     parts = encoded.mapInArrow(_phrase_counter(sizes, context.broadcast(flags), done and context.broadcast(done)), schema)
-    spelt = written_table(parts.groupBy(*names).agg(F.sum("a").cast("long").alias("a")).where(F.col("a") >= least), f"{name}-numbers")
+    with _small_batches(encoded.sparkSession):
+        spelt = written_table(parts.groupBy(*names).agg(F.sum("a").cast("long").alias("a")).where(F.col("a") >= least), f"{name}-numbers")
     # the first word's number tells the language
     spelt = spelt.join(words.select("lang", "w1", F.col("phrase").alias("text_w1")), "w1")
     for w in names[1:]:
@@ -416,7 +434,8 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text_col:
     flags = Flags(_flag_bits(words.count()), seed).added(_marked(singles))
     # from here on only the numbers of frequent words are read; parquet keeps them as places in a list
     encoded = texts.mapInArrow(_encoder(texts.sparkSession.sparkContext.broadcast(flags)), "x array<long>, old int")
-    encoded = written_table(encoded, "phrases-encoded")
+    with _small_batches(spark):
+        encoded = written_table(encoded, "phrases-encoded")
     pairs = _counted(encoded, words, "phrases-pairs", least, (2,), flags)
     done = Flags(max(flags.bits, _flag_bits(pairs.count())), seed).added(_marked(singles.unionByName(pairs)))
     known, asked = singles.unionByName(pairs), None
