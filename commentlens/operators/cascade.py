@@ -62,7 +62,7 @@ def _surface(df: DataFrame, author: str, text: str, live: bool, book: RuleBook)
             (_A, _CA, glyphs.canonical, F.col(_A)), (_T, _CT, glyphs.canonical, F.col(_T)))})
 
 
-def _tests(book: RuleBook, live: bool, html: str | None) -> dict[str, Column]:
+def _tests(book: RuleBook, live: bool, html: str | None, link_class: str | None) -> dict[str, Column]:
     glyphs = spelling(book.lookalikes)
     a, t, na, nt, ca, ct = (F.col(c) for c in (_A, _T, _NA, _NT, _CA, _CT))
     combined = F.concat(a, F.lit(" "), t)
@@ -86,7 +86,7 @@ def _tests(book: RuleBook, live: bool, html: str | None) -> dict[str, Column]:
     }
     if live:
         tests["link_only"] = urls.is_absolute_url(t)
-        tests["link_contains"] = html_fn.has_clickable_link(F.col(html)) if html else F.lit(False)
+        tests["link_contains"] = html_fn.has_clickable_link(F.col(html), link_class) if html else F.lit(False)
     else:
         tests["link_only"] = urls.is_only_url(t)
         tests["link_contains"] = urls.contains_url(t)
@@ -100,13 +100,15 @@ def flag(
     book: RuleBook | None = None,
     live: bool = False,
     html: str | None = None,
+    link_class: str | None = None,
 ) -> DataFrame:
     """Add ``rule_id`` (1..15) and ``rule_label``.
 
-    ``live`` selects the browser profile; it reads clickable links from the ``html`` column.
+    ``live`` selects the browser profile; it reads clickable links from the ``html`` column, of anchors with ``link_class``
+    (``html.BODY_LINK_CLASS`` for whole rendered comments) or of any.
     """
     book = book or (RuleBook.live() if live else RuleBook())
-    tests = _tests(book, live, html)
+    tests = _tests(book, live, html, link_class)
     rows = _surface(df, author, text, live, book)
     # three projections keep each generated method small; a later one looks at a row only
     # where the earlier ones found nothing

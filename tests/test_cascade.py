@@ -4,6 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from commentlens.functions import html
 from commentlens.functions.lookalikes import spelling
 from commentlens.functions.rulebook import AUTHOR_SCAM_PHRASES, RuleBook
 from commentlens.operators import cascade
@@ -123,3 +124,12 @@ def test_relabel_keeps_moderated(spark):
                                "comment_id string, author_name string, text string, label string, moderated boolean")
     assert cascade.relabel(df).first().asDict() == {
         "comment_id": "a", "author_name": "bob", "text": "hi", "label": "VALID", "moderated": False}
+
+
+def test_only_links_of_the_body_count_when_asked(spark):
+    df = spark.createDataFrame([
+        ("bob", "look", "<a href='http://x.org'>x</a>"), ("bob", "look", "<a href='/u'>u</a><a class='a yt-simple-endpoint' href=\"http://x.org\">x</a>"),
+    ], "author_name string, text string, html string")
+    own = cascade.flag(df, live=True, html="html", link_class=html.BODY_LINK_CLASS).collect()
+    assert [r.rule_label for r in own] == ["VALID", "LINK_CONTAINS"]
+    assert [r.rule_label for r in cascade.flag(df, live=True, html="html").collect()] == ["LINK_CONTAINS"] * 2
