@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentlens.llm.wordhash import SPACE
-from commentlens.session import written_table
+from commentlens.session import broadcast_if_small, written_table
 
 SHINGLE = 5
 PERCENT = 80
+#: Texts that go on to the comparison are picked out by a broadcast of 8 bytes each, up to this many.
+MARKS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,8 +56,14 @@ def _classes(sets: DataFrame, key: str, member: str, name: str) -> tuple[DataFra
     return whole.select(key, "class"), whole.groupBy("class").agg(F.first("all").alias("all")).select("class", F.explode("all").alias(member))
 
 
+def _held_by(rows: DataFrame, keys: DataFrame, marks: int) -> DataFrame:
+    """The rows whose ``key`` is in ``keys``; hashes of the keys drop nearly all others before the shuffle, if they are few enough."""
+    listed = keys.select(F.xxhash64("key").alias("mark")).distinct()
+    return rows.withColumn("mark", F.xxhash64("key")).join(broadcast_if_small(listed, marks), "mark", "left_semi").drop("mark").join(keys.select("key"), "key", "left_semi")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
-                 item_col: str = "item_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+                 item_col: str = "item_id", text_col: str = "text", with_digest: bool = False, marks: int = MARKS) -> DataFrame:
     """Pairs of a document and an item of which it holds ``percent`` % of the distinct shingles.
 
     Columns: the two ids, ``n_item`` and ``n_found`` shingles, ``containment`` (and ``text_sha256`` of the document). Each
@@ -83,15 +91,17 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, perc
     needed = sketch.groupBy("item", "n_item").agg(F.count(F.lit(1)).alias("members"))
     needed = needed.select("item", F.greatest(F.col("members") - spare, F.lit(1)).alias("needed"))
 
-    plain = docs.select(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("key"), words_of(docs[text_col]).alias("words"))
-    hashed = plain.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    plain = docs.select(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("key"), docs[text_col].alias("text"))
+    hashed = plain.select("key", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
     hits = hashed.select("key", F.explode(_hashes("words", shingle)).alias("h")).join(sketch.select("h").distinct(), "h").distinct()
     seen, members = _classes(hits, "key", "h", "contain-seen")
     candidates = members.join(sketch, "h").groupBy("class", "item").agg(F.count(F.lit(1)).alias("n"))
     candidates = written_table(candidates.join(needed, "item").where("n >= needed").select("class", "item"), "contain-candidates")
 
     open_keys = seen.join(candidates.select("class").distinct(), "class", "left_semi").select("key", F.col("class").alias("first"))
-    held = plain.join(open_keys.select("key"), "key", "left_semi").select("key", F.explode(F.array_distinct(_texts("words", shingle))).alias("text"))
+    open_keys = written_table(open_keys, "contain-open")
+    # texts are cut into words behind the shuffle
+    held = _held_by(plain, open_keys, marks).select("key", words_of(F.col("text")).alias("words")).select("key", F.explode(F.array_distinct(_texts("words", shingle))).alias("text"))
     held = held.join(listed.select("text").distinct(), "text", "left_semi").distinct()
     full, texts = _classes(held, "key", "text", "contain-held")
     pairs = full.join(open_keys, "key").select("class", "first").distinct().join(candidates.withColumnRenamed("class", "first"), "first").select("class", "item").distinct()
@@ -100,7 +110,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, perc
     found = written_table(full.join(found, "class").select("key", "item", "n_item", "n_found"), "contain-found")
 
     named = docs.select(docs[id_col].alias("doc"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("key"))
-    named = named.join(found.select("key").distinct(), "key", "left_semi").distinct()
+    named = _held_by(named, found.select("key").distinct(), marks).distinct()
     return named.join(found, "key").select(
         F.col("doc").alias(id_col), F.col("item.id").alias(item_col), "n_item", "n_found", (F.col("n_found") / F.col("n_item")).alias("containment"),
         *([F.col("key").alias("text_sha256")] if with_digest else []),
