@@ -20,15 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentlens.session import written_table
 
-TILE_ROWS = 32_768
+TILE_ROWS = 16_384
 _SLAB = 2_048
+# similarities that a task holds at a time, 32 MB
+_CELLS = 1 << 22
 #: Hashed placement: chance that a pair at the threshold meets, rows that a bucket has on average, rows that meet in a task.
-RECALL, BUCKET_ROWS, HASHED_TILE_ROWS = 0.9999, 512, 8_192
+RECALL, BUCKET_ROWS, HASHED_TILE_ROWS = 0.9999, 2_048, 8_192
 #: What a pair counts as that is below the threshold or has met in an earlier table.
 _FAR = -2.0
 
@@ -57,7 +60,7 @@ class Hashed:
     hot: DataFrame
 
 
-def hash_tables(rows: int, threshold: float, recall: float = RECALL, bucket_rows: int = BUCKET_ROWS) -> tuple[int, int]:
+def hash_tables(rows: int, threshold: float, recall: float = RECALL, bucket_rows: int = 512) -> tuple[int, int]:
     """Bits and tables with which a pair at the threshold shares a bucket with a chance of ``recall``."""
     bits = min(62, max(0, math.ceil(math.log2(max(rows, 1) / bucket_rows))))
     one = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
@@ -65,27 +68,30 @@ def hash_tables(rows: int, threshold: float, recall: float = RECALL, bucket_rows
 
 
 def _marks(bits: int, tables: int, seed: int):
+    kind = np.int32 if bits < 31 else np.int64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
             unit = _unit_matrix(pa.chunked_array([batch.column(1)]))
             if planes is None and unit.shape[0]:
                 planes = np.random.default_rng(seed).normal(size=(unit.shape[1], bits * tables))
-            marks = np.zeros((len(batch), tables), np.int64)
+            marks = np.zeros((len(batch), tables), kind)
             for low in range(0, len(batch) if bits else 0, _SLAB):
                 side = (unit[low:low + _SLAB] @ planes > 0).reshape(-1, tables, bits)
                 marks[low:low + _SLAB] = (side << np.arange(bits)).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(marks), pa.list_(pa.int64()))], names=[*batch.schema.names, "marks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(marks), pa.list_(pa.from_numpy_dtype(kind)))], names=[*batch.schema.names, "marks"])
 
     return run
 
 
 def place_hashed(vectors: DataFrame, threshold: float, recall: float = RECALL, bucket_rows: int = BUCKET_ROWS,
                  tile_rows: int = HASHED_TILE_ROWS, seed: int = 7) -> tuple[DataFrame, Hashed]:
-    """Add ``marks`` (a bucket per table), ``chunk`` and ``tile`` to ``id, embedding``; also return how rows meet."""
+    """Add ``marks`` (a bucket per table), ``chunk`` and ``tile`` to ``id, embedding`` and, if any, ``copies``; also return how rows meet."""
     bits, tables = hash_tables(vectors.count(), threshold, recall, bucket_rows)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select("id", "embedding").schema)
-    marked = vectors.select("id", "embedding").mapInArrow(_marks(bits, tables, seed), f"{fields}, marks array<bigint>")
+    kept = vectors.select("id", "embedding", *(["copies"] if "copies" in vectors.columns else []))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    marked = kept.mapInArrow(_marks(bits, tables, seed), f"{fields}, marks array<{'int' if bits < 31 else 'bigint'}>")
     placed = written_table(marked.withColumns({"chunk": F.lit(0).cast("bigint"), "tile": F.xxhash64(F.lit("tile"), "id")}), "vectors-placed")
     sizes = placed.select(F.posexplode("marks").alias("table", "bucket")).groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     hot = sizes.where(F.col("rows") > tile_rows).select("table", "bucket", F.ceil(F.col("rows") / tile_rows).alias("n_tiles"))
@@ -101,7 +107,12 @@ def _unit_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-Reduce = Callable[[dict, dict, Iterator[tuple[slice, np.ndarray]]], dict]
+def _mark_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    arrays = column.combine_chunks()
+    return arrays.flatten().to_numpy().reshape(len(arrays), -1) if len(arrays) else np.zeros((0, 1), np.int64)
+
+
+Reduce = Callable[[dict, dict, Iterator[tuple[slice, np.ndarray]]], dict | Iterator[dict]]
 
 
 def _grid(centres: DataFrame, members: DataFrame, n_tiles: int, extra: list[str]) -> tuple[DataFrame, list[str]]:
@@ -110,18 +121,25 @@ def _grid(centres: DataFrame, members: DataFrame, n_tiles: int, extra: list[str]
     left = centres.select("chunk", F.col("tile").alias("row_tile"), F.explode(tiles).alias("col_tile"), F.lit(True).alias("is_centre"), "id", "embedding", *extra)
     right = members.select(
         "chunk", F.explode(tiles).alias("row_tile"), F.col("tile").alias("col_tile"),
-        F.lit(False).alias("is_centre"), "id", "embedding", *(F.lit(0).cast("bigint").alias(c) for c in extra),
+        F.lit(False).alias("is_centre"), "id", "embedding", *(F.col(c) if c == "copies" else F.lit(0).cast("bigint").alias(c) for c in extra),
     )
     return left.unionByName(right), ["chunk", "row_tile", "col_tile"]
 
 
 def _buckets(centres: DataFrame, members: DataFrame, plan: Hashed, extra: list[str]) -> tuple[DataFrame, list[str]]:
-    """Both sides once for every table, in hot buckets once for every tile of the other."""
+    """Both sides once for every table, in hot buckets once for every tile of the other.
+
+    Rows that meet their own kind are sent once where the bucket is one group; ``is_centre`` is null then.
+    """
     sides = []
+    alone = centres is members
     for side, is_centre in ((centres, True), (members, False)):
         columns = [F.col(c) if is_centre or c == "copies" else F.lit(0).cast("bigint").alias(c) for c in extra]
-        rows = side.select("chunk", F.posexplode("marks").alias("table", "bucket"), "tile", F.lit(is_centre).alias("is_centre"), "id", "embedding", "marks", *columns)
+        rows = side.select("chunk", F.posexplode("marks").alias("table", "bucket"), "tile", "id", "embedding", "marks", *columns)
         rows = rows.join(plan.hot, ["table", "bucket"], "left").withColumn("n_tiles", F.coalesce("n_tiles", F.lit(1)))
+        if alone and not is_centre:
+            rows = rows.where("n_tiles > 1")
+        rows = rows.withColumn("is_centre", F.when((F.col("n_tiles") > 1) | F.lit(not alone), F.lit(is_centre)))
         own, every = F.pmod("tile", F.col("n_tiles")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tiles") - 1))
         names = ("row_tile", "col_tile") if is_centre else ("col_tile", "row_tile")
         sides.append(rows.select("*", own.alias(names[0]), every.alias(names[1])).drop("tile", "n_tiles"))
@@ -146,7 +164,8 @@ def tiled(centres: DataFrame, members: DataFrame, plan: int | Hashed, reduce: Re
     Both sides have ``id, embedding`` and the columns of their placement; ``plan`` is what it returned. Centres may
     carry a priority ``n0`` and a minimum ``needed``, both sides their ``copies``.
     ``reduce`` gets both sides as column dictionaries and the similarity matrix in slabs of
-    centre rows, best priority first. ``output`` names its columns; type ``id`` is that of ids.
+    centre rows, best priority first. It returns its columns, or yields them part by part.
+    ``output`` names the columns; type ``id`` is that of ids.
     """
     hashed = isinstance(plan, Hashed)
     extra = [c for c in ("n0", "needed", "copies") if c in centres.columns]
@@ -156,9 +175,11 @@ def tiled(centres: DataFrame, members: DataFrame, plan: int | Hashed, reduce: Re
     threshold = plan.threshold if hashed else 0.0
     ordered = "n0" in extra
 
-    def run(table: pa.Table) -> pa.Table:
-        centre_mask = table["is_centre"].to_numpy()
-        rows, columns = table.filter(centre_mask), table.filter(~centre_mask)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        side = table["is_centre"]
+        rows, columns = table.filter(pc.fill_null(side, True)), table.filter(pc.fill_null(pc.invert(side), True))
+        del table
         if ordered:
             order = np.argsort(rows["id"].to_numpy(), kind="stable")
             order = order[np.argsort(-rows["n0"].to_numpy()[order], kind="stable")]
@@ -167,38 +188,44 @@ def tiled(centres: DataFrame, members: DataFrame, plan: int | Hashed, reduce: Re
         right_side = {c: columns[c].to_numpy() for c in ["id", *(["copies"] if "copies" in extra else [])]}
         a, b = _unit_matrix(rows["embedding"]), _unit_matrix(columns["embedding"]).T
         if hashed:
-            number = table["table"][0].as_py()
-            a_marks, b_marks = (np.stack(t["marks"].to_numpy()) if len(t) else np.zeros((0, 1)) for t in (rows, columns))
+            number = (rows if len(rows) else columns)["table"][0].as_py()
+            a_marks, b_marks = _mark_matrix(rows["marks"]), _mark_matrix(columns["marks"])
 
         def slabs():
             if len(rows) and len(columns):
-                for start in range(0, len(rows), _SLAB):
-                    part = slice(start, min(start + _SLAB, len(rows)))
+                size = max(1, min(_SLAB, _CELLS // len(columns)))
+                for start in range(0, len(rows), size):
+                    part = slice(start, min(start + size, len(rows)))
                     sims = a[part] @ b
                     yield part, _met_first(sims, part, number, threshold, a_marks, b_marks) if hashed else sims
 
         result = reduce(left_side, right_side, slabs())
-        arrow = {"id": table.schema.field("id").type, "bigint": pa.int64(), "double": pa.float64()}
-        return pa.table({name: pa.array(result[name], type=arrow[kind]) for name, kind in output.items()})
+        arrow = {"id": rows.schema.field("id").type, "bigint": pa.int64(), "double": pa.float64()}
+        for part in [result] if isinstance(result, dict) else result:
+            yield pa.RecordBatch.from_pydict({name: pa.array(part[name], type=arrow[kind]) for name, kind in output.items()})
 
     # a group is two tiles
     return both.groupBy(*keys).applyInArrow(run, ", ".join(f"{name} {kind}" for name, kind in types.items()))
 
 
-def _concat(parts: list[np.ndarray], like: np.ndarray) -> np.ndarray:
-    return np.concatenate(parts) if parts else like[:0]
-
+def _nearest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and similarities, to nine decimals, of the ``k`` largest of each row; of equal ones the first.
 
-def _first(values: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` smallest values of each row, in order; of equal ones the first."""
-    out = np.empty((len(values), k), np.int64)
+    ``sims`` is used up. Pairs that do not count are left out.
+    """
     if not k:
-        return out
-    cut = np.partition(values, k - 1, axis=1)[:, k - 1]
-    for i, row in enumerate(values):
-        open_places = np.flatnonzero(row <= cut[i])
-        out[i] = open_places[np.argsort(row[open_places], kind="stable")[:k]]
-    return out
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    far = np.negative(sims, out=sims)
+    near = far < -_FAR - 0.5
+    if np.count_nonzero(near) > far.size // 16:
+        # only what may be among the first after rounding is rounded and sorted
+        near &= far <= np.partition(far, k - 1, axis=1)[:, k - 1:k] + 2e-9
+    i, j = np.nonzero(near)
+    value = np.round(far[i, j], 9)
+    order = np.lexsort((j, value, i))
+    i, j, value = i[order], j[order], value[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], -value[first]
 
 
 def neighbour_counts(placed: DataFrame, n_tiles: int | Hashed, threshold: float) -> DataFrame:
@@ -223,19 +250,10 @@ def top_k(placed: DataFrame, n_tiles: int | Hashed, k: int) -> DataFrame:
     """``id, neighbour, sim, rank``: the ``k`` most similar rows (itself included), ties by id; hashed, of those at the threshold."""
 
     def nearest(left, right, slabs):
-        ids, neighbours, found = [], [], []
         order = np.argsort(right["id"], kind="stable")
         for part, sims in slabs:
-            sims = np.round(sims, 9)[:, order]
-            keep = min(k, sims.shape[1])
-            picked = _first(-sims, keep)
-            ids.append(np.repeat(left["id"][part], keep))
-            neighbours.append(right["id"][order][picked].ravel())
-            found.append(np.take_along_axis(sims, picked, axis=1).ravel())
-        return {
-            "id": _concat(ids, left["id"]), "neighbour": _concat(neighbours, left["id"]),
-            "sim": _concat(found, np.zeros(0)),
-        }
+            i, j, found = _nearest(sims[:, order], min(k, sims.shape[1]))
+            yield {"id": left["id"][part][i], "neighbour": right["id"][order][j], "sim": found}
 
     partial = tiled(placed, placed, n_tiles, nearest, id="id", neighbour="id", sim="double").where(F.col("sim") > _FAR)
     window = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
@@ -257,29 +275,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, chunk_rows: int | None =
     Pairs are between distinct vectors, a row with itself included, so a group of identical
     copies gives one pair and its size instead of the square of it. With ``recall`` rows meet by hash tables.
     """
-    unique = distinct_vectors(vectors)
-    alone = unique.select("id", "embedding")
-    placed, plan = place(alone, chunk_rows, tile_rows) if recall is None else place_hashed(alone, threshold, recall)
+    unique = written_table(distinct_vectors(vectors).where("id is not null"), "vectors-distinct")
+    if recall is None:
+        placed, plan = place(unique, chunk_rows, tile_rows)
+    else:
+        placed, plan = place_hashed(unique, threshold, recall)
 
     def pairs(left, right, slabs):
-        rows, columns, found = [], [], []
         for part, sims in slabs:
             i, j = np.nonzero(sims >= threshold)
-            rows.append(left["id"][part][i])
-            columns.append(right["id"][j])
-            found.append(sims[i, j])
-        return {
-            "left_id": _concat(rows, left["id"]), "right_id": _concat(columns, left["id"]),
-            "sim": _concat(found, np.zeros(0)),
-        }
-
-    found = tiled(placed, placed, plan, pairs, left_id="id", right_id="id", sim="double")
-    copies = unique.select("id", "copies")
-    return (
-        found.join(copies.select(F.col("id").alias("left_id"), F.col("copies").alias("left_copies")), "left_id")
-        .join(copies.select(F.col("id").alias("right_id"), F.col("copies").alias("right_copies")), "right_id")
-        .select("left_id", "right_id", "sim", "left_copies", "right_copies")
-    )
+            yield {"left_id": left["id"][part][i], "right_id": right["id"][j], "sim": sims[i, j],
+                   "left_copies": left["copies"][part][i], "right_copies": right["copies"][j]}
+
+    return tiled(placed, placed, plan, pairs, left_id="id", right_id="id", sim="double", left_copies="bigint", right_copies="bigint")
 
 
 def near_counts(vectors: DataFrame, threshold: float, minimum: int = 1, recall: float = RECALL, bucket_rows: int = BUCKET_ROWS,
@@ -290,7 +298,7 @@ def near_counts(vectors: DataFrame, threshold: float, minimum: int = 1, recall:
     """
     unique = written_table(distinct_vectors(vectors), "vectors-distinct")
     placed, plan = place_hashed(unique, threshold, recall, bucket_rows, tile_rows)
-    counts = neighbour_counts(placed.join(unique.select("id", "copies"), "id"), plan, threshold).where(F.col("n") >= minimum)
+    counts = neighbour_counts(placed, plan, threshold).where(F.col("n") >= minimum)
     single = unique.where("copies = 1").select("id")
     repeated = unique.where("copies > 1").select(F.col("id").alias("first"), "embedding")
     # only rows with copies are looked up by their vector

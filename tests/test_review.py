@@ -70,6 +70,20 @@ def test_communities_equal_the_sequential_definition(spark, seed, threshold, min
         assert got == want, options
 
 
+def test_a_task_holds_few_similarities(spark):
+    vectors = as_frame(spark, np.eye(3, dtype=np.float32)[np.arange(3000) % 3])
+    placed, n_tiles = similarity.place(vectors)
+    held = similarity.tiled(placed, placed, n_tiles, lambda left, right, slabs: {"n": np.array([max(s.size for _, s in slabs)])}, n="bigint")
+    assert held.agg(F.max("n")).first()[0] <= similarity._CELLS
+
+
+def test_rows_that_meet_their_own_kind_are_sent_once(spark):
+    placed, plan = similarity.place_hashed(as_frame(spark, clustered(7, 200, hot=0.0, dim=32)), 0.95, bucket_rows=50)
+    assert plan.tables > 1 and plan.hot.count() == 0
+    assert similarity._buckets(placed, placed, plan, [])[0].count() == 200 * plan.tables
+    assert similarity._buckets(placed, placed.select("*"), plan, [])[0].count() == 2 * 200 * plan.tables
+
+
 def test_minimum_is_clamped_and_chunks_do_not_mix(spark):
     vectors = np.ones((4, 3), dtype=np.float32)
     rows = communities.numbered(communities.detect(as_frame(spark, vectors), 0.9, 25)).collect()
