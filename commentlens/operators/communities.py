@@ -2,10 +2,12 @@
 
 A row with enough neighbours is a candidate centre. Taken from the largest neighbourhood down,
 a candidate claims its neighbours that are still free, if enough are left. The whole table is one
-chunk unless the caller asks for more; neighbours never span chunks. A chunk whose neighbour lists are few enough, by count,
-is settled by one walk over them. A chunk with more is worked on in rounds that never list the
-neighbours: a candidate is accepted once it is the best remaining candidate for every free
-neighbour it has, which gives the same result.
+chunk unless the caller asks for more; neighbours never span chunks. The first candidates of a chunk, as many
+as have few enough free neighbours by count, are settled by one walk over their lists. The others then go through
+a round that never lists neighbours: a candidate is accepted once it is the best remaining candidate for every
+free neighbour it has, and candidates with too few are dropped. Walks shorten the chains of candidates that wait
+for one another, rounds settle any number of candidates that don't; both give the greedy result. What a step
+leaves is written as a table, whose size the next step's plan starts from.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentlens.operators import similarity
 from commentlens.operators.ranking import rank_within
 from commentlens.operators.store import update_by_key
-from commentlens.session import cut_lineage
+from commentlens.session import written_table
 
 THRESHOLD = 0.95
 MIN_SIZE = 25
@@ -30,6 +32,8 @@ CONSENSUS = 0.5
 
 # neighbour-list entries of one chunk that one task may walk over
 WALK_ENTRIES = 5_000_000
+# candidates of one chunk that a walk may settle
+LEAD_ROWS = 50_000
 
 # marks a row of ``_round`` that is a member's claim rather than a centre's count
 CLAIM = -1
@@ -63,15 +67,11 @@ def _walk(centres: DataFrame, members: DataFrame, n_tiles: int, threshold: float
     """``chunk, seed, n0, id``: the greedy walk per chunk over listed neighbours."""
 
     def entries(left, right, slabs):
-        rows, columns = [], []
         for part, sims in slabs:
             i, j = np.nonzero(sims >= threshold)
-            rows.append(part.start + i)
-            columns.append(right["id"][j])
-        at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        member = np.concatenate(columns) if columns else right["id"][:0]
-        return {"chunk": left["chunk"][at], "seed": left["id"][at], "n0": left["n0"][at],
-                "needed": left["needed"][at], "id": member}
+            at = part.start + i
+            yield {"chunk": left["chunk"][at], "seed": left["id"][at], "n0": left["n0"][at],
+                   "needed": left["needed"][at], "id": right["id"][j]}
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n0", "descending"), ("seed", "ascending"), ("id", "ascending")])
@@ -95,6 +95,15 @@ def _walk(centres: DataFrame, members: DataFrame, n_tiles: int, threshold: float
     return listed.groupBy("chunk").applyInArrow(settle, f"chunk bigint, seed {id_type}, n0 bigint, id {id_type}")
 
 
+def _lead(centres: DataFrame, walk_entries: int) -> DataFrame:
+    """``chunk, id`` of the first candidates, whose neighbour lists hold at most ``walk_entries`` together."""
+    order = Window.partitionBy("chunk").orderBy(F.desc("n0"), "id")
+    first = centres.select("chunk", "id", "n0", "remaining").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEAD_ROWS)
+    # all of one id, should it repeat
+    entries = F.sum("remaining").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("entries", entries).filter(F.col("entries") <= walk_entries).select("chunk", "id").distinct()
+
+
 def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN_SIZE,
            chunk_rows: int | None = None, tile_rows: int = similarity.TILE_ROWS,
            walk_entries: int = WALK_ENTRIES, recall: float | None = None) -> DataFrame:
@@ -104,33 +113,30 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
     """
     if recall is None:
         placed, n_tiles = similarity.place(vectors, chunk_rows, tile_rows)
-        placed = cut_lineage(placed)
+        placed = written_table(placed, "communities-placed")
     else:
         placed, n_tiles = similarity.place_hashed(vectors, threshold, recall)
     sizes = placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
     counts = similarity.neighbour_counts(placed, n_tiles, threshold).withColumnRenamed("n", "n0")
     # the minimum is clamped to the chunk size; there is one size row per chunk
-    centres = cut_lineage(
+    centres = written_table(
         placed.join(counts, "id").join(sizes, "chunk")
         .withColumn("needed", F.least(F.lit(min_size).cast("bigint"), F.col("rows")))
         .filter(F.col("n0") >= F.col("needed"))
         .drop("rows")
-        .withColumn("remaining", F.col("n0"))
+        .withColumn("remaining", F.col("n0")),
+        "communities-centres",
     )
     members, found = placed, []
     while True:
-        small = (
-            centres.groupBy("chunk").agg(F.sum("remaining").alias("entries"))
-            .filter(F.col("entries") <= walk_entries).select("chunk")
-        )
-        settled = _walk(
-            centres.join(small, "chunk", "left_semi"), members.join(small, "chunk", "left_semi"), n_tiles, threshold
-        )
-        found.append(cut_lineage(settled))
-        centres = centres.join(small, "chunk", "left_anti")
-        if centres.limit(1).count() == 0:
+        lead = written_table(_lead(centres, walk_entries), "communities-lead")
+        walked = _walk(centres.join(lead, ["chunk", "id"], "left_semi"), members, n_tiles, threshold)
+        found.append(written_table(walked, "communities-walked"))
+        centres = centres.join(lead, ["chunk", "id"], "left_anti")
+        if centres.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        seen = cut_lineage(_round(centres, members, n_tiles, threshold))
+        members = written_table(members.join(found[-1].select("id"), "id", "left_anti"), "communities-free")
+        seen = written_table(_round(centres, members, n_tiles, threshold), "communities-seen")
         best = (
             seen.filter(F.col("remaining") == CLAIM)
             .groupBy("member").agg(F.min(F.struct((-F.col("n0")).alias("by"), "centre"))["centre"].alias("seed"))
@@ -140,22 +146,27 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
             seen.filter(F.col("remaining") != CLAIM)
             .groupBy(F.col("centre").alias("id")).agg(F.sum("remaining").alias("remaining"))
         )
-        state = cut_lineage(
+        state = written_table(
             centres.drop("embedding", "remaining").join(left, "id", "left").join(claims, "id", "left")
             .withColumn("alive", F.coalesce(F.col("remaining") >= F.col("needed"), F.lit(False)))
-            .withColumn("ready", F.col("alive") & F.coalesce(F.col("claims") == F.col("remaining"), F.lit(False)))
+            .withColumn("ready", F.col("alive") & F.coalesce(F.col("claims") == F.col("remaining"), F.lit(False))),
+            "communities-state",
         )
-        accepted = cut_lineage(
+        accepted = written_table(
             best.join(state.filter("ready").select(F.col("id").alias("seed"), "chunk", "n0"), "seed")
-            .select("chunk", "seed", "n0", F.col("member").alias("id"))
+            .select("chunk", "seed", "n0", F.col("member").alias("id")),
+            "communities-accepted",
         )
         found.append(accepted)
+        if len(found) > 8:
+            found = [written_table(reduce(DataFrame.unionByName, found), "communities-found")]
         waiting = state.filter(F.col("alive") & ~F.col("ready")).select("id", "remaining")
-        centres = cut_lineage(centres.drop("remaining").join(waiting, "id"))
+        centres = written_table(centres.drop("remaining").join(waiting, "id"), "communities-centres")
         # a member without a candidate now never gets one later
-        members = cut_lineage(
+        members = written_table(
             members.join(best.select(F.col("member").alias("id")), "id", "left_semi")
-            .join(accepted.select("id"), "id", "left_anti")
+            .join(accepted.select("id"), "id", "left_anti"),
+            "communities-members",
         )
 
 

@@ -70,6 +70,20 @@ def test_communities_equal_the_sequential_definition(spark, seed, threshold, min
         assert got == want, options
 
 
+def test_chains_of_candidates_take_few_rounds(spark, monkeypatch):
+    angle = 2 * np.pi * np.arange(200) / 200
+    circle = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype(np.float32)
+    near = float(np.cos(2.5 * angle[1]))
+    want = sequential(circle, near, 2)
+    rounds, run = [], communities._round
+    monkeypatch.setattr(communities, "_round", lambda *a: rounds.append(1) or run(*a))
+    got = {}
+    for r in communities.detect(as_frame(spark, circle), near, 2, walk_entries=400).collect():
+        got.setdefault(r.seed, set()).add(r.id)
+    # every candidate waits for the one before it, five entries each
+    assert got == want and len(rounds) <= 4
+
+
 def test_a_task_holds_few_similarities(spark):
     vectors = as_frame(spark, np.eye(3, dtype=np.float32)[np.arange(3000) % 3])
     placed, n_tiles = similarity.place(vectors)
