@@ -61,6 +61,15 @@ def sparse_class(codes) -> str:
     return _latin1_first([c for c in codes if c <= 0xFF], regex_ranges(c for c in codes if c > 0xFF))
 
 
+def _covering(codes, n_ranges: int = 8) -> str:
+    """Class content that holds all ``codes``: those of Latin-1 one by one, the others in ``n_ranges`` ranges split at the widest gaps."""
+    codes = sorted(set(codes))
+    low, high = [c for c in codes if c <= 0xFF], [c for c in codes if c > 0xFF]
+    gaps = sorted(range(1, len(high)), key=lambda i: high[i - 1] - high[i])[:n_ranges - 1]
+    ends = [0, *sorted(gaps), len(high)]
+    return "".join(rf"\x{c:02X}" for c in low) + "".join(rf"\x{{{high[i]:X}}}-\x{{{high[j - 1]:X}}}" for i, j in zip(ends, ends[1:], strict=False) if j > i)
+
+
 #: The parts that Hangul syllables are made of, in the order of their code.
 _FIRST_JAMO, _MIDDLE_JAMO, _LAST_JAMO = ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
 _SYLLABLES = (0xAC00, 0xD7A3)
@@ -92,9 +101,11 @@ def _tables(live: bool = False) -> tuple[dict[str, str], dict[str, str], str]:
             single[char] = base
         elif whole != char:
             several[char] = whole
+    spread = [*(ord(c) for c in several if c not in emojis), *range(_SYLLABLES[0], _SYLLABLES[1] + 1)]
+    # a few wide ranges turn nearly all other characters away before the long classes
     pattern = (
-        rf"[0-9#*]\uFE0F?\u20E3|[{_FLAGS}]{{2}}|{sparse_class(map(ord, emojis))}\uFE0F?"
-        rf"|{sparse_class([*(ord(c) for c in several if c not in emojis), *range(_SYLLABLES[0], _SYLLABLES[1] + 1)])}"
+        rf"[0-9#*]\uFE0F?\u20E3|(?=[{_covering([*spread, *map(ord, emojis), *map(ord, _FLAGS)])}])"
+        rf"(?:[{_FLAGS[0]}-{_FLAGS[-1]}]{{2}}|{sparse_class(map(ord, emojis))}\uFE0F?|{sparse_class(spread)})"
     )
     return single, several, pattern
 

@@ -87,3 +87,21 @@ def test_live_profile_keeps_marks_that_are_no_diacritics(spark):
     assert run(spark, letters, text.normalise_browser) == want
     mixed = [f"{c} \u261d" for c in letters]
     assert [r.split(" ")[0] for r in run(spark, mixed, text.normalise_browser)] == want
+
+
+@pytest.mark.parametrize("live", [False, True])
+def test_characters_that_become_several_are_found_behind_the_wide_ranges(spark, live):
+    single, several, pattern = text._tables(live)
+    assert set(several) <= {c for c in several if regex.match(f"[{java_ranges(text._covering(map(ord, several)))}]", c)}
+    # letters of European languages never reach the long classes
+    wide = java_ranges(text._covering(map(ord, several)))
+    assert not regex.search(f"[{wide}]", "plain äöüéèçñ text, 0-9")
+    rows = spark.createDataFrame([(c,) for c in several], "c string")
+    assert rows.where(~F.col("c").rlike(pattern)).count() == 0
+    assert spark.createDataFrame([(c,) for c in ("a", "7", "é", "ñ")], "c string").where(F.col("c").rlike(pattern)).count() == 0
+    assert "(?=" in pattern
+
+
+def java_ranges(content):
+    """A Java class content in the spelling of ``regex``."""
+    return regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", content)
