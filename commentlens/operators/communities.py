@@ -7,7 +7,8 @@ as have few enough free neighbours by count, are settled by one walk over their
 a round that never lists neighbours: a candidate is accepted once it is the best remaining candidate for every
 free neighbour it has, and candidates with too few are dropped. Walks shorten the chains of candidates that wait
 for one another, rounds settle any number of candidates that don't; both give the greedy result. What a step
-leaves is written as a table, whose size the next step's plan starts from.
+leaves is written as a table, whose size the next step's plan starts from. Joins by id or seed are merge joins, so
+what passes through the driver doesn't grow with the table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from commentlens.operators import similarity
 from commentlens.operators.ranking import rank_within
 from commentlens.operators.store import update_by_key
-from commentlens.session import written_table
+from commentlens.session import merged, written_table
 
 THRESHOLD = 0.95
 MIN_SIZE = 25
@@ -120,7 +121,7 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
     counts = similarity.neighbour_counts(placed, n_tiles, threshold).withColumnRenamed("n", "n0")
     # the minimum is clamped to the chunk size; there is one size row per chunk
     centres = written_table(
-        placed.join(counts, "id").join(sizes, "chunk")
+        placed.join(merged(counts), "id").join(sizes, "chunk")
         .withColumn("needed", F.least(F.lit(min_size).cast("bigint"), F.col("rows")))
         .filter(F.col("n0") >= F.col("needed"))
         .drop("rows")
@@ -130,12 +131,12 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
     members, found = placed, []
     while True:
         lead = written_table(_lead(centres, walk_entries), "communities-lead")
-        walked = _walk(centres.join(lead, ["chunk", "id"], "left_semi"), members, n_tiles, threshold)
+        walked = _walk(centres.join(merged(lead), ["chunk", "id"], "left_semi"), members, n_tiles, threshold)
         found.append(written_table(walked, "communities-walked"))
-        centres = centres.join(lead, ["chunk", "id"], "left_anti")
+        centres = centres.join(merged(lead), ["chunk", "id"], "left_anti")
         if centres.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        members = written_table(members.join(found[-1].select("id"), "id", "left_anti"), "communities-free")
+        members = written_table(members.join(merged(found[-1].select("id")), "id", "left_anti"), "communities-free")
         seen = written_table(_round(centres, members, n_tiles, threshold), "communities-seen")
         best = (
             seen.filter(F.col("remaining") == CLAIM)
@@ -147,13 +148,13 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
             .groupBy(F.col("centre").alias("id")).agg(F.sum("remaining").alias("remaining"))
         )
         state = written_table(
-            centres.drop("embedding", "remaining").join(left, "id", "left").join(claims, "id", "left")
+            centres.drop("embedding", "remaining").join(merged(left), "id", "left").join(merged(claims), "id", "left")
             .withColumn("alive", F.coalesce(F.col("remaining") >= F.col("needed"), F.lit(False)))
             .withColumn("ready", F.col("alive") & F.coalesce(F.col("claims") == F.col("remaining"), F.lit(False))),
             "communities-state",
         )
         accepted = written_table(
-            best.join(state.filter("ready").select(F.col("id").alias("seed"), "chunk", "n0"), "seed")
+            best.join(merged(state.filter("ready").select(F.col("id").alias("seed"), "chunk", "n0")), "seed")
             .select("chunk", "seed", "n0", F.col("member").alias("id")),
             "communities-accepted",
         )
@@ -161,11 +162,11 @@ def detect(vectors: DataFrame, threshold: float = THRESHOLD, min_size: int = MIN
         if len(found) > 8:
             found = [written_table(reduce(DataFrame.unionByName, found), "communities-found")]
         waiting = state.filter(F.col("alive") & ~F.col("ready")).select("id", "remaining")
-        centres = written_table(centres.drop("remaining").join(waiting, "id"), "communities-centres")
+        centres = written_table(centres.drop("remaining").join(merged(waiting), "id"), "communities-centres")
         # a member without a candidate now never gets one later
         members = written_table(
-            members.join(best.select(F.col("member").alias("id")), "id", "left_semi")
-            .join(accepted.select("id"), "id", "left_anti"),
+            members.join(merged(best.select(F.col("member").alias("id"))), "id", "left_semi")
+            .join(merged(accepted.select("id")), "id", "left_anti"),
             "communities-members",
         )
 
@@ -175,7 +176,7 @@ def numbered(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("chunk", "seed", "n0").agg(F.count(F.lit(1)).alias("size"))
     order = [F.desc("size"), F.desc("n0"), F.col("seed")]
     ids = rank_within(sizes.withColumn("__all", F.lit(0)), ["__all"], order, "community_id")
-    return members.join(ids.select("chunk", "seed", "size", "community_id"), ["chunk", "seed"])
+    return members.join(merged(ids.select("chunk", "seed", "size", "community_id")), ["chunk", "seed"])
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -67,6 +67,15 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """Hint that a join with this side shuffles and merges both.
+
+    For sides that grow with the table: files of sorted or repeated keys look small to the optimizer, and
+    broadcast rows pass through the driver.
+    """
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only after a bounded count; beyond the bound the join stays a shuffle join."""
     small = df.limit(max_rows + 1).count() <= max_rows

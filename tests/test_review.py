@@ -84,6 +84,21 @@ def test_chains_of_candidates_take_few_rounds(spark, monkeypatch):
     assert got == want and len(rounds) <= 4
 
 
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_rows_of_communities_are_not_broadcast(spark, monkeypatch):
+    plans, write = {}, communities.written_table
+    monkeypatch.setattr(communities, "written_table", lambda df, name: plans.setdefault(name, []).append(broadcasts(df)) or write(df, name))
+    vectors = as_frame(spark, clustered(1, 240))
+    found = communities.numbered(communities.detect(vectors, 0.9, 5, walk_entries=400))
+    # the sizes of the chunks are the only rows that may pass through the driver
+    assert max(plans.pop("communities-centres")) <= 1 and len(plans["communities-walked"]) > 1
+    assert not any(sum(n) for n in plans.values())
+    assert broadcasts(found) == 0
+
+
 def test_a_task_holds_few_similarities(spark):
     vectors = as_frame(spark, np.eye(3, dtype=np.float32)[np.arange(3000) % 3])
     placed, n_tiles = similarity.place(vectors)
