@@ -195,9 +195,9 @@ def centroids(members: DataFrame, keys) -> DataFrame:
 def scored(members: DataFrame, vectors: DataFrame, keys=("chunk", "seed")) -> DataFrame:
     """Add ``score`` (cosine to the centroid, five decimals) and ``rank`` (best first, ties by id)."""
     keys = list(keys)
-    full = members.join(vectors.select("id", "embedding"), "id")
+    full = members.join(merged(vectors.select("id", "embedding")), "id")
     rated = (
-        full.join(centroids(full, keys), keys)
+        full.join(merged(centroids(full, keys)), keys)
         .withColumn("score", F.round(cosine(F.col("centroid"), F.col("embedding")), 5))
         .drop("centroid", "embedding")
     )

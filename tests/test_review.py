@@ -96,7 +96,7 @@ def test_rows_of_communities_are_not_broadcast(spark, monkeypatch):
     # the sizes of the chunks are the only rows that may pass through the driver
     assert max(plans.pop("communities-centres")) <= 1 and len(plans["communities-walked"]) > 1
     assert not any(sum(n) for n in plans.values())
-    assert broadcasts(found) == 0
+    assert [broadcasts(df) for df in (found, communities.scored(found, vectors))] == [0, 0]
 
 
 def test_a_task_holds_few_similarities(spark):
