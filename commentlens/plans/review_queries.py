@@ -8,7 +8,7 @@ from commentlens.functions import scores
 from commentlens.operators import communities, evaluate, features, review, similarity, store
 from commentlens.plans import views
 from commentlens.plans.registry import query, table
-from commentlens.session import work_path, written_table
+from commentlens.session import merged, work_path, written_table
 from commentlens.sources import tables
 
 # the test vectors are spread out, so communities need a low threshold and size
@@ -207,7 +207,7 @@ _AGREED_SQL = f"""
     SELECT community_id, round(ratio, 5) AS ratio, label FROM agreed""")
 def consensus_labels(spark, folder):
     stored = views.vector_comments(spark, folder)
-    state = _scored(spark, folder).drop("score").join(stored, "comment_id")
+    state = _scored(spark, folder).drop("score").join(merged(stored), "comment_id")
     return communities.consensus(state).withColumn("ratio", F.round("ratio", 5))
 
 
@@ -240,7 +240,7 @@ def community_preview(spark, folder):
     SELECT community_id, label, count(*) AS n FROM state WHERE moderated GROUP BY ALL""")
 def reviewed_histogram(spark, folder):
     stored = views.vector_comments(spark, folder).drop("score")
-    return review.reviewed_histogram(_scored(spark, folder).join(stored, "comment_id"))
+    return review.reviewed_histogram(_scored(spark, folder).join(merged(stored), "comment_id"))
 
 
 @query("community_decisions", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commentlens.functions import scores, tokens
 from commentlens.operators import communities, evaluate, policy, review, similarity, wordpieces
+from commentlens.plans import review_queries
 from tests.test_tables import comment, frame
 
 
@@ -99,6 +100,17 @@ def test_rows_of_communities_are_not_broadcast(spark, monkeypatch):
     assert [broadcasts(df) for df in (found, communities.scored(found, vectors))] == [0, 0]
 
 
+@pytest.mark.parametrize("name", ["consensus_labels", "reviewed_histogram"])
+def test_members_meet_stored_rows_without_a_broadcast(spark, tmp_path, monkeypatch, name):
+    members = spark.range(1, 7).select(F.lit(1).cast("bigint").alias("community_id"), F.col("id").alias("comment_id"),
+                                       F.lit(0.5).alias("score"), F.col("id").alias("rank"))
+    rows = [(i, [1.0, float(i)], i % 3) for i in range(1, 7)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(review_queries, "_scored", lambda *_: members)
+    result = getattr(review_queries, name)(spark, str(tmp_path))
+    assert broadcasts(result) == 0 and result.count() == {"consensus_labels": 1, "reviewed_histogram": 2}[name]
+
+
 def test_a_task_holds_few_similarities(spark):
     vectors = as_frame(spark, np.eye(3, dtype=np.float32)[np.arange(3000) % 3])
     placed, n_tiles = similarity.place(vectors)
