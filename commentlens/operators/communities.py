@@ -231,13 +231,13 @@ def propagate(stored: DataFrame, members: DataFrame, threshold: float = CONSENSU
 
     ``members`` is ``community_id, comment_id, score, rank``.
     """
-    state = members.join(stored.select("comment_id", "label", "moderated"), "comment_id")
+    state = members.join(merged(stored.select("comment_id", "label", "moderated")), "comment_id")
     agreed = consensus(state, threshold).select("community_id", F.col("label").alias("__label"))
     updates = (
         stored.filter(~F.col("moderated"))
-        .join(members.select("community_id", "comment_id", F.col("score").alias("__score")), "comment_id")
-        .join(agreed, "community_id")
+        .join(merged(members.select("community_id", "comment_id", F.col("score").alias("__score"))), "comment_id")
+        .join(merged(agreed), "community_id")
         .withColumns({"label": F.col("__label"), "score": F.col("__score")})
         .select(*stored.columns)
     )
-    return update_by_key(stored, updates)
+    return update_by_key(stored, merged(updates))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commentlens.operators.ranking import edge_rows
 from commentlens.operators.store import update_by_key
+from commentlens.session import merged
 
 # Answers that are not label names.
 ACCEPT, RESET = "0", "X"
@@ -69,10 +70,10 @@ def apply_community_decisions(stored: DataFrame, members: DataFrame, decisions:
     ``members`` holds ``community_id, comment_id``; ``decisions`` one ``response`` per community.
     """
     answered = decisions.filter(F.col("response").isNotNull() & (F.col("response") != ""))
-    found = stored.join(members.select("community_id", "comment_id"), "comment_id")
+    found = stored.join(merged(members.select("community_id", "comment_id")), "comment_id")
     undecided = found.filter(~F.col("moderated")).select("community_id").distinct()
     touched = (
-        found.join(answered.join(undecided, "community_id"), "community_id")
+        found.join(merged(answered.join(merged(undecided), "community_id")), "community_id")
         .filter((F.col("response") == RESET) | ~F.col("moderated"))
     )
     reset = F.col("response") == RESET
@@ -82,4 +83,4 @@ def apply_community_decisions(stored: DataFrame, members: DataFrame, decisions:
         F.when(~reset, F.col("score")).alias("score"),
         (~reset).alias("moderated"),
     )
-    return update_by_key(stored, updates)
+    return update_by_key(stored, merged(updates))

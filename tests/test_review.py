@@ -97,7 +97,14 @@ def test_rows_of_communities_are_not_broadcast(spark, monkeypatch):
     # the sizes of the chunks are the only rows that may pass through the driver
     assert max(plans.pop("communities-centres")) <= 1 and len(plans["communities-walked"]) > 1
     assert not any(sum(n) for n in plans.values())
-    assert [broadcasts(df) for df in (found, communities.scored(found, vectors))] == [0, 0]
+    scored = write(communities.scored(found, vectors).withColumnRenamed("id", "comment_id"), "members")
+    stored = write(scored.select("comment_id", F.lit("SCAM").alias("label"), F.lit(None).cast("double").alias("score"),
+                                 (F.col("comment_id") % 3 != 0).alias("moderated")), "stored")
+    decisions = scored.select("community_id", F.lit("X").alias("response")).distinct()
+    results = [found, communities.scored(found, vectors), communities.propagate(stored, scored),
+               review.apply_community_decisions(stored, scored, decisions)]
+    assert [broadcasts(df) for df in results] == [0] * 4
+    assert communities.propagate(stored, scored).count() == stored.count() > 100
 
 
 @pytest.mark.parametrize("name", ["consensus_labels", "reviewed_histogram"])
