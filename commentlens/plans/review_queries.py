@@ -231,7 +231,7 @@ def consensus_propagate(spark, folder):
     UNION ALL SELECT community_id, id, 'last', down FROM ranked WHERE down <= 3""")
 def community_preview(spark, folder):
     stored = views.vector_comments(spark, folder).select("comment_id", "moderated")
-    members = written_table(_scored(spark, folder), "members").join(stored, "comment_id")
+    members = written_table(_scored(spark, folder), "members").join(merged(stored), "comment_id")
     return review.community_preview(members).select("community_id", "comment_id", "side", "position")
 
 

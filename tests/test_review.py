@@ -107,7 +107,7 @@ def test_rows_of_communities_are_not_broadcast(spark, monkeypatch):
     assert communities.propagate(stored, scored).count() == stored.count() > 100
 
 
-@pytest.mark.parametrize("name", ["consensus_labels", "reviewed_histogram"])
+@pytest.mark.parametrize("name", ["consensus_labels", "reviewed_histogram", "community_preview"])
 def test_members_meet_stored_rows_without_a_broadcast(spark, tmp_path, monkeypatch, name):
     members = spark.range(1, 7).select(F.lit(1).cast("bigint").alias("community_id"), F.col("id").alias("comment_id"),
                                        F.lit(0.5).alias("score"), F.col("id").alias("rank"))
@@ -115,7 +115,7 @@ def test_members_meet_stored_rows_without_a_broadcast(spark, tmp_path, monkeypat
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(review_queries, "_scored", lambda *_: members)
     result = getattr(review_queries, name)(spark, str(tmp_path))
-    assert broadcasts(result) == 0 and result.count() == {"consensus_labels": 1, "reviewed_histogram": 2}[name]
+    assert broadcasts(result) == 0 and result.count() == {"consensus_labels": 1, "reviewed_histogram": 2, "community_preview": 4}[name]
 
 
 def test_a_task_holds_few_similarities(spark):
